@@ -13,6 +13,9 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
+#: Stands for a null id, and so comes before every other id.
+NO_ID = -(2**63)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -5,16 +5,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ascii_lower, fresh, strip_spaces
+from .common import NO_ID, ascii_lower, fresh, strip_spaces
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-#: Stands for a null id, and so comes before every other id.
-NO_ID = -(2**63)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
     def one(t, positions):
         if t is None or positions is None:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import fresh, materialise, word_count
 
 #: Hex digits of the key that name a range hold so many rows of one source at most, about.
-ROWS_PER_RANGE = 200_000
+ROWS_PER_RANGE = 20_000
 
 
 def source_targets(sizes: DataFrame, weights=(1, 2, 3), cap: int = 3) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, sharding
+from . import fingerprints, line_dedup, mixing, near_dup, sharding
+from .simhash import hex16
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -14,6 +15,19 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        hex16(F.col("fp")).alias("fingerprint"),
+        hex16(F.col("edited_fp")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "n_near",
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.drop_common_lines(_documents(spark, sf_dir))
     return done.select(
@@ -29,8 +43,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_documents(spark, sf_dir).select("doc_id"), SHARDS)
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_documents(spark, sf_dir)).select(
+        "doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id"
+    )
+
+
 def queries() -> dict:
     return {
+        "op1_fingerprints": op1_fingerprints,
+        "op10_near_dup": op10_near_dup,
         "op5_line_dedup": op5_line_dedup,
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
