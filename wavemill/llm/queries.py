@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, near_dup, sharding
+from . import fingerprints, line_dedup, mixing, near_dup, packing, sharding
 from .simhash import hex16
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -43,6 +43,17 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_documents(spark, sf_dir).select("doc_id"), SHARDS)
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file, found where the code runs; it is a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_documents(spark, sf_dir), tokenizer_path())
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_documents(spark, sf_dir)).select(
         "doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id"
@@ -52,6 +63,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op9_best_fit_packing": op9_best_fit_packing,
         "op10_near_dup": op10_near_dup,
         "op5_line_dedup": op5_line_dedup,
         "op6_mixing": op6_mixing,
