@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, near_dup, packing, sharding
+from . import fingerprints, line_dedup, mixing, near_dup, packing, sharding, toxicity
 from .simhash import hex16
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -28,6 +28,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.drop_common_lines(_documents(spark, sf_dir))
     return done.select(
@@ -65,6 +69,7 @@ def queries() -> dict:
         "op1_fingerprints": op1_fingerprints,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_near_dup": op10_near_dup,
+        "op4_toxicity": op4_toxicity,
         "op5_line_dedup": op5_line_dedup,
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
