@@ -122,29 +122,31 @@ def edited_fingerprints(
     Other columns of ``docs`` are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # lengths are taken after the shuffle, so that both uses of the shuffled texts are one
     rows = docs.select(
         F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text")
-    ).withColumn("n", F.char_length("text"))
+    )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    per_id = rows.groupBy("d").agg(F.max("n").alias("n"), F.min("th").alias("rep"))
+    per_id = rows.groupBy("d").agg(F.max(F.char_length("text")).alias("n"), F.min("th").alias("rep"))
     order = materialise(predecessors(per_id, parts), "pred").select(
         F.col("d").alias("o_d"), "rep", "prev_d", "prev_n"
     )
     heads = (
-        rows.join(order, (F.col("d") == F.col("o_d")))
+        rows.join(order, F.col("d") == F.col("o_d"))
         .where(F.col("th") == F.col("rep"))
-        .select(F.col("prev_d").alias("h_d"), F.substr("text", F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("head"))
+        .select(
+            F.col("prev_d").alias("h_d"),
+            F.substr("text", F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("head"),
+        )
         .dropDuplicates(["h_d"])
     )
-    quarter = F.floor(F.col("n") / 4).cast("int")
+    n = F.char_length("text")
+    quarter = F.floor(n / 4).cast("int")
     edited = rows.join(heads, F.col("d") == F.col("h_d")).select(
         "d",
         "th",
-        "n",
         "text",
-        F.concat(
-            F.substr("text", F.lit(1), F.col("n") - quarter), F.substr("head", F.lit(1), quarter)
-        ).alias("edited"),
+        F.concat(F.substr("text", F.lit(1), n - quarter), F.substr("head", F.lit(1), quarter)).alias("edited"),
     )
     both = edited.select(
         "d",
@@ -156,38 +158,34 @@ def edited_fingerprints(
             )
         ).alias("x"),
     ).select("d", "th", "x.which", "x.text")
-    fps = materialise(
+    fps = (
         fingerprint(both, ["d", "th", "which"], "text")
         .groupBy(F.col("d").alias("f_d"), F.col("th").alias("f_th"))
         .agg(
             F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"),
             F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("edited_fp"),
-        ),
-        "fps",
+        )
+    )
+    digest = edited.select("d", "th", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    found = materialise(
+        digest.join(fps, (F.col("d") == F.col("f_d")) & (F.col("th") == F.col("f_th"))).drop("f_d", "f_th"), "fps"
     )
     following = (
-        fps.join(order, (F.col("f_d") == F.col("o_d")) & (F.col("f_th") == F.col("rep")))
+        found.join(order, (F.col("d") == F.col("o_d")) & (F.col("th") == F.col("rep")))
         .select(F.col("prev_d").alias("n_d"), F.col("fp").alias("next_fp"))
+        .dropDuplicates(["n_d"])
     )
-    counts = rows.groupBy(F.col("d").alias("c_d"), F.col("th").alias("c_th")).agg(F.count(F.lit(1)).alias("rows"))
-    held = fps.join(counts, (F.col("f_d") == F.col("c_d")) & (F.col("f_th") == F.col("c_th")))
-    classes = held.groupBy("fp").agg(F.sum("rows").alias("members"))
-    asked = fps.where((F.col("f_d") % query_every == 0) & (F.col("f_d") != NO_ID))
+    classes = found.groupBy("fp").agg(F.count(F.lit(1)).alias("members"))
+    is_query = (F.col("d") % query_every == 0) & (F.col("d") != NO_ID)
     near = (
-        within_radius(asked.select(F.col("fp").alias("q_fp")).distinct(), classes.select("fp"), radius)
+        within_radius(found.where(is_query).select(F.col("fp").alias("q_fp")).distinct(), classes.select("fp"), radius)
         .join(classes.select(F.col("fp").alias("m_fp"), "members"), F.col("fp") == F.col("m_fp"))
         .groupBy("q_fp")
         .agg(F.sum("members").alias("members"))
     )
-    done = (
-        fps.join(following, F.col("f_d") == F.col("n_d"))
-        .join(near, F.col("fp") == F.col("q_fp"), "left")
-        .select("f_d", "f_th", "fp", "edited_fp", "next_fp", "members")
-    )
-    is_query = (F.col("d") % query_every == 0) & (F.col("d") != NO_ID)
     return (
-        edited.select("d", "th", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-        .join(done, (F.col("d") == F.col("f_d")) & (F.col("th") == F.col("f_th")))
+        found.join(following, F.col("d") == F.col("n_d"))
+        .join(near, F.col("fp") == F.col("q_fp"), "left")
         .select(
             F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"),
             "n_chars",
