@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialise
+from .common import NO_ID, fresh, materialise
 from .simhash import vote, words
 
 RADIUS = 3
@@ -195,19 +195,18 @@ def near_duplicates(
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (then text hash).
 
-    Components are ranked by partial minima, not gathered.
+    The row to keep is a partial minimum, no component is gathered. Rows that repeat as a
+    whole count once.
     """
-    found = near_duplicates(docs)
+    d, th = fresh(docs, "d", "th")
     keep = (
-        found.groupBy("component_id")
+        near_duplicates(docs)
+        .groupBy("component_id")
         .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "th")).alias("s"))
         .select(F.col("s.d").alias("k_d"), F.col("s.th").alias("k_th"))
-        .distinct()
     )
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.join(
-        keep,
-        (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("k_d")) & (F.xxhash64(text) == F.col("k_th")),
-        "left_semi",
+    marked = docs.withColumns(
+        {d: F.coalesce(F.col("doc_id"), F.lit(NO_ID)), th: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}
     )
-    return marked.dropDuplicates(["doc_id", "text"])
+    kept = marked.join(keep, (F.col(d) == F.col("k_d")) & (F.col(th) == F.col("k_th")), "left_semi")
+    return kept.dropDuplicates([d, th]).select(*docs.columns)
