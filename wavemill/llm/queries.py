@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, near_dup, packing, sharding, toxicity
+from . import fingerprints, line_dedup, mixing, near_dup, packing, sharding, suffix_dedup, toxicity
 from .simhash import hex16
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -47,6 +47,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_documents(spark, sf_dir).select("doc_id"), SHARDS)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def tokenizer_path() -> str:
     """The vocabulary file, found where the code runs; it is a parameter of the operator."""
     import public_tokenizers
@@ -67,6 +73,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_near_dup": op10_near_dup,
         "op4_toxicity": op4_toxicity,
