@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, near_dup, packing, sharding, suffix_dedup, toxicity
+from . import fingerprints, line_dedup, mixing, near_dup, packing, quality, sharding, suffix_dedup, toxicity
 from .simhash import hex16
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -28,6 +28,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -76,6 +80,7 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_near_dup": op10_near_dup,
+        "op3_quality_rules": op3_quality_rules,
         "op4_toxicity": op4_toxicity,
         "op5_line_dedup": op5_line_dedup,
         "op6_mixing": op6_mixing,
@@ -126,5 +131,29 @@ FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
 """
 
 
+OP3_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+g AS (SELECT doc_id, i, words[i:i+4] AS g
+      FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 4)) AS i FROM w WHERE len(words) >= 5)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i+1, i+2, i+3, i+4]) AS j FROM r) GROUP BY doc_id),
+s AS (SELECT w.doc_id, text, words, lines, CAST(len(words) AS BIGINT) AS n_words,
+             CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+             CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+             CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 5 * n_dup_lines > 2 * len(lines)
+            OR 2 * len(regexp_extract_all(text, '!')) > n_words
+            OR 5 * len(regexp_extract_all(text, '\p{Lu}')) > 3 * len(regexp_extract_all(text, '\p{L}'))
+            OR 4 * len(list_distinct(words)) < n_words) AS kept
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
