@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, mixing, near_dup, packing, quality, sharding, suffix_dedup, toxicity
+from . import fingerprints, licenses, line_dedup, mixing, near_dup, packing, quality, sharding, suffix_dedup, toxicity
 from .simhash import hex16
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -28,6 +28,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
@@ -80,6 +84,7 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_near_dup": op10_near_dup,
+        "op2_license_scan": op2_license_scan,
         "op3_quality_rules": op3_quality_rules,
         "op4_toxicity": op4_toxicity,
         "op5_line_dedup": op5_line_dedup,
@@ -156,4 +161,4 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {"op2_license_scan": licenses.sql(), "op3_quality_rules": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
