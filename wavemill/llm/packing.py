@@ -29,7 +29,7 @@ END_ID = 1
 #: Pieces of one length are ranked in buckets of about so many rows.
 ROWS_PER_BUCKET = 20_000
 #: Bytes of text that are split into words at once, and words remembered by a worker.
-SLICE_BYTES, MEMORY_WORDS = 12 << 20, 1_500_000
+SLICE_BYTES, MEMORY_WORDS = 8 << 20, 700_000
 #: Marks that, after a letter or number and at a word's end, are tokenised by themselves.
 END_MARKS = ".,!?;:|*%$&#"
 

@@ -120,7 +120,7 @@ class Restorer:
     def read(self, word: str) -> tuple[str, ...]:
         got = self.seen.get(word)
         if got is None:
-            if len(self.seen) > 1_000_000:
+            if len(self.seen) > 200_000:
                 self.seen.clear()
             got = self.seen[word] = self._read(word)
         return got
