@@ -46,7 +46,7 @@ def drop_common_lines(
     id counts as one document with the smallest id. Rows of equal id are one document; rows
     that repeat as a whole are treated alike. Columns named n_lines or n_dropped are replaced.
     """
-    d, th, pos, line, k1, k2, gone = fresh(docs, "d", "th", "pos", "line", "k1", "k2", "gone")
+    d, th, pos, line, k1, k2, gone, g_d, g_th = fresh(docs, "d", "th", "pos", "line", "k1", "k2", "gone", "g_d", "g_th")
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = docs.drop("n_lines", "n_dropped").withColumns(
         {d: F.coalesce(F.col(id_col), F.lit(NO_ID)), th: F.xxhash64(text)}
@@ -70,12 +70,12 @@ def drop_common_lines(
     drops = (
         lines.join(common, (F.col(k1) == F.col("c1")) & (F.col(k2) == F.col("c2")))
         .where(F.col(d) < F.col("last"))
-        .groupBy(F.col(d).alias("g_d"), F.col(th).alias("g_th"))
+        .groupBy(F.col(d).alias(g_d), F.col(th).alias(g_th))
         .agg(F.collect_set(pos).alias(gone))
     )
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     return (
-        row.join(drops, (F.col(d) == F.col("g_d")) & (F.col(th) == F.col("g_th")), "left")
+        row.join(drops, (F.col(d) == F.col(g_d)) & (F.col(th) == F.col(g_th)), "left")
         .withColumn("n_lines", F.size(F.split(text, "\n", -1)).cast("long"))
         .withColumn("n_dropped", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
         .withColumn(

@@ -163,7 +163,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, radius: int = RADIUS, size: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, th, fp, component_id`` of every row; ``th`` is the text's hash.
+    """``doc_id, th, fp, root, component_id`` of every row.
+
+    ``th`` is the text's hash, ``root`` the smallest fingerprint of the component.
 
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the smallest
     id reachable over links, the row's own included. Copies meet as one fingerprint before
@@ -181,14 +183,14 @@ def near_duplicates(
         "root", F.coalesce("root", "fp")
     )
     lows = rooted.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component"))
-    classes = rooted.join(lows, F.col("root") == F.col("r")).select(F.col("fp").alias("c_fp"), "component")
+    classes = rooted.join(lows, F.col("root") == F.col("r")).select(F.col("fp").alias("c_fp"), "root", "component")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("r_d"), F.xxhash64(text).alias("r_th"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return (
         rows.join(fps, (F.col("r_d") == F.col("d")) & (F.col("r_th") == F.col("th")))
         .join(classes, F.col("fp") == F.col("c_fp"))
-        .select(real("d").alias("doc_id"), "th", "fp", real("component").alias("component_id"))
+        .select(real("d").alias("doc_id"), "th", "fp", "root", real("component").alias("component_id"))
     )
 
 
@@ -198,15 +200,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     The row to keep is a partial minimum, no component is gathered. Rows that repeat as a
     whole count once.
     """
-    d, th = fresh(docs, "d", "th")
+    d, th, k_d, k_th = fresh(docs, "d", "th", "k_d", "k_th")
     keep = (
         near_duplicates(docs)
-        .groupBy("component_id")
+        .groupBy("root")
         .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "th")).alias("s"))
-        .select(F.col("s.d").alias("k_d"), F.col("s.th").alias("k_th"))
+        .select(F.col("s.d").alias(k_d), F.col("s.th").alias(k_th))
     )
     marked = docs.withColumns(
         {d: F.coalesce(F.col("doc_id"), F.lit(NO_ID)), th: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}
     )
-    kept = marked.join(keep, (F.col(d) == F.col("k_d")) & (F.col(th) == F.col("k_th")), "left_semi")
+    kept = marked.join(keep, (F.col(d) == F.col(k_d)) & (F.col(th) == F.col(k_th)), "left_semi")
     return kept.dropDuplicates([d, th]).select(*docs.columns)

@@ -12,6 +12,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Prime size of the table. It bounds the broadcast: one row of two integers per slot.
 TABLE_SIZE = 65537
 
@@ -56,29 +58,30 @@ def place(df: DataFrame, shards: list[str], key_col: str = "doc_id", size: int =
     """
     spark = df.sparkSession
     table = lookup_table(shards, size)
-    rows = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(table)], "t_slot long, t_shard string")
+    t_slot, t_shard = fresh(df, "t_slot", "t_shard")
+    rows = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(table)], f"{t_slot} long, {t_shard} string")
     key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
     slot = F.pmod(F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"), F.lit(size))
     return (
         df.withColumn("slot", slot)
-        .join(F.broadcast(rows), F.col("slot") == F.col("t_slot"))
-        .withColumn("shard", F.col("t_shard"))
-        .drop("t_slot", "t_shard")
+        .join(F.broadcast(rows), F.col("slot") == F.col(t_slot))
+        .withColumn("shard", F.col(t_shard))
+        .drop(t_slot, t_shard)
     )
 
 
 def write_shards(df: DataFrame, path: str, shards: list[str], key_col: str = "doc_id", files: int = 1) -> None:
     """Writes one Parquet folder per shard, each in up to ``files`` files.
 
-    The salt (bits of the key's hash beyond the slot) splits a shard over several tasks, so
-    that a hot key's neighbours do not wait for it.
+    The salt, a hash of the whole row, splits a shard over several tasks, so that a hot key's
+    neighbours do not wait for it.
     """
-    salt = F.pmod(F.xxhash64(F.col(key_col), F.monotonically_increasing_id()), F.lit(files))
+    (salt,) = fresh(df, "salt")
     (
         place(df, shards, key_col)
-        .withColumn("_salt", salt)
-        .repartition("shard", "_salt")
-        .drop("_salt")
+        .withColumn(salt, F.pmod(F.xxhash64(*df.columns), F.lit(files)))
+        .repartition("shard", salt)
+        .drop(salt)
         .write.partitionBy("shard")
         .parquet(path)
     )

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialise
+from .common import NO_ID, fresh, materialise
 from .near_dup import shingle_hashes
 from .packing import _slices
 
@@ -380,15 +380,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
 
 def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` without the rows that score 0.5 or more."""
+    b_id, b_th = fresh(docs, "b_id", "b_th")
     bad = (
         score(docs, fit(docs, labels, train_rows))
         .where("score >= 0.5")
-        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("b_id"), F.col("th").alias("b_th"))
+        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias(b_id), F.col("th").alias(b_th))
         .distinct()
     )
     return docs.join(
         bad,
-        (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("b_id"))
-        & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("b_th")),
+        (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col(b_id))
+        & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(b_th)),
         "left_anti",
     )
