@@ -16,35 +16,49 @@ SYMBOLS = r"[#*$%&|<>]"
 
 
 def _stats(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with the base figures; the second value maps their plain names to the columns'."""
-    plain = ["text", "w", "h", "lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
+    """``docs`` with the base figures; the second value maps their plain names to the columns'.
+
+    What is used more than once is a column of its own, so that it is computed once.
+    """
+    plain = ["text", "w", "two", "four", "h", "again", "places", "starts", "lines", "n_words", "word_chars"]
+    plain += ["n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
     at = dict(zip(plain, fresh(docs, *plain)))
     c = {k: F.col(v) for k, v in at.items()}
     words = F.split(strip_spaces(c["text"]), SPACE_RE)
-    width = F.greatest(F.size(c["w"]) - (WINDOW - 1), F.lit(0))
-    zipped = F.arrays_zip(*[F.slice(c["w"], i + 1, width).alias(f"w{i}") for i in range(WINDOW)])
-    hashes = F.transform(zipped, lambda x: F.xxhash64(*[x[f"w{i}"] for i in range(WINDOW)]))
     lines = F.filter(F.split(c["text"], "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
+
+    def joined(a: Column, b: Column, apart: int, less: int) -> Column:
+        """Hashes of what starts at each word and what starts ``apart`` words on."""
+        n = F.greatest(F.size(c["w"]) - less, F.lit(0))
+        return F.zip_with(F.slice(a, 1, n), F.slice(b, apart + 1, n), lambda x, y: F.xxhash64(x, y))
+
     # places of windows found twice or more: neighbours after sorting by hash
-    places = F.array_sort(F.transform(c["h"], lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    by_hash = F.array_sort(F.transform(c["h"], lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     near = F.arrays_zip(
-        places.alias("x"),
-        F.slice(places, 2, F.size(places)).alias("after"),
-        F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), places).alias("before"),
+        c["places"].alias("x"),
+        F.slice(c["places"], 2, F.size(c["places"])).alias("after"),
+        F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), c["places"]).alias("before"),
     )
     repeated = F.filter(
         near,
         lambda z: z["x"].isNotNull() & ((z["x"]["h"] == z["after"]["h"]) | (z["x"]["h"] == z["before"]["h"])),
     )
-    starts = F.array_sort(F.transform(repeated, lambda z: z["x"]["i"]))
-    gaps = F.arrays_zip(starts.alias("a"), F.slice(starts, 2, F.size(starts)).alias("b"))
-    covered = F.aggregate(
-        gaps, F.lit(0).cast("long"), lambda n, z: n + F.coalesce(F.least(z["b"] - z["a"], F.lit(WINDOW)), F.lit(WINDOW))
+    in_order = F.array_sort(F.transform(repeated, lambda z: z["x"]["i"]))
+    gaps = F.zip_with(
+        c["starts"],
+        F.slice(c["starts"], 2, F.size(c["starts"])),
+        lambda x, y: F.coalesce(F.least(y - x, F.lit(WINDOW)), F.lit(WINDOW)),
     )
+    covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda n, g: n + g)
     out = (
         docs.withColumn(at["text"], F.coalesce(F.col(text_col), F.lit("")))
         .withColumn(at["w"], words)
-        .withColumns({at["h"]: hashes, at["lines"]: lines})
+        .withColumn(at["two"], joined(c["w"], c["w"], 1, 1))
+        .withColumn(at["four"], joined(c["two"], c["two"], 2, 3))
+        .withColumns({at["h"]: joined(c["four"], c["w"], 4, 4), at["lines"]: lines})
+        .withColumn(at["again"], F.size(F.array_distinct(c["h"])) != F.size(c["h"]))
+        .withColumn(at["places"], F.when(c["again"], by_hash))
+        .withColumn(at["starts"], F.when(c["again"], in_order))
         .withColumns(
             {
                 at["n_words"]: F.when(c["w"][0] == "", 0).otherwise(F.size(c["w"])).cast("long"),
@@ -52,9 +66,7 @@ def _stats(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, str]]:
                 at["n_symbols"]: F.regexp_count(c["text"], F.lit(SYMBOLS)).cast("long"),
                 at["n_lines"]: F.size(c["lines"]).cast("long"),
                 at["n_dup_lines"]: (F.size(c["lines"]) - F.size(F.array_distinct(c["lines"]))).cast("long"),
-                at["n_repeat_words"]: F.when(F.size(F.array_distinct(c["h"])) == F.size(c["h"]), F.lit(0).cast("long")).otherwise(
-                    covered
-                ),
+                at["n_repeat_words"]: F.when(c["again"], covered).otherwise(F.lit(0).cast("long")),
             }
         )
     )
@@ -69,7 +81,7 @@ def rules(at: dict[str, str]) -> dict[str, Column]:
         "symbols": 10 * c["n_symbols"] > c["n_words"],
         "repeated lines": 5 * c["n_dup_lines"] > 2 * c["n_lines"],
         "exclamations": 2 * count("!") > c["n_words"],
-        "capitals": 5 * count(r"\p{Lu}") > 3 * count(r"\p{L}"),
+        "capitals": 2 * count(r"\p{Lu}") > c["word_chars"],
         "few distinct words": 4 * F.size(F.array_distinct(c["w"])) < c["n_words"],
     }
 
@@ -79,7 +91,7 @@ def estimate(stats: DataFrame, at: dict[str, str], sample_rows: int = SAMPLE_ROW
 
     The order only decides how soon a row is settled: a row is kept if no rule rejects it.
     """
-    needed = [v for k, v in at.items() if k not in ("h", "lines")]
+    needed = [at[k] for k in ("text", "w", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines")]
     # one range of the text's hash: an even sample that needs no pass over all rows
     sample = materialise(
         stats.where(F.pmod(F.xxhash64(at["text"]), F.lit(16)) == 0).select(*needed).limit(sample_rows), "sample"

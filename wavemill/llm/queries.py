@@ -154,7 +154,7 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR 5 * n_dup_lines > 2 * len(lines)
             OR 2 * len(regexp_extract_all(text, '!')) > n_words
-            OR 5 * len(regexp_extract_all(text, '\p{Lu}')) > 3 * len(regexp_extract_all(text, '\p{L}'))
+            OR 2 * len(regexp_extract_all(text, '\p{Lu}')) > word_chars
             OR 4 * len(list_distinct(words)) < n_words) AS kept
 FROM b
 """
