@@ -53,12 +53,8 @@ def _long(done: DataFrame, keys: list[str], on_error: str) -> DataFrame:
     if on_error not in ("status", "raise", "drop"):
         raise ValueError("on_error is status, raise or drop")
     if on_error == "raise":
-        done = done.withColumn(
-            "status",
-            F.when(F.col("status") != "ok", F.raise_error(F.concat(F.lit("decomposition failed: "), "status"))).otherwise(
-                F.col("status")
-            ),
-        )
+        said = F.raise_error(F.concat(F.lit("decomposition failed: "), F.col("status")))
+        done = done.withColumn("parts", F.when(F.col("status") != "ok", said).otherwise(F.col("parts")))
     each = F.posexplode_outer if on_error == "status" else F.posexplode
     rows = done.select(*keys, "status", F.size("parts").alias("k"), each("parts").alias("component", "part"))
     kind = F.when(F.col("component") == F.col("k") - 1, "residue").when(F.col("component").isNotNull(), "imf")
