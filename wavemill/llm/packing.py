@@ -13,6 +13,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +30,21 @@ END_ID = 1
 #: Pieces of one length are ranked in buckets of about so many rows.
 ROWS_PER_BUCKET = 20_000
 #: Bytes of text that are split into words at once, and words remembered by a worker.
-SLICE_BYTES, MEMORY_WORDS = 8 << 20, 700_000
-#: Marks that, after a letter or number and at a word's end, are tokenised by themselves.
-END_MARKS = ".,!?;:|*%$&#"
+SLICE_BYTES, MEMORY_WORDS = 4 << 20, 400_000
+#: Words that the tokeniser gets in one call; its results are large objects until they are read.
+CALL_WORDS = 10_000
+#: Marks that follow a letter or number at a word's end are tokenised by themselves. Only letters
+#: that stay single letters in lower case and normal form are listed (U+0130 does not).
+END_MARKS = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}])([.,!?;:|*%$&#]+)( |\n|$)"
+#: Texts with strings like these are tokenised whole: they are cased and may be ids of their own.
+SPECIAL = r"(?i)<\|(start|end)oftext\|>"
 
 
 class _Words:
     """Ids of words by tokeniser, remembered up to a bound.
 
-    The tokeniser drops white space and never merges across it, so a text's ids are those of
-    its space-separated words in order.
+    The tokeniser lower-cases, drops white space and never merges across it or between
+    letters and marks, so a text's ids are those of its words and end marks in order.
     """
 
     def __init__(self, path: str):
@@ -46,27 +52,43 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
+        self.slices = np.zeros(1 << 14, np.int32)
         self.used = 0
 
-    def _encode(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self._store(words, np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum())), sizes)
+    def _forget(self) -> None:
+        """Forgets the words that only one slice of text had; if those are few, all."""
+        seen = self.slices[: len(self.at)]
+        keep = np.flatnonzero(seen > 1)
+        if 2 * len(keep) > MEMORY_WORDS:
+            keep = keep[:0]
+        words = list(self.at)
+        flat, ends = self._gather(keep)
+        self.at = {words[i]: k for k, i in enumerate(keep)}
+        self.pool, self.used = flat.copy(), len(flat)
+        self.sizes, self.slices = self.sizes[keep], np.ones(len(keep), np.int32)
+        self.starts = ends - self.sizes
+
+    def _add(self, words: list[str]) -> None:
+        sizes, flat = [], []
+        for i in range(0, len(words), CALL_WORDS):
+            some = self.tokenizer.encode_batch_fast(words[i : i + CALL_WORDS], add_special_tokens=False)
+            ids = [e.ids for e in some]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+        self._store(words, np.concatenate(flat), np.concatenate(sizes))
 
     def _store(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         n, end = len(self.at), self.used + len(flat)
         if end > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(end, len(self.pool)), np.uint32)])
+            self.pool = np.concatenate([self.pool, np.zeros(max(end, 1 << 16) // 2 + end - len(self.pool), np.uint32)])
         if n + len(sizes) > len(self.starts):
-            more = np.zeros(max(n + len(sizes), len(self.starts)), np.int64)
+            more = np.zeros(n + len(sizes) - len(self.starts) + (1 << 14), np.int64)
             self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
+            self.slices = np.concatenate([self.slices, more.astype(np.int32)])
         self.pool[self.used : end] = flat
         self.sizes[n : n + len(sizes)] = sizes
         self.starts[n : n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
@@ -80,48 +102,29 @@ class _Words:
         total = int(ends[-1]) if len(ends) else 0
         return self.pool[np.repeat(self.starts[codes] - ends + sizes, sizes) + np.arange(total)], ends
 
-    def _add(self, words: list[str]) -> None:
-        """Learns new words. A plain word with marks at its end is made of two known parts."""
-        at, alone, joined, cores, marks = self.at, {}, [], [], []
-        for w in words:
-            core = w.rstrip(END_MARKS)
-            mark = w[len(core) :]
-            if core and core[-1].isalnum():
-                if core.isascii():
-                    core = core.lower()
-                if core != w:
-                    joined.append(w)
-                    cores.append(core)
-                    marks.append(mark)
-                    w = core
-                    if mark not in at:
-                        alone[mark] = None
-            if w not in at:
-                alone[w] = None
-        if alone:
-            self._encode(list(alone))
-        if joined:
-            codes = np.empty(2 * len(joined), np.int64)
-            codes[::2] = [at[c] for c in cores]
-            codes[1::2] = [at[m] for m in marks]
-            flat, ends = self._gather(codes)
-            self._store(joined, flat, np.diff(ends[1::2], prepend=0))
-
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and where each text's end."""
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+        """All ids of the texts, where each text's end, and the ids of special texts (which have none there)."""
+        special = pc.match_substring_regex(texts, SPECIAL)
+        whole = {}
+        if pc.any(special).as_py():
+            at = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+            whole = {int(i): self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids for i in at}
+            texts = pc.if_else(special, "", texts)
+        apart = pc.replace_substring_regex(pc.ascii_lower(texts), END_MARKS, r"\1 \2\3")
+        lists = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.at) + len(words) > MEMORY_WORDS:
-            self.forget()
+            self._forget()
         if new := [w for w in words if w not in self.at]:
             self._add(new)
         at = self.at
         own = np.fromiter((at[w] for w in words), np.int64, len(words))
+        self.slices[own] += 1
         codes = own[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         out, ends = self._gather(codes)
         bounds = np.asarray(lists.offsets)
-        return out, np.concatenate([[0], ends])[bounds[1:] - bounds[0]]
+        return out, np.concatenate([[0], ends])[bounds[1:] - bounds[0]], whole
 
 
 @lru_cache(maxsize=2)
@@ -151,11 +154,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for a, b in _slices(texts):
-                ids, ends = words.ids(texts.slice(a, b - a))
+                ids, ends, whole = words.ids(texts.slice(a, b - a))
                 rows, parts, begun, lengths, crcs, kept = [], [], [], [], [], []
                 s = 0
                 for r, e in enumerate(ends):
-                    own = np.append(ids[s:e], np.uint32(END_ID))
+                    own = np.append(np.array(whole[r], np.uint32) if r in whole else ids[s:e], np.uint32(END_ID))
                     s = e
                     for p in range(0, len(own), capacity):
                         part = own[p : p + capacity]
@@ -178,6 +181,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
                     columns.append(pa.array(kept, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        pa.default_memory_pool().release_unused()  # the worker lives on with other stages
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 

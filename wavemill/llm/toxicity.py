@@ -353,6 +353,7 @@ def score(docs: DataFrame, fitted: tuple[np.ndarray, list[str], np.ndarray]) ->
                     ],
                     ["doc_id", "th", "score"],
                 )
+        pa.default_memory_pool().release_unused()  # the worker lives on with other stages
 
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text"
