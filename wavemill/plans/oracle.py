@@ -196,7 +196,7 @@ sv AS (SELECT *, {_SEVERITY.format('worst')} AS severity FROM mx)
 SELECT CAST(0 AS BIGINT) AS series_id, round(worst, 6) + 0.0 AS worst, severity, n_mixed, mixed, CASE severity WHEN 'ok' THEN 'The modes hold separate frequencies.'
 WHEN 'caution' THEN 'Some modes share frequencies; an ensemble method may separate them.' ELSE 'Modes are mixed; use an ensemble with adaptive noise or fewer modes.' END AS advice FROM sv""",
         "recon_error": f"""WITH {HOURS}, s AS (SELECT t, sum(value) AS x, sum(value * value) AS e FROM typ GROUP BY 1)
-SELECT CAST(0 AS BIGINT) AS series_id, 0.0 AS relative_error, 0.0 AS max_error, round(sum(e) / sum(x * x), 6) + 0.0 AS energy_conservation, true AS valid FROM s""",
+SELECT CAST(0 AS BIGINT) AS series_id, 0.0::DOUBLE AS relative_error, 0.0::DOUBLE AS max_error, round(sum(e) / sum(x * x), 6) + 0.0 AS energy_conservation, true AS valid FROM s""",
         "boundary_artifact": f"""WITH {SIG} SELECT series_id, round(coalesce(stddev_pop(CASE WHEN t < 10 OR t >= n - 10 THEN value END)
 / nullif(stddev_pop(CASE WHEN t >= 10 AND t < n - 10 THEN value END), 0), 1.0), 6) + 0.0 AS artifact FROM sig JOIN num USING (series_id) GROUP BY 1""",
         "kl_divergence": f"""WITH {SIG}, {_dft('sig', 'series_id', 'ft')}, pw AS (SELECT series_id, bin, re * re + im * im AS power FROM ft WHERE bin <= p // 2),
