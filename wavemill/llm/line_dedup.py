@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, ascii_lower, fresh, strip_spaces
+from .common import NO_ID, ascii_lower, fresh, materialise, strip_spaces
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: A key with more than one in so many of the common lines is dealt out by salts. No more keys
+#: than this can have such a share, which bounds what is broadcast.
+HOT_SHARES = 1000
 
 
 @F.pandas_udf(T.StringType())
@@ -39,8 +42,8 @@ def drop_common_lines(
 
     Keys travel as two 64-bit hashes. Equal keys of one document are merged before the
     shuffle and documents are counted with map-side partial sums, so a line that a third of
-    all documents share costs no task more than its partial counts; the join back splits
-    such a key (adaptive skew join) as it gathers nothing.
+    all documents share costs no task more than its partial counts; on the way back such a
+    key is salted by its share of all lines.
 
     A null or empty text is one empty line and comes back as it was (null stays null). A null
     id counts as one document with the smallest id. Rows of equal id are one document; rows
@@ -59,16 +62,25 @@ def drop_common_lines(
         .where(F.char_length(line) >= min_chars)
         .select(d, th, pos, F.xxhash64(line).alias(k1), F.xxhash64(F.lit("second"), line).alias(k2))
     )
-    common = (
+    common = materialise(
         lines.groupBy(k1, k2, d)
         .agg(F.lit(1).alias("one"))
         .groupBy(k1, k2)
         .agg(F.count(F.lit(1)).alias("n"), F.max(d).alias("last"))
         .where(F.col("n") >= min_docs)
-        .select(F.col(k1).alias("c1"), F.col(k2).alias("c2"), "last")
+        .select(F.col(k1).alias("c1"), F.col(k2).alias("c2"), "n", "last"),
+        "lines",
+    )
+    # a key's salts follow its share of all; keys with more than one are HOT_SHARES at most
+    total = common.agg(F.sum("n")).first()[0] or 1
+    shares = F.ceil(F.col("n") * HOT_SHARES / F.lit(total)).cast("int")
+    hot = common.where(shares > 1).select(F.col("c1").alias("h1"), F.col("c2").alias("h2"), shares.alias("shares"))
+    salted = common.select("c1", "c2", "last", F.explode(F.sequence(F.lit(0), shares - 1)).alias("c_salt"))
+    spread = lines.join(F.broadcast(hot), (F.col(k1) == F.col("h1")) & (F.col(k2) == F.col("h2")), "left").select(
+        d, th, pos, k1, k2, F.coalesce(F.pmod(F.xxhash64(d), F.col("shares")), F.lit(0)).cast("int").alias("salt")
     )
     drops = (
-        lines.join(common, (F.col(k1) == F.col("c1")) & (F.col(k2) == F.col("c2")))
+        spread.join(salted, (F.col(k1) == F.col("c1")) & (F.col(k2) == F.col("c2")) & (F.col("salt") == F.col("c_salt")))
         .where(F.col(d) < F.col("last"))
         .groupBy(F.col(d).alias(g_d), F.col(th).alias(g_th))
         .agg(F.collect_set(pos).alias(gone))
