@@ -25,8 +25,10 @@ from .packing import _slices
 
 #: Labelled rows that the classifier is fitted on, of each class at most; taken by hash of the id.
 TRAIN_ROWS = 8_000
-#: Words that the classifier weighs, at most, and training rows that a word must be in.
-FEATURES, MIN_ROWS = 60, 6
+#: Words and beginnings of words that the classifier weighs, at most, and training rows that one must be in.
+FEATURES, MIN_ROWS = 100, 6
+#: Letters of the beginnings. Endings vary in many languages, so a stem tells more than each of its forms.
+STEMS = (4, 5, 6)
 
 # Which letters a mark may stand for.
 STANDS_FOR = {
@@ -161,6 +163,11 @@ class Restorer:
         return tuple(w if w in self.known else self.bare.get(_DOUBLE.sub(r"\1", w), w) for w in read)
 
 
+def features_of(word: str) -> tuple[str, ...]:
+    """A word and its beginnings, which are marked by a star."""
+    return (word, *[word[:n] + "*" for n in STEMS if len(word) > n])
+
+
 def _words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words of the texts, the words of all texts as places in that list, and each text's end."""
     spaced = pc.replace_substring_regex(pc.utf8_lower(texts), r"[\t\n\v\f\r]", " ")
@@ -206,7 +213,7 @@ def restored_words(texts: pa.Array, restorer: Restorer) -> list[set[str]]:
 def feature_hits(texts: pa.Array, restorer: Restorer, places: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs ``text, feature`` of what the texts hold."""
     words, codes, ends = _words_of(texts)
-    hits = [[places[x] for x in restorer.read(w) if x in places] for w in words]
+    hits = [[places[f] for x in restorer.read(w) for f in features_of(x) if f in places] for w in words]
     rows, found = [], []
     having = np.fromiter(map(bool, hits), bool, len(hits)) if hits else np.zeros(0, bool)
     if len(codes) and having.any():
@@ -217,14 +224,15 @@ def feature_hits(texts: pa.Array, restorer: Restorer, places: dict[str, int]) ->
                 found.append(f)
     for t, letters in _spaced(words, codes, ends):
         for x in restorer.read(letters):
-            if x in places:
-                rows.append(t)
-                found.append(places[x])
+            for f in features_of(x):
+                if f in places:
+                    rows.append(t)
+                    found.append(places[f])
     pairs = np.unique(np.array([rows, found], np.int64), axis=1) if rows else np.zeros((2, 0), np.int64)
     return pairs[0], pairs[1]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x.shape[1])
@@ -286,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
             for a, b in _slices(texts):
                 sets = restored_words(texts.slice(a, b - a), restorer)
                 y = batch.column("toxic").slice(a, b - a).to_pylist()
-                flat = [(w, t) for s, t in zip(sets, y) for w in s]
+                flat = [(f, t) for s, t in zip(sets, y) for f in {f for w in s for f in features_of(w)}]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([w for w, _ in flat], pa.string()), pa.array([t for _, t in flat], pa.int32())], ["word", "toxic"]
                 )
@@ -305,11 +313,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     # the information that the word's presence gives on the label
     pa_, pb = (F.col("a") + 0.5) / (yes + 1), (F.col("b") + 0.5) / (no + 1)
     gain = (F.col("a") + 0.5) * F.log(pa_ / pb) + (yes - F.col("a") + 0.5) * F.log((1 - pa_) / (1 - pb))
-    names = [r["word"] for r in counted.orderBy(gain.desc(), "word").limit(FEATURES).collect()]
+    names, taken = [], set()
+    for r in counted.orderBy(gain.desc(), F.length("word").desc(), "word").limit(4 * FEATURES).collect():
+        # a word and its beginnings in the same rows are one feature, the longest
+        same = (r["word"][: STEMS[0]], r["a"], r["b"])
+        if same not in taken and len(names) < FEATURES:
+            taken.add(same)
+            names.append(r["word"])
     places = {w: i for i, w in enumerate(names)}
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(model, frozenset(names))
+        restorer = Restorer(model, frozenset(n for n in names if n[-1] != "*"))
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for a, b in _slices(texts):
@@ -338,7 +352,7 @@ def score(docs: DataFrame, fitted: tuple[np.ndarray, list[str], np.ndarray]) ->
     places = {w: i for i, w in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model, frozenset(names))
+        restorer = Restorer(model, frozenset(n for n in names if n[-1] != "*"))
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for a, b in _slices(texts):
