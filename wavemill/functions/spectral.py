@@ -43,8 +43,15 @@ def analytic_signal(df: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> Da
     return _transform(df, keys, ("re", "im"), f).withColumnRenamed("i", "t")
 
 
-def instantaneous(df: DataFrame, keys: tuple[str, ...] = ("series_id",), sample_rate: float = 1.0) -> DataFrame:
-    """``keys, t, amp, phase, freq``: modulus, unwrapped angle and its central difference of an analytic signal."""
+def instantaneous(
+    df: DataFrame, keys: tuple[str, ...] = ("series_id",), sample_rate: float = 1.0, difference: str = "central"
+) -> DataFrame:
+    """``keys, t, amp, phase, freq``: modulus, unwrapped angle and its difference of an analytic signal.
+
+    The difference is central with one-sided ends, or ``"forward"`` with the last one repeated.
+    """
+    if difference not in ("central", "forward"):
+        raise ValueError("difference is central or forward")
     w = W.partitionBy(*keys).orderBy("t")
     angle = F.atan2("im", "re")
     turns = F.round((F.col("angle") - F.lag("angle").over(w)) / (2 * math.pi))
@@ -58,6 +65,8 @@ def instantaneous(df: DataFrame, keys: tuple[str, ...] = ("series_id",), sample_
         .when(before.isNotNull(), F.col("phase") - before)
         .otherwise(0.0)
     )
+    if difference == "forward":
+        step = F.coalesce(after - F.col("phase"), F.col("phase") - before, F.lit(0.0))
     return (
         df.withColumns({"amp": F.hypot("re", "im"), "angle": angle})
         .withColumn("turns", turns)

@@ -69,6 +69,30 @@ def emd(df: DataFrame, config: K.EmdConfig = K.EmdConfig(), on_error: str = "sta
     return _long(_apply(rows, ["series_id"], lambda r: K.emd(r.x, config)), ["series_id"], on_error)
 
 
+def emd_trace(df: DataFrame, config: K.EmdConfig = K.EmdConfig()) -> DataFrame:
+    """``series_id, component, step, kind, t``: the extrema of every sifting step that was kept.
+
+    Together with the modes they fix the linear map that :func:`emd_gradient` goes back through.
+    """
+
+    def one(r) -> list[list[float]]:
+        traces: list = []
+        K.emd(r.x, config, traces)
+        # a row each of component, step, kind (0: maxima, 1: minima), then the places
+        return [[k + 1, s, which, *places] for k, steps in enumerate(traces) for s, pair in enumerate(steps) for which, places in enumerate(pair)]
+
+    rows = _apply(packed(df), ["series_id"], one).where("status = 'ok'").select("series_id", F.explode("parts").alias("p"))
+    places = F.slice("p", 4, F.size("p") - 3)
+    head = lambda i: F.element_at("p", i).cast("int")
+    return rows.select(
+        "series_id",
+        head(1).alias("component"),
+        head(2).alias("step"),
+        F.when(head(3) == 0, "max").otherwise("min").alias("kind"),
+        F.explode(places.cast("array<int>")).alias("t"),
+    )
+
+
 def vmd(df: DataFrame, config: K.VmdConfig = K.VmdConfig(), on_error: str = "status") -> DataFrame:
     """Variational mode decomposition of each series."""
     rows = packed(df)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boundary, entropy, grids, metrics, series, spectral
-from ..operators import decompose, directions, training
+from ..operators import decompose, directions, sql, training
 from ..operators.kernels import EmdConfig, VmdConfig
 from ..sources import frames
 from ..streaming import chunks
@@ -178,6 +178,18 @@ def eemd_components(spark, d):
     return decompose.eemd(_users(spark, d), TRIALS, config=PLAIN)
 
 
+def emd_trace(spark, d):
+    """The extrema that the first sifting step of each first mode runs through."""
+    return decompose.emd_trace(_users(spark, d), PLAIN).where("component = 1 and step = 0").select("series_id", "t", "kind")
+
+
+def emd_table_function(spark, d):
+    sql.register(spark)
+    name = f"signals_{uuid.uuid4().hex}"
+    _users(spark, d).createOrReplaceTempView(name)
+    return _summed(spark.sql(f"SELECT * FROM emd(TABLE({name}) PARTITION BY series_id ORDER BY t)"))
+
+
 def sift_once(spark, d):
     once = EmdConfig(validate=False, fixed_iterations=1, max_imfs=1)
     return decompose.emd(_users(spark, d), once, "raise").where("kind = 'imf'").select("series_id", "t", _r("value", 4))
@@ -256,6 +268,11 @@ def instantaneous(spark, d):
     return inst.select("series_id", "t", _r("amp", 5), _r("freq", 5))
 
 
+def instantaneous_forward(spark, d):
+    inst = spectral.instantaneous(spectral.analytic_signal(_users(spark, d)), difference="forward")
+    return inst.select("series_id", "t", _r("freq", 5))
+
+
 def marginal_nyquist(spark, d):
     inst = spectral.instantaneous(spectral.analytic_signal(_users(spark, d)))
     return spectral.marginal_nyquist(inst.withColumn("freq", F.round("freq", 9)), 16).select("series_id", "bin", _r("energy", 4))
@@ -402,9 +419,9 @@ QUERIES = [
     stationarity_score, algorithm_advice, ext_mirror_even, ext_mirror_odd, ext_periodic, ext_slope, ext_palindrome,
     pad_symmetric, pad_periodic, ext_characteristic_wave, ext_ar, ext_waveform, emd_reconstruct,
     emd_palindrome_reconstruct, ceemd_reconstruct, ceemdan_reconstruct, iceemdan_reconstruct, vmd_reconstruct,
-    memd_reconstruct, namemd_reconstruct, emd_status, emd_components, eemd_components, sift_once, emd_summary,
+    memd_reconstruct, namemd_reconstruct, emd_status, emd_components, eemd_components, emd_trace, emd_table_function, sift_once, emd_summary,
     energy_ratios, orthogonality, correlations, mean_abs_correlation, mode_overlap, top_mixed_pairs, mixing_report,
-    recon_error, boundary_artifact, kl_divergence, power_spectrum, analytic_signal, instantaneous, marginal_nyquist,
+    recon_error, boundary_artifact, kl_divergence, power_spectrum, analytic_signal, instantaneous, instantaneous_forward, marginal_nyquist,
     marginal_log, marginal_linear, spectral_entropy, sliding_entropy, permutation_entropy, sample_entropy, complexity,
     dir_hammersley, dir_halton, extrema_2d, extrema_3d, emd_2d_reconstruct, emd_3d_reconstruct, emd_gradient,
     boundary_pairs, classification_metrics, regression_metrics, stream_window_mean, stream_session, stream_dedup,

@@ -145,7 +145,7 @@ def oracle_sql() -> dict[str, str]:
 sl AS (SELECT wn.series_id, wn.start, sig.t - wn.start AS t, sig.value FROM wn JOIN sig ON sig.series_id = wn.series_id AND sig.t >= wn.start AND sig.t < wn.start + 32)"""
     out = dict.fromkeys(
         ["signal_frame", "emd_reconstruct", "emd_palindrome_reconstruct", "ceemd_reconstruct", "ceemdan_reconstruct",
-         "iceemdan_reconstruct", "vmd_reconstruct"], _INPUT,
+         "iceemdan_reconstruct", "vmd_reconstruct", "emd_table_function"], _INPUT,
     )
     out |= dict.fromkeys(["memd_reconstruct", "namemd_reconstruct"], _CHANNEL_INPUT)
     out |= {
@@ -206,6 +206,9 @@ SELECT series_id, round(sum(p * ln(p / q)), 5) + 0.0 AS kl FROM q GROUP BY 1""",
         "power_spectrum": f"WITH {SIG}, {_dft('sig', 'series_id', 'ft')} SELECT series_id, CAST(bin AS INTEGER) AS bin, round(re * re + im * im, 2) + 0.0 AS power FROM ft WHERE bin <= p // 2",
         "analytic_signal": f"WITH {SIG}, {ANALYTIC} SELECT series_id, t, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM ana",
         "instantaneous": f"WITH {SIG}, {INST} SELECT series_id, t, round(amp, 5) + 0.0 AS amp, round(freq, 5) + 0.0 AS freq FROM ins",
+        "instantaneous_forward": f"""WITH {SIG}, {INST} SELECT series_id, t, round(coalesce(lead(ph) OVER w - ph, ph - lag(ph) OVER w, 0.0) / (2 * pi()), 5) + 0.0 AS freq
+FROM phs WINDOW w AS (PARTITION BY series_id ORDER BY t)""",
+        "emd_trace": f"WITH {SIG}, {RUNS}, c AS (SELECT series_id, count(*) FILTER (WHERE kind = 'max') AS a, count(*) FILTER (WHERE kind = 'min') AS b FROM ext GROUP BY 1) SELECT series_id, t, kind FROM ext JOIN c USING (series_id) WHERE a >= 2 AND b >= 2",
         "marginal_nyquist": f"""WITH {SIG}, {INST}, f AS (SELECT series_id, amp, round(freq, 9) AS freq FROM ins)
 SELECT series_id, CAST(floor(freq / 0.5 * 16) AS INTEGER) AS bin, round(sum(amp * amp) / max(n), 4) + 0.0 AS energy FROM f JOIN num USING (series_id) WHERE freq >= 0 AND freq < 0.5 GROUP BY 1, 2""",
         "marginal_log": f"""WITH {SIG}, {INST} SELECT series_id, CAST(floor((log10(freq) + 3) / 6 * 64) AS INTEGER) AS bin, round(sum(amp * amp), 4) + 0.0 AS energy
