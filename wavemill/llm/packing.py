@@ -31,8 +31,10 @@ END_ID = 1
 ROWS_PER_BUCKET = 20_000
 #: Bytes of text that are split into words at once, and words remembered by a worker.
 SLICE_BYTES, MEMORY_WORDS = 4 << 20, 400_000
-#: Words that the tokeniser gets in one call; its results are large objects until they are read.
-CALL_WORDS = 10_000
+#: Words that the tokeniser gets as one string, and strings in one call. Its results are large
+#: objects until they are read. The words are set apart by a string with an id of its own.
+STRING_WORDS, CALL_STRINGS = 50, 200
+APART = "<|startoftext|>"
 #: Marks that follow a letter or number at a word's end are tokenised by themselves. Only letters
 #: that stay single letters in lower case and normal form are listed (U+0130 does not).
 END_MARKS = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}])([.,!?;:|*%$&#]+)( |\n|$)"
@@ -52,6 +54,7 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.apart = self.tokenizer.token_to_id(APART)
         self.at: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
@@ -73,13 +76,14 @@ class _Words:
         self.starts = ends - self.sizes
 
     def _add(self, words: list[str]) -> None:
-        sizes, flat = [], []
-        for i in range(0, len(words), CALL_WORDS):
-            some = self.tokenizer.encode_batch_fast(words[i : i + CALL_WORDS], add_special_tokens=False)
-            ids = [e.ids for e in some]
-            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
-        self._store(words, np.concatenate(flat), np.concatenate(sizes))
+        strings = [APART.join([*words[i : i + STRING_WORDS], ""]) for i in range(0, len(words), STRING_WORDS)]
+        found = []
+        for i in range(0, len(strings), CALL_STRINGS):
+            some = self.tokenizer.encode_batch_fast(strings[i : i + CALL_STRINGS], add_special_tokens=False)
+            found += [np.array(e.ids, np.uint32) for e in some]
+        ids = np.concatenate(found)
+        ends = np.flatnonzero(ids == self.apart)
+        self._store(words, ids[ids != self.apart], np.diff(ends, prepend=-1) - 1)
 
     def _store(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         n, end = len(self.at), self.used + len(flat)
