@@ -33,7 +33,7 @@ def test_fingerprints(docs, corpus, empty):
         by_id[LOW if r[0] is None else r[0]].add(r[1] or "")
     ids = sorted(by_id)
     follows = dict(zip(ids, ids[1:] + ids[:1]))
-    want, fp_of = Counter(), {}
+    want = Counter()
     for r in corpus:
         i = LOW if r[0] is None else r[0]
         if len(by_id[follows[i]]) == 1:  # else the text of the smallest hash follows
@@ -50,7 +50,6 @@ def test_fingerprints(docs, corpus, empty):
         near = sum(bin((r.fp ^ x.fp) & (2**64 - 1)).count("1") <= 3 for x in got) - 1
         assert r.n_near == (near if asked else None)
     assert fingerprints.edited_fingerprints(empty).count() == 0
-    del fp_of
 
 
 def test_block_tables_cover_the_radius():
