@@ -93,7 +93,13 @@ def decompose_stream(events: DataFrame, chunk_size: int = 32, config: K.EmdConfi
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drives a stream over what is there now into a table in memory: for tests and small results."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Drives a stream over what is there now into a table in memory: for tests and small results.
+
+    Progress and state go to the folder that ``spark.checkpoint.dir`` names, where it is set.
+    """
+    spark = stream.sparkSession
+    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        writer = writer.option("checkpointLocation", f"{base.rstrip('/')}/streams/{name}")
+    writer.start().awaitTermination()
+    return spark.table(name)
