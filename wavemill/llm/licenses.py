@@ -86,15 +86,34 @@ RULES = [
 ]
 
 #: Every known sentence has one of these words, so texts without them are not split.
-TRIGGER = r"(?i)licen|permission|copyright|redistrib|compliance|software|public domain"
+TRIGGER = r"(?i)licen|permission|copyright|redistrib|compliance|software|public[^a-z0-9]+domain"
 #: Ends of sentences; a line's end is one too in the first reading.
 SENTENCE_END = r"[.!?;]+[\x20\x09-\x0D]+"
+#: Ends of paragraphs: lines without letters or digits, and list numbers that start a line.
+PARAGRAPH_END = (
+    r"(?:\n[^A-Za-z0-9\n]*)+\n|(?<![Vv]ersion)\n(?=[^A-Za-z0-9\n]*(?:[0-9]{1,2}|[A-Za-z])[.)][\x20\x09])"
+)
+#: Ends of sentences in paragraphs. Notices have ``;`` and ``:`` between sentences (Apache, MIT)
+#: and inside them (GPL), so there is a reading with and one without them; 'v. 2' is no end.
+NOTICE_ENDS = [rf"{PARAGRAPH_END}|(?<!\b[vV])[{marks}]+[\x20\x09-\x0D]+" for marks in (".!?;:", ".!?")]
+#: Forms of the sentence on endorsement, which names the owner ('Inc.' may cut it).
+ENDORSE = (
+    r"^(?:neither the names? of .{1,200} |)nor the names of (?:its|their|the|any|other) contributors may be used to "
+    r"|^the names? of .{1,200} may not be used to (?=endorse)"
+)
 
 
 def normalise(c: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(c, r"[^A-Za-z0-9]+", " ")))
 
 
+def normalise_item(c: Column) -> Column:
+    """A normalised sentence of a paragraph: without its list number, owners' names as in the table."""
+    bare = F.regexp_replace(normalise(c), "^(?:[0-9]{1,2}|[a-z]) ", "")
+    holder = "neither the name of the copyright holder nor the names of its contributors may be used to "
+    return F.regexp_replace(bare, ENDORSE, holder)
+
+
 def match_rules(sequence: Column) -> Column:
     """The licences of a sequence ``' ID ID '`` of identifiers, as an array, in rule order."""
     found = []
@@ -108,11 +127,11 @@ def match_rules(sequence: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_known, sentence_ids, licenses, n_licenses`` of every row.
 
-    A text is read twice: with line ends as sentence ends, and unwrapped, with line ends as
-    spaces. Sentences are normalised and looked up among the known ones (a fixed table, so it
+    A text is read with line ends as sentence ends, unwrapped, with line ends as spaces, and
+    twice by unwrapped paragraphs (see ``NOTICE_ENDS``). Sentences are normalised and looked up among the known ones (a fixed table, so it
     is broadcast). A reading's identifiers, in order, meet the rules in order; a rule
     matches neighbours among the known sentences. ``n_known`` and ``sentence_ids`` describe the
-    first reading, ``licenses`` joins what either found, sorted.
+    first reading, ``licenses`` joins what any found, sorted.
 
     A null or empty text has no licence (``licenses`` is the empty string). Rows of one id are
     scanned apart; repeated rows get equal values. An empty table gives no rows. Other columns
@@ -123,15 +142,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
     known = spark.createDataFrame(list(SENTENCES.items()), "known string, sid string")
     readings = F.array(
-        F.struct(F.lit(0).alias("r"), F.col("text").alias("t")),
-        F.struct(F.lit(1).alias("r"), F.translate("text", "\n", " ").alias("t")),
+        F.struct(F.lit(0).alias("r"), F.split("text", SENTENCE_END + r"|\n").alias("parts")),
+        F.struct(F.lit(1).alias("r"), F.split(F.translate("text", "\n", " "), SENTENCE_END).alias("parts")),
+        *[F.struct(F.lit(r).alias("r"), F.split("text", end).alias("parts")) for r, end in enumerate(NOTICE_ENDS, 2)],
     )
     sentences = (
         rows.where(F.rlike("text", F.lit(TRIGGER)))
         .select("d", "th", F.explode(readings).alias("x"))
-        .select("d", "th", "x.r", F.posexplode(F.split("x.t", SENTENCE_END + r"|\n")).alias("pos", "s"))
+        .select("d", "th", "x.r", F.posexplode("x.parts").alias("pos", "s"))
         .where(F.rlike("s", F.lit(TRIGGER)))
-        .select("d", "th", "r", "pos", normalise(F.col("s")).alias("s"))
+        .select("d", "th", "r", "pos", F.when(F.col("r") < 2, normalise(F.col("s"))).otherwise(normalise_item(F.col("s"))).alias("s"))
     )
     sequences = (
         sentences.join(F.broadcast(known), F.col("s") == F.col("known"))
