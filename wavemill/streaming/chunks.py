@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,8 @@ def without_repeats(events: DataFrame) -> DataFrame:
 
 
 CHUNK_SCHEMA = "series_id long, chunk long, component int, t int, value double, algorithm string"
+#: A rest of a series with fewer samples is not decomposed; it is a residue as it is.
+LEAST = 10
 _STATE = "chunk long, ts array<long>, ids array<long>, x array<double>"
 
 
@@ -60,14 +64,21 @@ def decompose_chunk(x: np.ndarray, config: K.EmdConfig) -> list[np.ndarray]:
         return [x]
 
 
+def _rows(series_id: int, chunk: int, own: np.ndarray, config: K.EmdConfig) -> Iterator[pd.DataFrame]:
+    parts, said = (decompose_chunk(own, config), advice(own)) if len(own) >= LEAST else ([own], "residue")
+    for c, part in enumerate(parts, 1):
+        yield pd.DataFrame({"series_id": series_id, "chunk": chunk, "component": c, "t": np.arange(len(own)), "value": part, "algorithm": said})
+
+
 def decompose_stream(events: DataFrame, chunk_size: int = 32, config: K.EmdConfig = K.EmdConfig(validate=False)) -> DataFrame:
     """``series_id, chunk, component, t, value, algorithm`` of each full chunk of a user's samples.
 
     ``events`` are ``series_id, ts, event_id, value``. Samples wait in the group's state, in
     order of time, until a chunk is full; each chunk is decomposed once. The state holds less
-    than one chunk between triggers.
+    than one chunk between triggers. A stream has no end, so the rest of a series waits on:
+    :func:`decompose_bounded` decomposes it too.
     """
-    if chunk_size < 10:
+    if chunk_size < LEAST:
         raise ValueError("a chunk has at least 10 samples")
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,13 +89,8 @@ def decompose_stream(events: DataFrame, chunk_size: int = 32, config: K.EmdConfi
         rows.sort()
         out = []
         while len(rows) >= chunk_size:
-            own = np.array([r[2] for r in rows[:chunk_size]], float)
+            out += _rows(key[0], chunk, np.array([r[2] for r in rows[:chunk_size]], float), config)
             rows = rows[chunk_size:]
-            said = advice(own)
-            for c, part in enumerate(decompose_chunk(own, config), 1):
-                out.append(
-                    pd.DataFrame({"series_id": key[0], "chunk": chunk, "component": c, "t": np.arange(chunk_size), "value": part, "algorithm": said})
-                )
             chunk += 1
         state.update((chunk, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
         yield from out
@@ -92,14 +98,48 @@ def decompose_stream(events: DataFrame, chunk_size: int = 32, config: K.EmdConfi
     return events.groupBy("series_id").applyInPandasWithState(step, CHUNK_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def decompose_bounded(events: DataFrame, chunk_size: int = 32, config: K.EmdConfig = K.EmdConfig(validate=False)) -> DataFrame:
+    """:func:`decompose_stream` of all that is there now, with the rest of each series as a last, short chunk.
+
+    The rests are what the groups' state holds when the input has ended. Rests under ``LEAST``
+    samples are passed through as component 1, with ``residue`` as algorithm.
+    """
+    name = f"bounded_{uuid.uuid4().hex}"
+    full = run_once(decompose_stream(events, chunk_size, config), name)
+    state = events.sparkSession.read.format("statestore").load(_folder(events, name, "progress"))
+    rests = state.select("key.series_id", "value.groupState.*").where(F.size("x") > 0).select("series_id", "chunk", "x")
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, chunk, x in zip(b["series_id"], b["chunk"], b["x"]):
+                yield from _rows(key, chunk, np.asarray(x, float), config)
+
+    return full.unionByName(rests.mapInPandas(finish, CHUNK_SCHEMA))
+
+
+def _folder(df: DataFrame, name: str, part: str) -> str:
+    """A folder that driver and executors share, below ``spark.checkpoint.dir`` or a new local one where that is missing."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (current := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wavemill-"))
+            current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = current.get()
+    return f"{base.rstrip('/')}/streams/{name}/{part}"
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drives a stream over what is there now into a table in memory: for tests and small results.
+    """Drives a stream over what is there now into Parquet files and reads them back.
 
-    Progress and state go to the folder that ``spark.checkpoint.dir`` names, where it is set.
+    Rows, progress and state go to the folder that ``spark.checkpoint.dir`` names; no row
+    passes through the driver. A complete result replaces the one before.
     """
-    spark = stream.sparkSession
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        writer = writer.option("checkpointLocation", f"{base.rstrip('/')}/streams/{name}")
+    rows = _folder(stream, name, "rows")
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", _folder(stream, name, "progress"))
+    if mode == "append":
+        writer = writer.format("parquet").option("path", rows)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows))
     writer.start().awaitTermination()
-    return spark.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(rows)
