@@ -42,6 +42,9 @@ AS_ITSELF = -6.0
 _SYMBOLS = 28  # 0: not a letter; 1 to 26: a to z; 27: any other letter's bytes
 _STRIP_END = ".,!?;:|*%$&#\"')]}>"
 _STRIP_START = "\"'([{<|*#&%.,;:"
+_AT_END, _AT_START = ({x for c in marks for x in STANDS_FOR.get(c, "")} for marks in (_STRIP_END, _STRIP_START))
+#: Punctuation alone, which may stand between spaced letters.
+_BETWEEN = "".join(c for c in dict.fromkeys(_STRIP_END + _STRIP_START + SEPARATORS) if c not in STANDS_FOR)
 _DISGUISED = re.compile(
     r"(?=.*[^\W\d_])(?:.*[0-9@$!|+€£§(*].*|.*([^\W\d_])\1\1.*|\w(?:[.\-_~'`^*/\\​‌­]+\w){3,}|.*[​‌­].*)",
     re.DOTALL,
@@ -110,6 +113,12 @@ def _lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def _spells(marks: str, letters: str) -> bool:
+    """Whether the letters can be read off the marks, in order, with other marks left out."""
+    left = iter(marks)
+    return all(any(c in STANDS_FOR.get(m, "") for m in left) for c in letters)
+
+
 class Restorer:
     """Plain readings of words, remembered up to a bound."""
 
@@ -117,6 +126,15 @@ class Restorer:
         self.model = model.tolist()
         self.known = known
         self.bare = {_DOUBLE.sub(r"\1", w): w for w in sorted(known)}
+        #: what known words leave without letters that marks at their edges may stand for
+        self.inner: dict[str, list[tuple[str, str, str]]] = {}
+        for w in sorted(known):
+            heads = next((i for i, c in enumerate(w) if c not in _AT_START), len(w))
+            tails = next((i for i, c in enumerate(reversed(w)) if c not in _AT_END), len(w))
+            for i in range(heads + 1):
+                for j in range(max(i + 1, len(w) - tails), len(w) + 1):
+                    if i or j < len(w):
+                        self.inner.setdefault(w[i:j], []).append((w[:i], w[j:], w))
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def read(self, word: str) -> tuple[str, ...]:
@@ -131,6 +149,21 @@ class Restorer:
         core = word.rstrip(_STRIP_END).lstrip(_STRIP_START)
         if not core:
             return ()
+        plain = self._plain(core)
+        if not self.inner or any(w in self.known for w in plain):
+            return plain
+        # marks at the edges are letters where they complete a known word, and else punctuation
+        at = word.index(core)
+        before, after = word[:at], word[at + len(core) :]
+        if any(c in STANDS_FOR for c in before + after):
+            if not any(c.isalpha() for c in core) and any(c in STANDS_FOR for c in core):
+                plain = self.decode(core)
+            for head, tail, w in self.inner.get("".join(plain), ()):
+                if _spells(before, head) and _spells(after, tail):
+                    return (w,)
+        return plain
+
+    def _plain(self, core: str) -> tuple[str, ...]:
         if core in self.known or (core.isalpha() and not _DOUBLE.search(core)):
             return (core,)
         if _DISGUISED.fullmatch(core) or " " in core or _DOUBLE.sub(r"\1", core) in self.bare:
@@ -177,23 +210,37 @@ def _words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), bounds[1:] - bounds[0]
 
 
+def _letter(word: str) -> str | None:
+    """The letter or mark that a word is but for punctuation; None for other words, empty for punctuation alone."""
+    bare = word.strip(_BETWEEN)
+    if len(bare) > 1:
+        bare = bare.rstrip(_STRIP_END).lstrip(_STRIP_START) or bare
+    return bare if not bare or len(bare) == 1 and (bare.isalpha() or bare in STANDS_FOR) else None
+
+
 def _spaced(words: list[str], codes: np.ndarray, ends: np.ndarray) -> list[tuple[int, str]]:
-    """``(text, letters)`` of runs of four and more single letters or marks standing alone."""
+    """``(text, letters)`` of runs of single letters or marks standing alone, whatever spaces and punctuation are between.
+
+    Runs are three and more with a letter among them, or four and more.
+    """
     if not len(codes):
         return []
-    single = np.fromiter((len(w) == 1 and (w.isalpha() or w in STANDS_FOR) for w in words), bool, len(words))
-    at = np.flatnonzero(single[codes])
+    letters = [_letter(w) for w in words]
+    kind = np.fromiter((-1 if x is None else ord(x) if x else 0 for x in letters), np.int64, len(words))
+    places = np.flatnonzero(kind[codes])  # without empty words and punctuation
+    at = np.flatnonzero(kind[codes[places]] > 0)
     if not len(at):
         return []
-    text = np.searchsorted(ends, at, side="right")
+    text = np.searchsorted(ends, places[at], side="right")
     cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(text) > 0)) + 1
     out = []
     for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]])):
-        if b - a >= 4:
-            own = codes[at[a:b]]
+        if b - a >= 3:
+            own = kind[codes[places[at[a:b]]]]
             own = own[np.concatenate([[True], own[1:] != own[:-1]]) | np.concatenate([[True, True], own[2:] != own[:-2]])]
-            if len(set(own.tolist())) > 2:
-                out.append((int(text[a]), " ".join(words[i] for i in own)))
+            run = [chr(k) for k in own]
+            if len(set(run)) > (1 if any(c.isalpha() for c in run) else 2) and (b - a > 3 or any(c.isalpha() for c in run)):
+                out.append((int(text[a]), " ".join(run)))
     return out
 
 
