@@ -12,6 +12,8 @@ from .common import SPACE_RE, fresh, materialise, strip_spaces
 WINDOW = 5
 #: Rows of the sample that cost and selectivity are estimated on.
 SAMPLE_ROWS = 1_500
+#: Words of a block that distinct words are counted in; more words repeat in a longer text.
+BLOCK = 1_000
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -77,12 +79,17 @@ def rules(at: dict[str, str]) -> dict[str, Column]:
     """What each rule rejects. Thresholds leave ordinary prose well inside."""
     c = {k: F.col(v) for k, v in at.items()}
     count = lambda p: F.regexp_count(c["text"], F.lit(p))
+    # the distinct words of each block of BLOCK words, summed: a text of one block is as a whole
+    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(c["w"]) - 1) / BLOCK), F.lit(0)).cast("int"))
+    distinct = F.aggregate(
+        blocks, F.lit(0), lambda n, i: n + F.size(F.array_distinct(F.slice(c["w"], i * BLOCK + 1, F.lit(BLOCK))))
+    )
     return {
         "symbols": 10 * c["n_symbols"] > c["n_words"],
         "repeated lines": 5 * c["n_dup_lines"] > 2 * c["n_lines"],
         "exclamations": 2 * count("!") > c["n_words"],
         "capitals": 2 * count(r"\p{Lu}") > c["word_chars"],
-        "few distinct words": 4 * F.size(F.array_distinct(c["w"])) < c["n_words"],
+        "few distinct words": 4 * distinct < c["n_words"],
     }
 
 
