@@ -1,6 +1,8 @@
 """Removal of repeated substrings by sorting sampled suffixes and inducing the rest.
 
-Sorting every suffix moves the corpus a hundred times. Here a sample of suffixes is sorted
+This replaces external induced suffix sorting: suffixes are not put in lexical order, common
+prefixes are not computed, and windows are compared by 64-bit hashes. That sorting every suffix
+would move the corpus many times is an estimate; no attempt was measured. Here a sample of suffixes is sorted
 and the others are induced from it, level by level:
 
 1. *Seeds.* A suffix is sampled where the hash of its first ``SEED`` bytes is least among the
