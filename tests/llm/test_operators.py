@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -324,29 +325,86 @@ def test_near_dup(docs, corpus, empty):
     assert near_dup.near_duplicates(empty).count() == 0 and near_dup.one_of_each(empty).count() == 0
 
 
-def test_near_dup_in_pieces(spark, monkeypatch):
-    """Lists cut into pieces connect what whole lists connect."""
-    rng = np.random.default_rng(11)
-    centres = rng.integers(-(2**63), 2**63, 5)
-    fps = {int(c) for c in centres}
-    for c in centres:
-        for _ in range(150):
-            x = int(c)
-            for b in rng.choice(63, rng.integers(0, 5), replace=False):
-                x ^= 1 << int(b)
-            fps.add(x)
+def planted(rng, n, centres=5, flips=5):
+    fps = set()
+    while len(fps) < n:
+        x = int(rng.integers(-(2**63), 2**63)) if len(fps) < centres else int(rng.choice(list(fps)[:centres]))
+        for b in rng.choice(63, rng.integers(0, flips), replace=False):
+            x ^= 1 << int(b)
+        fps.add(x)
+    return fps
+
+
+def brute_roots(fps, radius=3):
+    fps = np.array(sorted(fps))
+    root = np.arange(len(fps))
+    for i, x in enumerate(fps):
+        near = np.flatnonzero(np.bitwise_count((fps ^ x).view(np.uint64)) <= radius)
+        for r in set(root[near]):
+            root[root == r] = min(root[near].min(), r)
+        root[np.isin(root, root[near])] = root[near].min()
+    return {(int(f), int(fps[r])) for f, r in zip(fps, root) if fps[r] != f}
+
+
+def test_near_dup_with_longer_keys(spark, monkeypatch):
+    """Lists posted under longer keys connect what brute force connects."""
+    fps = planted(np.random.default_rng(11), 700)
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    want = brute_roots(fps)
     groups = lambda: {(r.node, r.root) for r in near_dup.components(near_dup.links(df)).collect()}
-    want = groups()
-    monkeypatch.setattr(near_dup, "PIECE", 16)
     assert groups() == want and want
-    monkeypatch.undo()
-    assert {(r.node, r.root) for r in near_dup.components(near_dup.links(df, key_bytes=5)).collect()} == want
+    assert near_dup.links(df).count() < 700 * 8
+    for most in (64, 2):
+        monkeypatch.setattr(near_dup, "LIST", most)
+        assert groups() == want
 
 
-def test_position_sets_hold_every_choice():
-    from itertools import combinations
+def test_near_dup_of_a_hot_list(spark):
+    """Over 100,000 fingerprints that share five bytes, most of them far from each other."""
+    rng = np.random.default_rng(5)
+    low = np.unique(rng.integers(0, 1 << 24, 110_000))
+    fps = low | (0x1234567 << 24)
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long").repartition(4)
+    got = {r.node: r.root for r in near_dup.components(near_dup.links(df)).collect()}
+    # brute force: every fingerprint's neighbours by flipping up to three of the 24 bits
+    here = np.zeros(1 << 24, bool)
+    here[low] = True
+    flips = [sum(1 << b for b in c) for k in (1, 2, 3) for c in combinations(range(24), k)]
+    root = np.full(1 << 24, 1 << 24)
+    root[low] = low
+    for _ in range(64):
+        before = root[low].copy()
+        for f in flips:
+            other = low ^ f
+            near = here[other]
+            root[low[near]] = np.minimum(root[low[near]], root[other[near]])
+        root[low] = root[root[low]]
+        if (root[low] == before).all():
+            break
+    base = 0x1234567 << 24
+    assert {int(x) | base: got.get(int(x) | base, int(x) | base) for x in low} == {int(x) | base: int(root[x]) | base for x in low}
 
+
+def test_tally_counts_shared_positions():
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(0, 3, (40, 8)).astype(np.uint8) for _ in range(2))
+    got = near_dup.tally(a.view(np.uint64).ravel(), b.view(np.uint64).ravel())
+    assert all(got[i, j] == sum(x == y for x, y in zip(a[i], b[j])) for i in range(40) for j in range(40))
+
+
+def test_keys_meet_every_pair_within_the_radius():
+    rng = np.random.default_rng(1)
+    for radius in (1, 2, 3):
+        levels = near_dup.key_masks(radius)
+        for _ in range(300):
+            flips = sum(1 << int(b) for b in rng.choice(64, radius, replace=False))
+            now = [0]
+            for masks in levels:  # each level has a key that the pair shares, below any such key of the level before
+                assert all(any(not k & flips for k in masks[m]) for m in now)
+                now = [k for m in now for k in masks[m] if not k & flips]
+
+
+def test_position_sets_hold_every_choice():
     for size in (1, 2, 3, 4, 5):
         sets = near_dup.position_sets(5, size)
         assert all(any(set(s) <= set(c) for s in sets) for c in combinations(range(8), 5)), size

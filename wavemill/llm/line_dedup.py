@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import NO_ID, ascii_lower, fresh, materialise, strip_spaces
 
@@ -16,15 +14,17 @@ MIN_DOCS = 3
 HOT_SHARES = 1000
 
 
-@F.pandas_udf(T.StringType())
-def _without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
-    def one(t, positions):
-        if t is None or positions is None:
-            return t
-        out = set(positions)
-        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out)
+def _without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines at the places ``gone``: the slices of lines between them, joined."""
+    at = F.array_sort(gone)
 
-    return pd.Series([one(t, g) for t, g in zip(text, gone)], dtype=object)
+    def kept(lines: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(at, lambda p: p + 1))
+        ends = F.concat(at, F.array(F.size(lines)))
+        return F.array_join(F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a))), "\n")
+
+    # the array of one element binds the lines, so that they are split once
+    return F.transform(F.array(F.split(text, "\n", -1)), kept)[0]
 
 
 def drop_common_lines(
@@ -92,9 +92,7 @@ def drop_common_lines(
         .withColumn("n_dropped", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
         .withColumn(
             text_col,
-            F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(
-                _without_lines(F.when(F.col(gone).isNotNull(), F.col(text_col)), F.col(gone))
-            ),
+            F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(_without_lines(F.col(text_col), F.col(gone))),
         )
         .select(*keep, "n_lines", "n_dropped")
     )

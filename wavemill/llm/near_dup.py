@@ -1,10 +1,15 @@
-"""SimHash near-dedup over a byte-position inverted index.
-
-A fingerprint is 8 bytes. Two that differ in at most 3 bits share at least 5 bytes at the
-same positions. The index posts every distinct fingerprint under the bytes of a few position
-sets, chosen so that any 5 positions hold at least one of the sets; in each posting list the
-shared positional bytes of a pair are tallied, pairs that reach 5 are kept and then verified
-by their bits. A list gives back a forest that links what is linked, not every pair.
+"""SimHash near-dedup over a byte-position inverted index with count filtering.
+
+A fingerprint is 8 bytes. Two that differ in at most ``radius`` bits share at least 8 - radius
+bytes at the same positions. The index posts every distinct fingerprint under its bytes at a
+few sets of positions, chosen so that whoever shares the guaranteed minimum of positions meets
+in at least one list. In each list the positional bytes that a pair shares are tallied, pairs
+that reach the minimum are kept and then verified by their bits.
+
+The width of a key grows where the corpus needs it: lists over ``LIST`` fingerprints are posted
+anew under more positions, then under half bytes of the positions left, until any list is short
+or at most ``2 ** 12`` fingerprints can exist in it. No list is capped, and none gives back more
+links than it has members: a forest that connects what is connected.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +26,8 @@ from .common import NO_ID, fresh, materialise
 from .simhash import vote, words
 
 RADIUS = 3
-#: A posting list is cut into pieces of about this many fingerprints; pairs of pieces meet.
-PIECE = 2048
+#: Fingerprints of a posting list, at most, before its keys are made longer.
+LIST = 1024
 
 
 def shingle_hashes(df: DataFrame, keys: list[str], text: str, size: int = 3) -> DataFrame:
@@ -59,82 +64,123 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return vote(shingle_hashes(rows, ["d", "th"], "text", size), ["d", "th"], "h")
 
 
-def position_sets(least: int, size: int) -> list[tuple[int, ...]]:
-    """Sets of ``size`` byte positions of which any ``least`` positions hold at least one.
+def position_sets(least: int, size: int, of: tuple[int, ...] = tuple(range(8))) -> list[tuple[int, ...]]:
+    """Sets of ``size`` of the places ``of``, such that any ``least`` places hold at least one.
 
-    Positions fall into as many groups as leave one with ``size`` of any ``least``.
+    Places fall into as many groups as leave one with ``size`` of any ``least``.
     """
     groups = max(1, (least - 1) // (size - 1)) if size > 1 else 1
-    cut = [list(range(8))[i * 8 // groups : (i + 1) * 8 // groups] for i in range(groups)]
+    cut = [of[i * len(of) // groups : (i + 1) * len(of) // groups] for i in range(groups)]
     return [c for g in cut for c in combinations(g, size)]
 
 
-def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links between fingerprints at most ``radius`` bits apart that connect what is connected."""
-    rest, a, b = fps, [], []
-    while len(rest):
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            x = front.pop()
-            differ = rest ^ x
-            shared = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            kept = np.flatnonzero(shared >= 8 - radius)
-            kept = kept[np.bitwise_count(differ[kept]) <= radius]
-            if len(kept):
-                a.append(np.full(len(kept), x))
-                b.append(rest[kept])
-                front += list(rest[kept])
-                rest = np.delete(rest, kept)
-    return a, b
-
-
-def links(distinct: DataFrame, radius: int = RADIUS, key_bytes: int = 3) -> DataFrame:
-    """``a, b``: links that connect exactly the fingerprints connected at ``radius`` bits.
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
-    ``distinct`` holds distinct longs ``fp``. Lists longer than ``PIECE`` are cut by a hash of
-    the fingerprint; each pair of pieces is a task's worth of its own, so no list is ever in
-    one place and none is capped.
-    """
-    sets = position_sets(8 - radius, key_bytes)
-    keys = []
-    for i, s in enumerate(sets):
-        mask = sum(0xFF << (8 * p) for p in s)
-        mask -= (1 << 64) if mask >> 63 else 0
-        keys.append(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(mask)).alias("k")))
-    posted = distinct.select("fp", F.explode(F.array(*keys)).alias("e")).select("fp", "e.i", "e.k")
-    lists = (
-        posted.groupBy(F.col("i").alias("l_i"), F.col("k").alias("l_k"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-    )
-    pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    piece = F.pmod(F.xxhash64("fp"), pieces).cast("int")
-    groups = (
-        posted.join(lists, (F.col("i") == F.col("l_i")) & (F.col("k") == F.col("l_k")))
-        .select("i", "k", "fp", piece.alias("p"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("q"))
-        .groupBy("i", "k", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
-        .agg(F.collect_list("fp").alias("fps"))
-        .select("fps")
-    )
 
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            a, b = [], []
-            for fps in batch["fps"]:
-                x, y = _forest(np.asarray(fps, dtype=np.int64).view(np.uint64), radius)
-                a += x
-                b += y
-            if a:
-                yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
+def key_masks(radius: int) -> list[dict[int, list[int]]]:
+    """For each level of keys the longer keys (as bit masks) that may follow a key; level 0 has the one parent 0.
 
-    return groups.mapInPandas(link, "a long, b long").distinct()
+    Level 0 has sets of as many byte positions as two halves leave to one of them, level 1 all
+    sets of the guaranteed minimum, level 2 the half bytes of the positions left that ``radius``
+    bits must leave equal.
+    """
+    least = 8 - radius
+    byte = lambda places: sum(0xFF << (8 * p) for p in places)
+    first = position_sets(least, min(least, 3))
+    more = {}
+    for s in first:
+        left = [p for p in range(8) if p not in s]
+        more[byte(s)] = [byte(s) | byte(c) for c in combinations(left, least - len(s))]
+    halves = {}
+    for mask in {m for ms in more.values() for m in ms}:
+        left = [h for h in range(16) if not mask >> (4 * h) & 0xF]
+        halves[mask] = [mask | sum(0xF << (4 * h) for h in c) for c in combinations(left, max(0, len(left) - radius))]
+    return [{0: [byte(s) for s in first]}, more, halves]
+
+
+def tally(fps: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Positional bytes that each of ``fps`` shares with each of ``others``, counted position by position."""
+    a, b = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8) for x in (fps, others))
+    shared = np.zeros((len(a), len(b)), np.uint8)
+    for p in range(8):
+        shared += a[:, p, None] == b[None, :, p]
+    return shared
+
+
+def _forest(fps: np.ndarray, radius: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints at most ``radius`` bits apart that connect what is connected.
+
+    The pairs of the list are tallied a block at a time; at most one link less than there are members is kept.
+    """
+    root = np.arange(len(fps))
+    a, b = [], []
+    for i in range(0, len(fps), block):
+        for j in range(i, len(fps), block):
+            x, y = np.nonzero(tally(fps[i : i + block], fps[j : j + block]) >= 8 - radius)
+            x, y = x + i, y + j
+            near = (x < y) & (np.bitwise_count(fps[x] ^ fps[y]) <= radius)
+            x, y = x[near], y[near]
+            while len(apart := np.flatnonzero(root[x] != root[y])):
+                x, y = x[apart], y[apart]
+                # the first link of each root that hangs below a smaller one joins them
+                high, low = np.maximum(root[x], root[y]), np.minimum(root[x], root[y])
+                high, at = np.unique(high, return_index=True)
+                a.append(fps[x[at]])
+                b.append(fps[y[at]])
+                root[high] = low[at]
+                while (root[root] != root).any():
+                    root = root[root]
+    none = np.zeros(0, fps.dtype)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a, b``: links that connect exactly the fingerprints connected at ``radius`` bits.
 
+    ``distinct`` holds distinct longs ``fp``. A list is a mask and the bits under it. Lists of
+    ``LIST`` fingerprints and less are compared; the others are posted again under longer keys,
+    as partial counts tell which these are. Every pair within the radius shares a key of each level.
+    """
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("fps")
+            bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            found = [_forest(flat[s:e], radius) for s, e in zip(bounds[:-1], bounds[1:])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*found)], ["a", "b"])
+
+    levels = key_masks(radius)
+    posted, out = distinct.select("fp", F.lit(0).cast("long").alias("mask")), []
+    for level, masks in enumerate(levels):
+        table = F.create_map(*[x for m, longer in masks.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(k)) for k in longer]))])
+        entries = posted.select("fp", F.explode(table[F.col("mask")]).alias("mask")).distinct() if level else posted.select(
+            "fp", F.explode(table[F.lit(0)]).alias("mask")
+        )
+        entries = entries.withColumn("k", F.col("fp").bitwiseAND(F.col("mask")))
+        counts = entries.groupBy(F.col("mask").alias("l_mask"), F.col("k").alias("l_k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = entries.join(counts, (F.col("mask") == F.col("l_mask")) & (F.col("k") == F.col("l_k")))
+        last = level + 1 == len(levels)
+        met = materialise(met.select("fp", "mask", "k", "n"), "postings") if not last else met
+        short = met if last else met.where(F.col("n") <= LIST)
+        out.append(short.groupBy("mask", "k").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(link, "a long, b long"))
+        posted = met.where(F.col("n") > LIST)
+        if not last and posted.isEmpty():
+            break
+    found = out[0]
+    for more in out[1:]:
+        found = found.union(more)
+    return found.distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node reachable from each end of ``a, b``; roots themselves left out.
 
-    Alternating large-star and small-star rounds; each round is written to the shared
-    folder. The star of a node is its minimum, taken by partial aggregation.
+    Alternating large-star and small-star rounds until nothing changes; each round moves links
+    to smaller nodes, so they end. Each round is written to the shared folder. The star of a
+    node is its minimum, taken by partial aggregation.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -151,13 +197,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return out.where(F.col("a") != F.col("b")).distinct()
 
     now, last = edges, None
-    for _ in range(max_rounds):
+    while True:
         now = materialise(star(star(now, True), False), "star")
         told = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if told == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = told
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def near_duplicates(

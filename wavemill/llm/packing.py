@@ -13,7 +13,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length are ranked in buckets of about so many rows.
 ROWS_PER_BUCKET = 20_000
-#: Bytes of text that are split into words at once, and words remembered by a worker.
-SLICE_BYTES, MEMORY_WORDS = 4 << 20, 400_000
+#: Bytes of text that are split into words at once, and words remembered by a task.
+SLICE_BYTES, MEMORY_WORDS = 2 << 20, 60_000
 #: Words that the tokeniser gets as one string, and strings in one call. Its results are large
 #: objects until they are read. The words are set apart by a string with an id of its own.
 STRING_WORDS, CALL_STRINGS = 50, 200
@@ -49,11 +48,8 @@ class _Words:
     letters and marks, so a text's ids are those of its words and end marks in order.
     """
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
         self.apart = self.tokenizer.token_to_id(APART)
         self.at: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
@@ -131,9 +127,13 @@ class _Words:
         return out, np.concatenate([[0], ends])[bounds[1:] - bounds[0]], whole
 
 
-@lru_cache(maxsize=2)
-def _words(path: str) -> _Words:
-    return _Words(path)
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """The vocabulary, whose size is fixed; a worker keeps it from task to task, and nothing else."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -154,7 +154,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(path)
+        words = _Words(_tokenizer(path))
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for a, b in _slices(texts):

@@ -4,6 +4,9 @@ Words that look disguised (letters swapped for digits or marks, spaced or dotted
 stretched letters) become character lattices. A Viterbi search under a character trigram
 model, counted over the whole corpus, picks the likeliest plain reading. The restored words
 are then scored by a logistic model whose words and weights are learned from labels.
+
+The language model reads code points. Its letters are a to z and those that the corpus uses
+often enough to tell apart; all other letters are one symbol.
 """
 
 from __future__ import annotations
@@ -13,7 +16,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -25,10 +27,15 @@ from .packing import _slices
 
 #: Labelled rows that the classifier is fitted on, of each class at most; taken by hash of the id.
 TRAIN_ROWS = 8_000
-#: Words and beginnings of words that the classifier weighs, at most, and training rows that one must be in.
-FEATURES, MIN_ROWS = 100, 6
+#: A word is weighed if its share among toxic rows is ``LIFT`` times that among the others, and so far
+#: from chance that twice the log likelihood ratio reaches ``SIGNIFICANCE`` (one word in 10,000 by chance).
+LIFT, SIGNIFICANCE = 3.0, 15.14
 #: Letters of the beginnings. Endings vary in many languages, so a stem tells more than each of its forms.
 STEMS = (4, 5, 6)
+#: A letter besides a to z has a symbol of its own if it is at least this share of all letters.
+LETTER_SHARE = 1e-4
+#: Readings that a worker remembers.
+READINGS = 50_000
 
 # Which letters a mark may stand for.
 STANDS_FOR = {
@@ -39,7 +46,7 @@ SEPARATORS = " .-_~'`^*/\\​‌­"
 #: Logarithm of the chance that a writer means a mark as itself.
 AS_ITSELF = -6.0
 
-_SYMBOLS = 28  # 0: not a letter; 1 to 26: a to z; 27: any other letter's bytes
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
 _STRIP_END = ".,!?;:|*%$&#\"')]}>"
 _STRIP_START = "\"'([{<|*#&%.,;:"
 _AT_END, _AT_START = ({x for c in marks for x in STANDS_FOR.get(c, "")} for marks in (_STRIP_END, _STRIP_START))
@@ -50,46 +57,102 @@ _DISGUISED = re.compile(
     re.DOTALL,
 )
 _DOUBLE = re.compile(r"([^\W\d_])\1+")
-_BYTES = np.zeros(256, np.uint8)
-_BYTES[97:123] = _BYTES[65:91] = np.arange(1, 27)
-_BYTES[128:] = 27
 
 
-def character_counts(docs: DataFrame) -> DataFrame:
-    """``code, n``: how often each trigram of symbols occurs in all texts. At most 28**3 rows."""
+def _code_points(texts: pa.Array) -> np.ndarray:
+    """The lower-cased texts' code points, texts set apart by line ends."""
+    return np.frombuffer("\n".join(["", *pc.utf8_lower(texts).to_pylist(), ""]).encode("utf-32-le"), np.uint32)
+
+
+def letter_counts(docs: DataFrame) -> DataFrame:
+    """``code, n``: how often each code point occurs in all texts, lower-cased."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_SYMBOLS**3, np.int64)
+        total = np.zeros(0x110000, np.int64)
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for a, b in _slices(texts):
-                whole = "\n".join(["", *texts.slice(a, b - a).to_pylist(), ""]).encode()
-                s = _BYTES[np.frombuffer(whole, np.uint8)].astype(np.int32)
-                if len(s) > 2:
-                    total += np.bincount(s[:-2] * _SYMBOLS**2 + s[1:-1] * _SYMBOLS + s[2:], minlength=len(total))
+                some = np.bincount(_code_points(texts.slice(a, b - a)))
+                total[: len(some)] += some
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
 
     return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def language_model(counts: DataFrame) -> np.ndarray:
-    """Log chances ``[a, b, c]`` of symbol c after a, b; trigrams backed by pairs backed by single symbols.
+def alphabet(counts: DataFrame) -> str:
+    """The letters with a symbol of their own: a to z, then others in order of their code point.
+
+    To the driver comes a row for each code point in use at most, whatever the corpus.
+    """
+    n = {chr(r["code"]): r["n"] for r in counts.collect() if chr(r["code"]).isalpha()}
+    least = LETTER_SHARE * sum(n.values())
+    return _LATIN + "".join(sorted(c for c, k in n.items() if k >= least and c not in _LATIN))
+
+
+def character_counts(docs: DataFrame, letters: str = _LATIN) -> DataFrame:
+    """``code, n``: how often each trigram of symbols occurs in all texts.
 
-    What comes to the driver is a table of at most 28**3 rows, whatever the corpus.
+    Symbol 0 is no letter, the letters follow from 1 on, and the last is any other letter.
     """
-    n = np.zeros(_SYMBOLS**3)
-    for row in counts.collect():
-        n[row["code"]] = row["n"]
-    n = n.reshape(_SYMBOLS, _SYMBOLS, _SYMBOLS)
-    one = (n.sum((0, 1)) + 1) / (n.sum() + _SYMBOLS)
-    two = (n.sum(0) + 5 * one) / (n.sum((0, 2))[:, None] + 5)
-    three = (n + 5 * two[None]) / (n.sum(2)[:, :, None] + 5)
-    return np.log(three)
+    size = len(letters) + 2
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol = np.array([ord(c) for c in letters], np.uint32)
+        order = np.argsort(symbol)
+        known = np.zeros(0x110000, np.int16)
+        known[symbol[order]] = order + 1
+        asked = np.zeros(0x110000, bool)
+        asked[:128] = asked[symbol] = True
+        found, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text"), "")
+            for a, b in _slices(texts):
+                codes = _code_points(texts.slice(a, b - a))
+                for c in np.unique(codes[~asked[codes]]):
+                    known[c] = (size - 1) * chr(c).isalpha()
+                    asked[c] = True
+                s = known[codes].astype(np.int64)
+                if len(s) > 2:
+                    at, n = np.unique((s[:-2] * size + s[1:-1]) * size + s[2:], return_counts=True)
+                    found, where = np.unique(np.concatenate([found, at]), return_inverse=True)
+                    sums = np.bincount(where, np.concatenate([sums, n]), len(found)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums)], ["code", "n"])
+
+    return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
-def _symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 0 if not c.isalpha() else 27
+
+class LanguageModel:
+    """Log chances of a symbol after two others; trigrams backed by pairs backed by single symbols.
+
+    It holds the trigrams that occur, so it grows with what the corpus shows and not with the
+    third power of the alphabet.
+    """
+
+    def __init__(self, letters: str, counts: dict[int, int]):
+        self.place = {c: i + 1 for i, c in enumerate(letters)}
+        self.size = size = len(letters) + 2
+        codes = np.array(sorted(counts), np.int64)
+        n = np.array([counts[c] for c in codes.tolist()], float)
+        single = (np.bincount(codes % size, n, size) + 1) / (n.sum() + size)
+        follows = np.bincount(codes % size**2, n, size**2).reshape(size, size)
+        after_one = np.bincount(codes // size % size, n, size)
+        self.pair = (follows + 5 * single) / (after_one[:, None] + 5)
+        self.seen = np.bincount(codes // size, n, size**2).reshape(size, size)
+        self.triple = dict(zip(codes.tolist(), n.tolist()))
+
+    def symbol(self, c: str) -> int:
+        return self.place.get(c) or (self.size - 1 if c.isalpha() else 0)
+
+    def chance(self, a: int, b: int, c: int) -> float:
+        n = self.triple.get((a * self.size + b) * self.size + c, 0.0)
+        return math.log((n + 5 * self.pair[b, c]) / (self.seen[a, b] + 5))
+
+
+def language_model(docs: DataFrame) -> LanguageModel:
+    """The model counted over all texts. To the driver come the code points and trigrams in use, with their sums."""
+    letters = alphabet(letter_counts(docs))
+    return LanguageModel(letters, {r["code"]: r["n"] for r in character_counts(docs, letters).collect()})
 
 
 def _lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -122,8 +185,8 @@ def _spells(marks: str, letters: str) -> bool:
 class Restorer:
     """Plain readings of words, remembered up to a bound."""
 
-    def __init__(self, model: np.ndarray, known: frozenset[str] = frozenset()):
-        self.model = model.tolist()
+    def __init__(self, model: LanguageModel, known: frozenset[str] = frozenset()):
+        self.model = model
         self.known = known
         self.bare = {_DOUBLE.sub(r"\1", w): w for w in sorted(known)}
         #: what known words leave without letters that marks at their edges may stand for
@@ -140,7 +203,7 @@ class Restorer:
     def read(self, word: str) -> tuple[str, ...]:
         got = self.seen.get(word)
         if got is None:
-            if len(self.seen) > 200_000:
+            if len(self.seen) >= READINGS:
                 self.seen.clear()
             got = self.seen[word] = self._read(word)
         return got
@@ -170,8 +233,9 @@ class Restorer:
             return self.decode(core)
         return (core,)
 
-    def decode(self, word: str) -> tuple[str, ...]:
-        """The likeliest path through the word's lattice, split into words."""
+    def likeliest(self, word: str) -> tuple[float, str]:
+        """The best path through the word's lattice: its log chance and what it reads."""
+        symbol, chance = self.model.symbol, self.model.chance
         best: dict[tuple[int, int], tuple[float, object]] = {(0, 0): (0.0, None)}
         for options in _lattice(word):
             after: dict[tuple[int, int], tuple[float, object]] = {}
@@ -179,21 +243,24 @@ class Restorer:
                 for text, cost in options:
                     s, x, y = score + cost, a, b
                     for c in text:
-                        k = _symbol(c)
+                        k = symbol(c)
                         if k or y:  # one boundary between words
-                            s += self.model[x][y][k]
+                            s += chance(x, y, k)
                             x, y = y, k
                     if (x, y) not in after or s > after[x, y][0]:
                         after[x, y] = (s, (path, text) if text else path)
             best = after
-        _, path = max(((s + self.model[a][b][0], p) for (a, b), (s, p) in best.items()), key=lambda e: e[0])
+        score, path = max(((s + chance(a, b, 0), p) for (a, b), (s, p) in best.items()), key=lambda e: e[0])
         out = []
         while path is not None:
             path, text = path
             out.append(text)
-        read = "".join(reversed(out)).split()
+        return score, "".join(reversed(out))
+
+    def decode(self, word: str) -> tuple[str, ...]:
+        """The likeliest reading, split into words."""
         # doubled letters say little here: take the known word that differs in them only
-        return tuple(w if w in self.known else self.bare.get(_DOUBLE.sub(r"\1", w), w) for w in read)
+        return tuple(w if w in self.known else self.bare.get(_DOUBLE.sub(r"\1", w), w) for w in self.likeliest(word)[1].split())
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -279,16 +346,33 @@ def feature_hits(texts: pa.Array, restorer: Restorer, places: dict[str, int]) ->
     return pairs[0], pairs[1]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def fit_logistic(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, size: int, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
+    """Ridge logistic regression on ``size`` features that are present at ``rows, columns``; the last weight is the bias.
+
+    Newton steps, each solved by conjugate gradients: memory is that of the present pairs.
+    """
+    w = np.zeros(size + 1)
+    penalty = np.full(size + 1, ridge)
     penalty[-1] = 1e-3
+    ahead = lambda v: np.bincount(rows, v[columns], len(y)) + v[-1]
+    back = lambda v: np.append(np.bincount(columns, v[rows], size), v.sum())
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
-        w -= step
+        p = 1 / (1 + np.exp(-np.clip(ahead(w), -30, 30)))
+        curve = p * (1 - p)
+        rest = -(back(p - y) + penalty * w)
+        diagonal = back(curve) + penalty
+        step, turn = np.zeros(size + 1), rest / diagonal
+        now, least = rest @ turn, 1e-12 * (rest @ (rest / diagonal))
+        for _ in range(4 * (size + 1)):
+            if now <= least:
+                break
+            along = back(curve * ahead(turn)) + penalty * turn
+            by = now / (turn @ along)
+            step += by * turn
+            rest = rest - by * along
+            old, now = now, rest @ (rest / diagonal)
+            turn = rest / diagonal + now / old * turn
+        w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -297,9 +381,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
 def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, text, toxic`` of labelled rows outside the held-out fold.
 
-    ``train_rows`` of each class at most. Near copies would make every word of theirs look
-    telling, so of rows that share a minimum over two hashes of their five-word shingles one
-    is kept.
+    About ``train_rows`` of each class at most: of a larger class, those whose id's hash is in
+    that share of its range. Near copies would make every word of theirs look telling, so of
+    rows that share a minimum over two hashes of their five-word shingles one is kept.
     """
     y = (
         labels.where("toxic is not null and doc_id is not null")
@@ -307,8 +391,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
         .agg(F.max("toxic").alias("toxic"))
         .where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     )
-    take = lambda t: y.where(f"toxic = {t}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    chosen = take(0).union(take(1)).select(F.col("doc_id").alias("y_id"), "toxic")
+    size = {r["toxic"]: r["n"] for r in y.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).where("toxic in (0, 1)").collect()}
+    share = lambda t: min(1.0, train_rows / max(size.get(t, 0), 1))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
+    chosen = y.where((F.col("toxic").isin(0, 1)) & (place < F.when(F.col("toxic") == 1, share(1)).otherwise(share(0)))).select(
+        F.col("doc_id").alias("y_id"), "toxic"
+    )
     rows = materialise(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(chosen, F.col("doc_id") == F.col("y_id"))
@@ -329,9 +417,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     return kept.select("doc_id", "text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """The language model, the classifier's words and their weights (bias last)."""
-    model = language_model(character_counts(docs))
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LanguageModel, list[str], np.ndarray]:
+    """The language model, the classifier's words and their weights (bias last).
+
+    Every word and beginning of a word of the training rows that tells more than chance is
+    weighed; what comes to the driver is bounded by the training rows, not by the corpus.
+    """
+    model = language_model(docs)
     train = materialise(training_rows(docs, labels, train_rows), "train")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,21 +447,24 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
         .mapInArrow(words, "word string, toxic int")
         .groupBy("word")
         .agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-        .where(f"a + b >= {MIN_ROWS} and a * {no} > b * {yes}")
+        .where(F.col("a") * no >= LIFT * F.col("b") * yes)
     )
-    # the information that the word's presence gives on the label
-    pa_, pb = (F.col("a") + 0.5) / (yes + 1), (F.col("b") + 0.5) / (no + 1)
-    gain = (F.col("a") + 0.5) * F.log(pa_ / pb) + (yes - F.col("a") + 0.5) * F.log((1 - pa_) / (1 - pb))
-    names, taken = [], set()
-    for r in counted.orderBy(gain.desc(), F.length("word").desc(), "word").limit(4 * FEATURES).collect():
-        # a word and its beginnings in the same rows are one feature, the longest
-        same = (r["word"][: STEMS[0]], r["a"], r["b"])
-        if same not in taken and len(names) < FEATURES:
-            taken.add(same)
-            names.append(r["word"])
+    # twice the log likelihood ratio of the word's presence and the label
+    held, all_ = F.col("a") + F.col("b"), yes + no
+    cells = [
+        (F.col("a"), held * yes / all_),
+        (F.col("b"), held * no / all_),
+        (yes - F.col("a"), (all_ - held) * yes / all_),
+        (no - F.col("b"), (all_ - held) * no / all_),
+    ]
+    ratio = sum(F.when(n > 0, n * F.log(n / expected)).otherwise(0.0) for n, expected in cells)
+    told = {r["word"]: (r["a"], r["b"]) for r in counted.where(2 * ratio >= SIGNIFICANCE).collect()}
+    # a beginning in just the rows of a longer feature tells no more than that one
+    longer = {(f, told[w]) for w in told for f in features_of(w.rstrip("*"))[1:] if f != w}
+    names = sorted(w for w in told if (w, told[w]) not in longer)
     places = {w: i for i, w in enumerate(names)}
 
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model, frozenset(n for n in names if n[-1] != "*"))
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
@@ -387,13 +482,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
         .orderBy("doc_id", "toxic", "found")
         .collect()
     )
-    x = np.zeros((len(rows), len(names)), np.float64)
-    for i, r in enumerate(rows):
-        x[i, r["found"]] = 1
-    return model, names, fit_logistic(x, np.array([r["toxic"] for r in rows], float))
+    present = np.repeat(np.arange(len(rows)), [len(r["found"]) for r in rows])
+    found = np.array([f for r in rows for f in r["found"]], np.int64)
+    return model, names, fit_logistic(present, found, np.array([r["toxic"] for r in rows], float), len(names))
 
 
-def score(docs: DataFrame, fitted: tuple[np.ndarray, list[str], np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, fitted: tuple[LanguageModel, list[str], np.ndarray]) -> DataFrame:
     """``doc_id, th, score`` of every row; ``th`` is the text's hash."""
     model, names, weights = fitted
     places = {w: i for i, w in enumerate(names)}
