@@ -5,10 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.functions import boundary, metrics
+from wavemill.functions import boundary, entropy, metrics
 from wavemill.operators import decompose, training
 from wavemill.operators.kernels import EmdConfig
-from wavemill.sources import frames
+from wavemill.sources import frames, jobs
 from wavemill.streaming import chunks
 
 
@@ -42,6 +42,62 @@ def test_eemd_is_deterministic_and_reports_failures(mixed):
     assert {r.series_id: r.status for r in a if r.status != "ok"} == {1: "insufficient_data", 2: "invalid_value"}
 
 
+@pytest.mark.parametrize("f", [decompose.ceemdan, decompose.iceemdan])
+def test_adaptive_ensembles(spark, mixed, f):
+    c = EmdConfig(validate=False, max_imfs=2)
+    a, b, other = ({(r.series_id, r.component, r.t): r.value for r in f(mixed, 3, 0.2, seed, c, "drop").collect()} for seed in (1, 1, 2))
+    x = {(r.series_id, r.t): r.value for r in mixed.where("series_id = 0").collect()}
+    assert max(abs(sum(a[0, k, t] for k in (1, 2, 3)) - v) for (_, t), v in x.items()) < 1e-9
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a) and any(abs(a[k] - other[k]) > 1e-3 for k in a)
+    assert {k[0] for k in a} == {0}
+    failed = {r.series_id: r.status for r in f(mixed, 2, 0.2, 1, c).where("status <> 'ok'").collect()}
+    assert failed == {1: "insufficient_data", 2: "invalid_value"}
+    with pytest.raises(Exception, match="decomposition failed"):
+        f(mixed, 2, 0.2, 1, c, "raise").collect()
+
+
+def test_a_series_that_does_not_converge_stays_whole(spark):
+    df = training.synthetic(spark, "two_tone", 200)
+    c = EmdConfig(validate=False, max_siftings=1, sd_threshold=1e-12, s_number=None, energy_threshold=None)
+    assert decompose.emd(df, c).first().status == "convergence_failed"
+    got = decompose.emd(df, c, "whole").orderBy("t").collect()
+    assert [r.value for r in got] == [r.value for r in df.orderBy("t").collect()] and {r.kind for r in got} == {"residue"}
+
+
+def test_every_strategy_by_name(spark):
+    df = training.synthetic(spark, "two_tone", 60)
+    x = [r.value for r in df.orderBy("t").collect()]
+    for name in [*boundary.STRATEGIES, "ar_model", "characteristic_wave"]:
+        r = decompose.extend(df, name).first()
+        assert r.x[r.start : r.end] == x and len(r.x) > 60, name
+    with pytest.raises(ValueError):
+        decompose.extend(df, "other")
+
+
+def test_jobs(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("# a comment\nuser,n,v\n1,2,0.5\n1,1,0.25\n2,1,3.0\n")
+    spec = jobs.JobSpec(str(path), "user", ("n",), "v", "csv", str(tmp_path / "out"))
+    assert sorted(map(tuple, jobs.read_job(spark, spec).collect())) == [(1, 0, 0.25), (1, 1, 0.5), (2, 0, 3.0)]
+    jobs.write_job(jobs.read_job(spark, spec), spec)
+    assert spark.read.parquet(spec.sink).count() == 3
+    with pytest.raises(ValueError):
+        jobs.JobSpec("x", "a", ("b",), "c", "http")
+
+
+def test_collections(spark):
+    rows = [(0, 1, t, 1.0) for t in range(3)] + [(0, 2, t, 1.0) for t in range(2)] + [(1, 1, 0, float("nan"))]
+    got = metrics.validate_collection(spark.createDataFrame(rows, "series_id long, component int, t int, value double")).collect()
+    assert {r.series_id: r.status for r in got} == {0: "dimension_mismatch", 1: "invalid_value"}
+
+
+def test_entropies_by_name(spark):
+    df = training.synthetic(spark, "two_tone", 100)
+    assert all(entropy.entropy_by_name(df, n).first().entropy > 0 for n in entropy.METRICS)
+    with pytest.raises(ValueError):
+        entropy.entropy_by_name(df, "other")
+
+
 def test_reports(spark):
     o = spark.createDataFrame([(0, 1, 2, 0.5), (0, 1, 3, 0.01), (0, 2, 3, 0.2)], "series_id long, i int, j int, overlap double")
     r = metrics.mixing_report(o).first()

@@ -52,6 +52,30 @@ def sample_entropy(df: DataFrame, m: int = 2, r: float = 0.2, keys: tuple[str, .
     return rows.mapInPandas(run, schema)
 
 
+#: Entropies by name, each from a frame and its keys to ``keys, entropy``. More may be added.
+METRICS = {
+    "spectral": lambda df, keys: spectral_entropy(power_spectrum(df, keys, one_sided=False), None, keys),
+    "permutation": lambda df, keys: permutation_entropy(df, 3, keys).select(*keys, "entropy"),
+    "sample": lambda df, keys: sample_entropy(df, 2, 0.2, keys),
+}
+
+
+def entropy_by_name(df: DataFrame, name: str, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    if name not in METRICS:
+        raise ValueError(f"unknown entropy {name!r}; known: {sorted(METRICS)}")
+    return METRICS[name](df, keys)
+
+
+def entropy_report(modes: DataFrame) -> DataFrame:
+    """Per series: means of the modes' entropies, the score of these means and whether the complexity is high."""
+    per = complexity(modes)
+    means = per.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("modes"), *[F.avg(c).alias(c) for c in ("spectral", "permutation", "sample")]
+    )
+    score = (F.col("spectral") + F.col("permutation") + F.least(F.col("sample") / 2, F.lit(1.0))) / 3
+    return means.select("*", score.alias("score"), (F.col("spectral") > 0.7).alias("high_complexity"))
+
+
 def complexity(df: DataFrame, keys: tuple[str, ...] = ("series_id", "component")) -> DataFrame:
     """Per component: normalised spectral and permutation entropy, sample entropy and their mean score."""
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

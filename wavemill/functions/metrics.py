@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .spectral import dft_magnitude
+
 
 def reconstruct(parts: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """The sum of all components at each sample."""
@@ -181,6 +183,25 @@ def boundary_artifact(df: DataFrame, edge: int = 10) -> DataFrame:
     return agg.select("series_id", F.when(F.coalesce("i", F.lit(0.0)) < 1e-12, 1.0).otherwise(F.col("e") / F.col("i")).alias("artifact"))
 
 
+def boundary_artifact_rms(df: DataFrame, edge: int = 10, margin: int = 10) -> DataFrame:
+    """Per series: root mean square of the first and last ``edge`` samples by that of the interior.
+
+    The interior leaves out ``edge`` samples and ``margin`` more on either side; 1 where it is empty or flat.
+    """
+    n = F.count(F.lit(1)).over(W.partitionBy("series_id"))
+    at_edge = (F.col("t") < edge) | (F.col("t") >= F.col("n") - edge)
+    inside = (F.col("t") >= edge + margin) & (F.col("t") < F.col("n") - edge - margin)
+    rms = lambda c: F.sqrt(F.avg(F.when(c, F.col("value") * F.col("value"))))
+    agg = df.withColumn("n", n).groupBy("series_id").agg(rms(at_edge).alias("e"), rms(inside).alias("i"))
+    return agg.select("series_id", F.when(F.coalesce("i", F.lit(0.0)) < 1e-12, 1.0).otherwise(F.col("e") / F.col("i")).alias("artifact"))
+
+
+def spectral_distortion(original: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """Per series: divergence of the original's magnitude spectrum from that of what was rebuilt of it."""
+    p, q = (dft_magnitude(x).withColumnRenamed("magnitude", "power") for x in (original, rebuilt))
+    return kl_divergence(p, q).withColumnRenamed("kl", "distortion")
+
+
 def kl_divergence(p: DataFrame, q: DataFrame, floor: float = 1e-10) -> DataFrame:
     """Per series: divergence of ``series_id, bin, power`` of p from q, both normalised."""
     total = lambda: F.sum("power").over(W.partitionBy("series_id"))
@@ -196,6 +217,42 @@ def layer_statistics(parts: DataFrame) -> DataFrame:
     ).where("component is not null")
 
 
+def z_slices(volume: DataFrame) -> DataFrame:
+    """Each slice of ``volume_id, z, y, x, value`` as an image: ``image_id`` (volume and z), ``row, col, value``."""
+    return volume.select(F.struct("volume_id", "z").alias("image_id"), F.col("y").alias("row"), F.col("x").alias("col"), "value")
+
+
+def z_columns(volume: DataFrame) -> DataFrame:
+    """Each line along z as a signal: ``series_id`` (volume, y and x), ``t, value``."""
+    return volume.select(F.struct("volume_id", "y", "x").alias("series_id"), F.col("z").alias("t"), "value")
+
+
+def equal_mode_counts(parts: DataFrame) -> DataFrame:
+    """All series with as many modes as the one with most; modes that a series lacks are zero.
+
+    ``parts`` are ``series_id, component, kind, t, value``; the residue stays and is numbered last.
+    """
+    most = parts.where("kind = 'imf'").agg(F.coalesce(F.max("component"), F.lit(0)).alias("most"))
+    rest = parts.where("kind = 'residue'").select("series_id", "t", "value", F.col("component").alias("own"))
+    filled = rest.join(F.broadcast(most)).where("own <= most").select(
+        "series_id", F.explode(F.sequence("own", "most")).alias("component"), F.lit("imf").alias("kind"), "t", F.lit(0.0).alias("value")
+    )
+    last = rest.join(F.broadcast(most)).select("series_id", (F.col("most") + 1).cast("int").alias("component"), F.lit("residue").alias("kind"), "t", "value")
+    return parts.where("kind = 'imf'").select(*last.columns).unionByName(filled).unionByName(last)
+
+
+def validate_collection(parts: DataFrame) -> DataFrame:
+    """Per series of components: their number, the samples of the shortest and longest, and ``status``."""
+    per = parts.groupBy("series_id", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("value").isNull() | F.isnan("value")).cast("int")).alias("bad")
+    )
+    agg = per.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("components"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.sum("bad").alias("bad")
+    )
+    status = F.when(F.col("bad") > 0, "invalid_value").when(F.col("shortest") != F.col("longest"), "dimension_mismatch").otherwise("ok")
+    return agg.select("series_id", "components", "shortest", "longest", status.alias("status"))
+
+
 def classification(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Accuracy, precision, recall and F1 of 0/1 columns."""
     t, p = F.col(truth) == 1, F.col(predicted) == 1

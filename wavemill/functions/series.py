@@ -139,3 +139,16 @@ def stationarity(df: DataFrame, keys: tuple[str, ...] = ("series_id",), threshol
 def algorithm_advice(score: Column) -> Column:
     """The decomposition that a stationarity score advises."""
     return F.when(score > 0.8, "emd").when(score >= 0.5, "eemd").otherwise("ceemdan")
+
+
+def last_samples(df: DataFrame, capacity: int) -> DataFrame:
+    """A ring buffer's view: the last ``capacity`` samples of each series, ``place`` 0 being the oldest of them."""
+    if capacity < 1:
+        raise ValueError("a buffer holds at least one sample")
+    back = F.row_number().over(W.partitionBy("series_id").orderBy(F.col("t").desc()))
+    n = F.count(F.lit(1)).over(W.partitionBy("series_id"))
+    return (
+        df.withColumns({"back": back, "n": n})
+        .where(F.col("back") <= capacity)
+        .select("series_id", (F.least("n", F.lit(capacity)) - F.col("back")).cast("int").alias("place"), "t", "value")
+    )

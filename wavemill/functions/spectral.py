@@ -127,6 +127,21 @@ def power_spectrum(df: DataFrame, keys: tuple[str, ...] = ("series_id",), one_si
     return _transform(df, keys, ("power",), f).withColumnRenamed("i", "bin")
 
 
+def dft_magnitude(df: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """``keys, bin, magnitude`` of the transform without padding: bins below half the length, by the length."""
+    f = lambda x: (np.abs(np.fft.fft(x))[: len(x) // 2] / max(1, len(x)),)
+    return _transform(df, keys, ("magnitude",), f).withColumnRenamed("i", "bin")
+
+
+def hilbert_imf(modes: DataFrame, sample_rate: float = 1.0, bins: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Amplitude, phase and frequency of each component at each sample, and the marginal spectrum of them all."""
+    if sample_rate <= 0:
+        raise ValueError("the sample rate is positive")
+    keys = ("series_id", "component")
+    inst = instantaneous(analytic_signal(modes, keys), keys, sample_rate, "forward")
+    return inst, marginal_nyquist(inst, bins, sample_rate)
+
+
 def spectral_entropy(spectra: DataFrame, n: DataFrame | None = None, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """``keys, entropy`` of two-sided spectra; with ``keys, n`` also ``normalized`` by the logarithm of n, at most 1."""
     total = F.sum("power").over(W.partitionBy(*keys))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import boundary, series
+from ..sources import shared
 from ..sources.frames import packed
 from . import kernels as K
 from .directions import direction_vectors
@@ -27,8 +29,11 @@ def series_seed(series) -> int:
     return int(series) if isinstance(series, (int, np.integer)) else zlib.crc32(str(series).encode())
 
 
-def _apply(rows: DataFrame, keep: list[str], f: Callable) -> DataFrame:
-    """``keep``, ``status`` and ``parts`` of each row; ``f(row)`` gives the parts or raises SignalError."""
+def _apply(rows: DataFrame, keep: list[str], f: Callable, whole: bool = False) -> DataFrame:
+    """``keep``, ``status`` and ``parts`` of each row; ``f(row)`` gives the parts or raises SignalError.
+
+    With ``whole`` a signal that does not converge is its own residue; its status tells.
+    """
     schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep) + ", " + _PARTS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,7 +44,7 @@ def _apply(rows: DataFrame, keep: list[str], f: Callable) -> DataFrame:
                     parts.append([np.asarray(p, float) for p in f(row)])
                     status.append("ok")
                 except K.SignalError as e:
-                    parts.append(None)
+                    parts.append([np.asarray(row.x, float)] if whole and e.code == "convergence_failed" else None)
                     status.append(e.code)
             out = batch[keep].copy()
             out["status"], out["parts"] = status, parts
@@ -50,8 +55,8 @@ def _apply(rows: DataFrame, keep: list[str], f: Callable) -> DataFrame:
 
 def _long(done: DataFrame, keys: list[str], on_error: str) -> DataFrame:
     """``keys, component, kind, t, value`` of packed parts; failed series come as one row with their status."""
-    if on_error not in ("status", "raise", "drop"):
-        raise ValueError("on_error is status, raise or drop")
+    if on_error not in ("status", "raise", "drop", "whole"):
+        raise ValueError("on_error is status, raise, drop or whole")
     if on_error == "raise":
         said = F.raise_error(F.concat(F.lit("decomposition failed: "), F.col("status")))
         done = done.withColumn("parts", F.when(F.col("status") != "ok", said).otherwise(F.col("parts")))
@@ -64,9 +69,14 @@ def _long(done: DataFrame, keys: list[str], on_error: str) -> DataFrame:
 
 
 def emd(df: DataFrame, config: K.EmdConfig = K.EmdConfig(), on_error: str = "status") -> DataFrame:
-    """Empirical mode decomposition of each series of a long frame."""
+    """Empirical mode decomposition of each series of a long frame.
+
+    ``on_error``: a series that cannot be decomposed is a row with its ``status``, ends the job
+    (``raise``) or is left out (``drop``). With ``whole`` one that does not converge is its own
+    residue, so that all samples come back; others are left out.
+    """
     rows = packed(df)
-    return _long(_apply(rows, ["series_id"], lambda r: K.emd(r.x, config)), ["series_id"], on_error)
+    return _long(_apply(rows, ["series_id"], lambda r: K.emd(r.x, config), on_error == "whole"), ["series_id"], on_error)
 
 
 def emd_trace(df: DataFrame, config: K.EmdConfig = K.EmdConfig()) -> DataFrame:
@@ -96,7 +106,7 @@ def emd_trace(df: DataFrame, config: K.EmdConfig = K.EmdConfig()) -> DataFrame:
 def vmd(df: DataFrame, config: K.VmdConfig = K.VmdConfig(), on_error: str = "status") -> DataFrame:
     """Variational mode decomposition of each series."""
     rows = packed(df)
-    return _long(_apply(rows, ["series_id"], lambda r: K.vmd(r.x, config)), ["series_id"], on_error)
+    return _long(_apply(rows, ["series_id"], lambda r: K.vmd(r.x, config), on_error == "whole"), ["series_id"], on_error)
 
 
 def _trials(df: DataFrame, trials: int, signs: tuple[int, ...]) -> DataFrame:
@@ -152,16 +162,79 @@ def ceemd(df: DataFrame, trials: int = 100, noise_std: float = 0.2, seed: int =
     return _ensemble(df, trials, noise_std, seed, config, (1, -1), True)
 
 
+def _staged(df: DataFrame, trials: int, noise_std: float, seed: int, config: K.EmdConfig, on_error: str, own_modes: bool) -> DataFrame:
+    """Adaptive ensembles stage by stage.
+
+    A stage deals out its first modes by series and trial, averages them with partial sums and
+    takes the mean off; the residues that go on are written to the shared folder, as the next
+    stage reads them several times. Stages are few: as many as the longest list of modes.
+    """
+    spark = df.sparkSession
+    spread = lambda x: noise_std * float(np.std(x))
+
+    def begin(r) -> list[np.ndarray]:
+        return [K.check(r.x)]
+
+    started = shared.materialise(_apply(packed(df), ["series_id"], begin), "stage")
+    live = started.where("status = 'ok'").select("series_id", F.element_at("parts", 1).alias("x"))
+    done, k = [], 0
+    while not live.isEmpty():
+
+        def first(r, k: int = k) -> list[np.ndarray]:
+            x = np.asarray(r.x, float)
+            added = K.trial_noise(len(x), spread(x), k, r.trial, (seed, series_seed(r.series_id)), own_modes, config)
+            return [K.first_mode(x + added, config)]
+
+        dealt = live.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).repartition("series_id", "trial")
+        modes = (
+            _apply(dealt, ["series_id"], first)
+            .select("series_id", F.posexplode(F.element_at("parts", 1)).alias("t", "v"))
+            .groupBy("series_id", "t")
+            .agg((F.sum("v") / F.lit(float(trials))).alias("value"))
+        )
+        mean = packed(modes).withColumnsRenamed({"series_id": "m_id", "x": "mode"})
+
+        def take_off(r, k: int = k) -> list[np.ndarray]:
+            x, mode = np.asarray(r.x, float), np.asarray(r.mode, float)
+            if k and float(np.dot(mode, mode)) < 1e-15 * float(np.dot(x, x)):
+                return [x]  # no mode any more: the residue stays
+            return [x - mode, mode]
+
+        step = shared.materialise(_apply(live.join(mean, F.col("series_id") == F.col("m_id")), ["series_id"], take_off), "stage")
+        went = step.where(F.size("parts") == 2)
+        done.append(went.select("series_id", F.lit(k + 1).alias("component"), F.lit("imf").alias("kind"), F.element_at("parts", 2).alias("part")))
+        k += 1
+        over = lambda r, k=k: [np.asarray(r.x, float)] * (2 if K.ends(np.asarray(r.x, float), k, config) else 1)
+        left = shared.materialise(_apply(went.select("series_id", F.element_at("parts", 1).alias("x")), ["series_id"], over), "stage")
+        last = step.where(F.size("parts") == 1).select("series_id", F.lit(k).alias("component"), F.element_at("parts", 1).alias("part"))
+        ended = left.where(F.size("parts") == 2).select("series_id", F.lit(k + 1).alias("component"), F.element_at("parts", 1).alias("part"))
+        done += [x.select("series_id", "component", F.lit("residue").alias("kind"), "part") for x in (last, ended)]
+        live = left.where(F.size("parts") == 1).select("series_id", F.element_at("parts", 1).alias("x"))
+    columns = ["series_id", "component", "kind", "t", "value"]
+    kind = df.schema["series_id"].dataType.simpleString()
+    out = spark.createDataFrame([], f"series_id {kind}, component int, kind string, t int, value double")
+    for d in done:
+        out = out.union(d.select("series_id", "component", "kind", F.posexplode("part").alias("t", "value")))
+    failed = started.where("status <> 'ok'")
+    if on_error == "raise":
+        said = F.raise_error(F.concat(F.lit("decomposition failed: "), F.col("status")))
+        return out.unionByName(failed.select("series_id", said.cast("double").alias("value")), allowMissingColumns=True)
+    if on_error != "status":
+        return out
+    return out.select(*columns, F.lit("ok").alias("status")).unionByName(failed.select("series_id", "status"), allowMissingColumns=True)
+
+
 def ceemdan(df: DataFrame, trials: int = 100, noise_std: float = 0.2, seed: int = 0, config: K.EmdConfig = K.EmdConfig(), on_error: str = "status") -> DataFrame:
-    """Adaptive noise: each stage takes the mean first mode off. Stages follow each other, so series are the unit."""
-    f = lambda r: K.ceemdan(r.x, trials, noise_std, (seed, series_seed(r.series_id)), config)
-    return _long(_apply(packed(df), ["series_id"], f), ["series_id"], on_error)
+    """Adaptive noise: each stage takes the mean first mode off, over trials of the residue with noise at its own spread.
+
+    A trial that fails is its own mode.
+    """
+    return _staged(df, trials, noise_std, seed, config, on_error, False)
 
 
 def iceemdan(df: DataFrame, trials: int = 100, noise_std: float = 0.2, seed: int = 0, config: K.EmdConfig = K.EmdConfig(), on_error: str = "status") -> DataFrame:
-    """As :func:`ceemdan` with modes of noise instead of noise."""
-    f = lambda r: K.iceemdan(r.x, trials, noise_std, (seed, series_seed(r.series_id)), config)
-    return _long(_apply(packed(df), ["series_id"], f), ["series_id"], on_error)
+    """As :func:`ceemdan` with the k-th mode of noise at stage k; where noise has none, nothing is added."""
+    return _staged(df, trials, noise_std, seed, config, on_error, True)
 
 
 def _channels(df: DataFrame) -> DataFrame:
@@ -205,7 +278,12 @@ def _by_series():
 
 
 def memd(df: DataFrame, directions: int = 64, sampling: str = "hammersley", seed: int = 0, config: K.EmdConfig = K.EmdConfig(), on_error: str = "status") -> DataFrame:
-    """Multivariate decomposition of ``series_id, channel, t, value`` with envelopes along ``directions``."""
+    """Multivariate decomposition of ``series_id, channel, t, value`` with envelopes along ``directions``.
+
+    Each sifting step needs all channels and directions of a series, so a series with its
+    channels is the unit of work: it has to fit a task (some ten times 8 bytes a sample and
+    channel). Series are dealt out; a longer signal is cut into series first.
+    """
 
     def one(r) -> np.ndarray:
         x = _stack(r.x)
@@ -302,36 +380,74 @@ def emd_gradient(df: DataFrame, config: K.EmdConfig = K.EmdConfig()) -> DataFram
     return done.where("status = 'ok'").select("series_id", F.posexplode(F.element_at("parts", 1)).alias("t", "value"))
 
 
-def ar_extend(df: DataFrame, order: int = 5, length: int = 10) -> DataFrame:
-    """``series_id, x, start, end``: packed signals with autoregressive forecasts at both ends."""
+def context_errors(df: DataFrame, parts: DataFrame, trace: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Checks what a forward pass keeps for the gradient: ``series_id, modes, steps, max_error, valid``.
 
-    def one(r):
-        x = K.check(r.x)
-        return [np.concatenate([K.forecast(x[::-1], length, order)[::-1], x, K.forecast(x, length, order)])]
+    The parts have to sum to the signal, every mode needs a step, steps are numbered from 0, and extrema lie inside.
+    """
+    sums = parts.groupBy(F.col("series_id").alias("p_id"), F.col("t").alias("p_t")).agg(F.sum("value").alias("sum"))
+    error = (
+        df.join(sums, (F.col("series_id") == F.col("p_id")) & (F.col("t") == F.col("p_t")), "left")
+        .groupBy("series_id")
+        .agg(F.max(F.abs(F.col("value") - F.coalesce("sum", F.lit(0.0)))).alias("max_error"), F.count(F.lit(1)).alias("n"))
+    )
+    modes = parts.where("kind = 'imf'").groupBy(F.col("series_id").alias("m_id")).agg(F.countDistinct("component").alias("modes"))
+    per_mode = trace.groupBy("series_id", "component").agg(
+        F.countDistinct("step").alias("steps"), (F.max("step") + 1).alias("last"), F.min("t").alias("low"), F.max("t").alias("high")
+    )
+    steps = per_mode.groupBy(F.col("series_id").alias("s_id")).agg(
+        F.count(F.lit(1)).alias("traced"), F.sum("steps").alias("steps"), F.sum("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    met = error.join(modes, F.col("series_id") == F.col("m_id"), "left").join(steps, F.col("series_id") == F.col("s_id"), "left")
+    modes_, traced = F.coalesce("modes", F.lit(0)), F.coalesce("traced", F.lit(0))
+    fits = F.col("steps").isNull() | ((F.col("steps") == F.col("last")) & (F.col("low") > 0) & (F.col("high") < F.col("n") - 1))
+    valid = (F.col("max_error") <= tolerance) & (traced <= modes_) & fits
+    return met.select("series_id", modes_.alias("modes"), F.coalesce("steps", F.lit(0)).alias("steps"), "max_error", valid.alias("valid"))
 
-    done = _apply(packed(df), ["series_id"], one).where("status = 'ok'")
-    x = F.element_at("parts", 1)
-    return done.select("series_id", x.alias("x"), F.lit(length).alias("start"), (F.size(x) - length).alias("end"))
 
+def spline_table(knots: DataFrame, per_knot: int = 4, kind: str = "natural") -> DataFrame:
+    """``spline_id, x, value, slope, curvature`` at ``per_knot`` places a segment of the spline through ``spline_id, x, y``."""
+    packed_ = knots.groupBy("spline_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("k")).select(
+        "spline_id", F.transform("k", lambda k: k["x"]).alias("x"), F.transform("k", lambda k: k["y"]).alias("y")
+    )
+
+    def one(r) -> list[np.ndarray]:
+        t, y = np.asarray(r.x, float), np.asarray(r.y, float)
+        part = np.arange(per_knot) / per_knot
+        at = np.append((t[:-1, None] + part * np.diff(t)[:, None]).ravel(), t[-1])
+        return [at, K.spline(t, y, at, kind), K.spline_derivative(t, y, at, kind), K.spline_derivative(t, y, at, kind, 2)]
+
+    done = _apply(packed_, ["spline_id"], one).where("status = 'ok'")
+    names = ("x", "value", "slope", "curvature")
+    zipped = F.arrays_zip(*[F.element_at("parts", i + 1).alias(n) for i, n in enumerate(names)])
+    return done.select("spline_id", F.explode(zipped).alias("z")).select("spline_id", *[F.col("z")[n].alias(n) for n in names])
 
-def waveform_extend(df: DataFrame, match: int = 20) -> DataFrame:
-    """``series_id, x, start, end``: at each end, the window most like the end's template (by correlation) is joined on."""
 
-    def best(x: np.ndarray, template: np.ndarray) -> np.ndarray:
-        windows = np.lib.stride_tricks.sliding_window_view(x, len(template))
-        a, b = windows - windows.mean(1, keepdims=True), template - template.mean()
-        norm = np.sqrt((a * a).sum(1) * (b * b).sum())
-        return windows[int(np.argmax(np.where(norm > 0, a @ b / np.where(norm > 0, norm, 1), -1.0)))]
+def extend(df: DataFrame, strategy: str, **options) -> DataFrame:
+    """``series_id, x, start, end``: packed signals extended by any strategy's name, and where the original lies.
+
+    Beside those of :data:`boundary.STRATEGIES` there is ``ar_model``; ``characteristic_wave`` finds the extrema itself.
+    """
+    if strategy == "ar_model":
+        return ar_extend(df, **options)
+    rows = packed(df)
+    if strategy == "characteristic_wave":
+        places = series.local_extrema(df).groupBy(F.col("series_id").alias("e_id")).agg(F.array_sort(F.collect_list("t")).alias("e"))
+        rows = rows.join(places, F.col("series_id") == F.col("e_id"), "left").withColumn("e", F.coalesce("e", F.expr("cast(array() as array<int>)")))
+        n, k = F.size("x"), F.size("e")
+        first = 4 * F.when(k >= 2, F.element_at("e", 2) - F.element_at("e", 1)).otherwise(F.least(F.lit(4), n))
+        longer = boundary.characteristic_wave(F.col("x"), F.col("e"), **options)
+        return rows.select("series_id", longer.alias("x"), first.cast("int").alias("start"), (first + n).cast("int").alias("end"))
+    return boundary.extend(rows, strategy, **options)
+
+
+def ar_extend(df: DataFrame, order: int = 5, length: int = 10) -> DataFrame:
+    """``series_id, x, start, end``: packed signals with autoregressive forecasts at both ends."""
 
     def one(r):
         x = K.check(r.x)
-        m = min(match, len(x))
-        return [np.concatenate([best(x, x[:m]), x, best(x, x[-m:])])]
+        return [np.concatenate([K.forecast(x[::-1], length, order)[::-1], x, K.forecast(x, length, order)])]
 
     done = _apply(packed(df), ["series_id"], one).where("status = 'ok'")
     x = F.element_at("parts", 1)
-    pad = F.expr("(size(element_at(parts, 1)) - n) div 2").cast("int")
-    sizes = df.groupBy(F.col("series_id").alias("n_id")).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return done.join(sizes, F.col("series_id") == F.col("n_id")).select(
-        "series_id", x.alias("x"), pad.alias("start"), (pad + F.col("n")).cast("int").alias("end")
-    )
+    return done.select("series_id", x.alias("x"), F.lit(length).alias("start"), (F.size(x) - length).alias("end"))

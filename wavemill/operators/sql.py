@@ -6,8 +6,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
 from . import kernels as K
 
@@ -15,29 +16,42 @@ _COLUMNS = "series_id bigint, component int, kind string, t int, value double, s
 
 
 class _Decomposition:
-    """Gathers one partition's ``series_id, t, value`` rows and gives back the long frame of its parts."""
+    """Gathers a partition's batches of ``series_id, t, value`` and gives back the long frame of its parts."""
 
     parts = staticmethod(K.emd)
 
     def __init__(self):
         self.series, self.x = None, []
 
-    def eval(self, row):
-        self.series = row["series_id"]
-        self.x.append(row["value"])
+    def eval(self, batch: pa.RecordBatch):
+        if len(batch):
+            self.series = batch.column("series_id")[0].as_py()
+            self.x.append(batch.column("value").to_numpy(zero_copy_only=False).astype(float))
+        return iter(())
 
     def terminate(self):
         if not self.x:
             return
         try:
-            parts = self.parts(np.array([np.nan if v is None else v for v in self.x], float))
+            parts, status = self.parts(np.concatenate(self.x)), "ok"
         except K.SignalError as e:
-            yield self.series, None, None, None, None, e.code
-            return
+            parts, status = [], e.code
+        if not parts:
+            yield pa.table(
+                {
+                    "series_id": pa.array([self.series], pa.int64()), "component": pa.array([None], pa.int32()), "kind": pa.array([None], pa.string()),
+                    "t": pa.array([None], pa.int32()), "value": pa.array([None], pa.float64()), "status": [status],
+                }
+            )
         for c, part in enumerate(parts, 1):
-            kind = "residue" if c == len(parts) else "imf"
-            for t, v in enumerate(part.tolist()):
-                yield self.series, c, kind, t, v, "ok"
+            n = len(part)
+            yield pa.table(
+                {
+                    "series_id": pa.array(np.full(n, self.series, np.int64)), "component": pa.array(np.full(n, c, np.int32)),
+                    "kind": pa.array(["residue" if c == len(parts) else "imf"] * n), "t": pa.array(np.arange(n, dtype=np.int32)),
+                    "value": pa.array(part), "status": pa.array(["ok"] * n),
+                }
+            )
 
 
 def register(spark: SparkSession, config: K.EmdConfig = K.EmdConfig(validate=False), vmd: K.VmdConfig = K.VmdConfig()) -> None:
@@ -49,5 +63,5 @@ def register(spark: SparkSession, config: K.EmdConfig = K.EmdConfig(validate=Fal
     class Vmd(_Decomposition):
         parts = staticmethod(lambda x: K.vmd(x, vmd))
 
-    spark.udtf.register("emd", udtf(Emd, returnType=_COLUMNS))
-    spark.udtf.register("vmd", udtf(Vmd, returnType=_COLUMNS))
+    spark.udtf.register("emd", arrow_udtf(Emd, returnType=_COLUMNS))
+    spark.udtf.register("vmd", arrow_udtf(Vmd, returnType=_COLUMNS))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import boundary, entropy, grids, metrics, series, spectral
 from ..operators import decompose, directions, sql, training
 from ..operators.kernels import EmdConfig, VmdConfig
-from ..sources import frames
+from ..sources import frames, jobs
 from ..streaming import chunks
 
 #: Modes are checked by their sum, so rows need no check of their own.
 PLAIN = EmdConfig(validate=False)
-#: Ensembles of registered queries; the operators' default is 100 trials.
-TRIALS = 8
+#: One sifting step a mode, as SQL follows it to the full depth.
+ONE_STEP = EmdConfig(validate=False, fixed_iterations=1)
 
 
 def _r(c: str, digits: int = 6):
@@ -83,6 +85,10 @@ def _extended(spark, d, x) -> DataFrame:
     )
 
 
+def _by_name(spark, d, strategy: str) -> DataFrame:
+    return decompose.extend(_users(spark, d), strategy).select("series_id", F.posexplode("x").alias("t", "value")).select("series_id", "t", _r("value"))
+
+
 def ext_mirror_even(spark, d):
     return _extended(spark, d, boundary.mirror_even)
 
@@ -112,21 +118,19 @@ def pad_periodic(spark, d):
 
 
 def ext_characteristic_wave(spark, d):
-    users = _users(spark, d)
-    places = series.local_extrema(users).groupBy("series_id").agg(F.array_sort(F.collect_list("t")).alias("e"))
-    x = frames.packed(users).join(places, "series_id", "left").withColumn("e", F.coalesce("e", F.array().cast("array<int>")))
-    longer = boundary.characteristic_wave(F.col("x"), F.col("e"))
-    return x.select("series_id", F.posexplode(longer).alias("t", "value")).select("series_id", "t", _r("value"))
+    return _by_name(spark, d, "characteristic_wave")
 
 
 def ext_ar(spark, d):
-    return decompose.ar_extend(_users(spark, d)).select("series_id", "start", "end", F.size("x").alias("n"))
+    return _by_name(spark, d, "ar_model")
 
 
 def ext_waveform(spark, d):
-    return decompose.waveform_extend(_users(spark, d)).select("series_id", F.posexplode("x").alias("t", "value"), ).select(
-        "series_id", "t", _r("value")
-    )
+    return _by_name(spark, d, "waveform")
+
+
+def ext_last_value(spark, d):
+    return _by_name(spark, d, "last_value")
 
 
 def _summed(parts: DataFrame, keys=("series_id",)) -> DataFrame:
@@ -134,35 +138,35 @@ def _summed(parts: DataFrame, keys=("series_id",)) -> DataFrame:
 
 
 def emd_reconstruct(spark, d):
-    return _summed(decompose.emd(_users(spark, d), PLAIN, "raise"))
+    return _summed(decompose.emd(_users(spark, d), PLAIN, "whole"))
 
 
 def emd_palindrome_reconstruct(spark, d):
-    return _summed(decompose.emd(_users(spark, d), EmdConfig(validate=False, boundary="palindrome_cyclic"), "raise"))
+    return _summed(decompose.emd(_users(spark, d), EmdConfig(validate=False, boundary="palindrome_cyclic"), "whole"))
 
 
 def ceemd_reconstruct(spark, d):
-    return _summed(decompose.ceemd(_users(spark, d), TRIALS, config=PLAIN).where("status = 'ok'"))
+    return _summed(decompose.ceemd(_users(spark, d), config=PLAIN).where("status = 'ok'"))
 
 
 def ceemdan_reconstruct(spark, d):
-    return _summed(decompose.ceemdan(_users(spark, d), TRIALS, config=EmdConfig(validate=False, max_imfs=4), on_error="raise"))
+    return _summed(decompose.ceemdan(_users(spark, d), config=PLAIN, on_error="drop"))
 
 
 def iceemdan_reconstruct(spark, d):
-    return _summed(decompose.iceemdan(_users(spark, d), TRIALS, config=PLAIN, on_error="raise"))
+    return _summed(decompose.iceemdan(_users(spark, d), config=PLAIN, on_error="drop"))
 
 
 def vmd_reconstruct(spark, d):
-    return _summed(decompose.vmd(_users(spark, d), VmdConfig(alpha=200.0, tol=1e-6, max_iterations=5000), "raise"))
+    return _summed(decompose.vmd(_users(spark, d), VmdConfig(alpha=200.0, tol=1e-6, max_iterations=5000), "whole"))
 
 
 def memd_reconstruct(spark, d):
-    return _summed(decompose.memd(_channels(spark, d), 16, on_error="raise"), ("channel",))
+    return _summed(decompose.memd(_channels(spark, d), on_error="drop"), ("channel",))
 
 
 def namemd_reconstruct(spark, d):
-    return _summed(decompose.namemd(_channels(spark, d), directions=16, on_error="raise"), ("channel",))
+    return _summed(decompose.namemd(_channels(spark, d), on_error="drop"), ("channel",))
 
 
 def emd_status(spark, d):
@@ -175,11 +179,98 @@ def emd_components(spark, d):
 
 
 def eemd_components(spark, d):
-    return decompose.eemd(_users(spark, d), TRIALS, config=PLAIN)
+    return decompose.eemd(_users(spark, d), config=PLAIN)
+
+
+def _shown(parts: DataFrame, *keys: str) -> DataFrame:
+    return parts.select(*keys, F.col("component").cast("int").alias("component"), *(["kind"] if "kind" in parts.columns else []), "t", _r("value", 4))
+
+
+def emd_modes(spark, d):
+    """All modes and residues, at every depth."""
+    return _shown(decompose.emd(_users(spark, d), ONE_STEP, "drop"), "series_id")
+
+
+def eemd_noiseless(spark, d):
+    """Without noise every trial finds the signal's own modes."""
+    return _shown(decompose.eemd(_users(spark, d), 3, 0.0, config=ONE_STEP).where("status = 'ok'").drop("kind"), "series_id")
+
+
+def ceemd_noiseless(spark, d):
+    return _shown(decompose.ceemd(_users(spark, d), 2, 0.0, config=ONE_STEP).where("status = 'ok'").drop("kind"), "series_id")
+
+
+def ceemdan_noiseless(spark, d):
+    return _shown(decompose.ceemdan(_users(spark, d), 2, 0.0, config=ONE_STEP, on_error="drop"), "series_id")
+
+
+def iceemdan_noiseless(spark, d):
+    return _shown(decompose.iceemdan(_users(spark, d), 2, 0.0, config=ONE_STEP, on_error="drop"), "series_id")
+
+
+def _by_rule(spark, d, **rule) -> DataFrame:
+    """The first mode when one stopping rule alone is in use."""
+    config = EmdConfig(**{"validate": False, "max_imfs": 1, "sd_threshold": None, "s_number": None, "energy_threshold": None, **rule})
+    return decompose.emd(_users(spark, d), config, "drop").where("kind = 'imf'").select("series_id", "t", _r("value", 4))
+
+
+def mode_by_sd(spark, d):
+    return _by_rule(spark, d, sd_threshold=0.3)
+
+
+def mode_by_s_number(spark, d):
+    return _by_rule(spark, d, s_number=2)
+
+
+def mode_by_energy(spark, d):
+    return _by_rule(spark, d, energy_threshold=0.2)
+
+
+def _tones(spark, d) -> DataFrame:
+    """A slow and a fast tone for each region, 256 samples."""
+    turn = F.col("t") * (2 * math.pi / 256)
+    return spark.read.parquet(f"{d}/region.parquet").select(
+        F.col("r_regionkey").cast("long").alias("series_id"),
+        (5 + F.col("r_regionkey")).alias("low"),
+        (50 + 3 * F.col("r_regionkey")).alias("high"),
+        F.explode(F.sequence(F.lit(0), F.lit(255))).alias("t"),
+    ).select("series_id", "t", (F.col("low") * turn).alias("a"), (F.col("high") * turn).alias("b"))
+
+
+def _strongest(parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The bin of most power of each component."""
+    power = spectral.power_spectrum(parts, keys).where("bin > 0")
+    return power.groupBy(*keys).agg(F.max_by("bin", "power").cast("int").alias("bin"))
+
+
+def vmd_centres(spark, d):
+    tones = _tones(spark, d).select("series_id", "t", (F.sin("a") + 0.5 * F.sin("b")).alias("value"))
+    modes = decompose.vmd(tones, VmdConfig(n_modes=2, alpha=200.0), "drop").where("kind = 'imf'")
+    return _strongest(modes, ("series_id", "component"))
+
+
+def _two_channels(spark, d) -> DataFrame:
+    tones = _tones(spark, d)
+    value = F.array(F.sin("a") + 0.5 * F.sin("b"), 0.7 * F.sin(F.col("a") + 1) + 0.9 * F.sin(F.col("b") + 0.5))
+    return tones.select("series_id", F.posexplode(value).alias("channel", "value"), "t")
+
+
+def memd_alignment(spark, d):
+    """Modes of one number hold the same tone in every channel."""
+    modes = decompose.memd(_two_channels(spark, d), on_error="drop").where("kind = 'imf' and component <= 2")
+    return _strongest(modes, ("series_id", "channel", "component"))
+
+
+def namemd_alignment(spark, d):
+    modes = decompose.namemd(_two_channels(spark, d), noise_std=0.01, on_error="drop").where("kind = 'imf'")
+    strong = _strongest(modes, ("series_id", "channel", "component"))
+    power = modes.groupBy("series_id", "channel", "component").agg(F.sum(F.col("value") * F.col("value")).alias("e"))
+    first = power.where("e > 5").groupBy("series_id", "channel").agg(F.min("component").alias("component"))
+    return strong.join(first, ["series_id", "channel", "component"]).select("series_id", "channel", F.lit(1).alias("component"), "bin")
 
 
 def emd_trace(spark, d):
-    """The extrema that the first sifting step of each first mode runs through."""
+    """The extrema that the first sifting step of each first mode runs through (the report is of that step)."""
     return decompose.emd_trace(_users(spark, d), PLAIN).where("component = 1 and step = 0").select("series_id", "t", "kind")
 
 
@@ -192,12 +283,12 @@ def emd_table_function(spark, d):
 
 def sift_once(spark, d):
     once = EmdConfig(validate=False, fixed_iterations=1, max_imfs=1)
-    return decompose.emd(_users(spark, d), once, "raise").where("kind = 'imf'").select("series_id", "t", _r("value", 4))
+    return decompose.emd(_users(spark, d), once, "drop").where("kind = 'imf'").select("series_id", "t", _r("value", 4))
 
 
 def emd_summary(spark, d):
     """Energy ratio and mean instantaneous frequency of every component of every user's signal."""
-    modes = decompose.emd(_users(spark, d), PLAIN, "drop")
+    modes = decompose.emd(_users(spark, d), PLAIN, "whole")
     inst = spectral.instantaneous(
         spectral.analytic_signal(modes, ("series_id", "component")), ("series_id", "component")
     )
@@ -240,7 +331,9 @@ def mixing_report(spark, d):
 def recon_error(spark, d):
     types = _types(spark, d)
     whole = metrics.reconstruct(types)
-    return metrics.reconstruction_error(whole, types).select("series_id", _r("relative_error"), _r("max_error"), _r("energy_conservation"), "valid")
+    # one part is left out, so that there is an error to measure
+    first = types.agg(F.min("component").alias("first"))
+    return metrics.reconstruction_error(whole, types.join(F.broadcast(first)).where("component <> first").drop("first")).select("series_id", _r("relative_error"), _r("max_error"), _r("energy_conservation"), "valid")
 
 
 def boundary_artifact(spark, d):
@@ -311,8 +404,127 @@ def sample_entropy(spark, d):
 
 
 def complexity(spark, d):
-    modes = decompose.emd(_users(spark, d), PLAIN, "drop").where("kind = 'imf'")
-    return entropy.complexity(modes)
+    return entropy.complexity(_numbered(spark, d)).select(
+        "component", *[_r(c) for c in ("spectral", "permutation", "sample", "score")], "high_complexity"
+    )
+
+
+def entropy_report(spark, d):
+    return entropy.entropy_report(_numbered(spark, d)).select(
+        "series_id", "modes", *[_r(c) for c in ("spectral", "permutation", "sample", "score")], "high_complexity"
+    )
+
+
+def _numbered(spark, d) -> DataFrame:
+    """The event types' hourly means as numbered components, in order of their names."""
+    types = _types(spark, d)
+    numbers = types.groupBy().agg(F.array_sort(F.collect_set("component")).alias("names"))
+    return types.join(F.broadcast(numbers)).withColumn("component", (F.array_position("names", F.col("component")) - 1).cast("int")).drop("names")
+
+
+def hilbert_imf(spark, d):
+    inst, _ = spectral.hilbert_imf(_users(spark, d).withColumn("component", F.lit(1)))
+    return inst.select("series_id", "component", "t", _r("amp", 5), _r("freq", 5))
+
+
+def stationarity_degree(spark, d):
+    inst = spectral.instantaneous(spectral.analytic_signal(_users(spark, d)))
+    one = inst.select("series_id", F.lit(1).alias("component"), "t", F.round("freq", 9).alias("freq"))
+    return metrics.stationarity_degree(one).select("series_id", _r("degree", 5))
+
+
+def overlap_matrix(spark, d):
+    o = _overlaps(spark, d)
+    names = sorted(r["component"] for r in _types(spark, d).select("component").distinct().collect())
+    wide = metrics.overlap_matrix(o, names)
+    return wide.melt(["series_id", "i"], names, "j", "overlap").select("i", "j", _r("overlap"))
+
+
+def layer_statistics(spark, d):
+    parts = _volume(spark, d).withColumn("component", F.lit(1))
+    return metrics.layer_statistics(parts).select("z", _r("mean"), _r("variance"), _r("energy", 4))
+
+
+def volume_slices(spark, d):
+    slices = metrics.z_slices(_volume(spark, d))
+    return slices.groupBy("image_id").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n")).select("image_id.z", _r("total", 4), "n")
+
+
+def volume_columns(spark, d):
+    columns = frames.packed(metrics.z_columns(_volume(spark, d)))
+    return columns.select("series_id.y", "series_id.x", F.round(F.element_at("x", 1), 6).alias("first"), F.size("x").cast("long").alias("n"))
+
+
+def equal_mode_counts(spark, d):
+    even = metrics.equal_mode_counts(decompose.emd(_users(spark, d), ONE_STEP, "drop"))
+    return even.groupBy("series_id", "component").agg(
+        F.count(F.lit(1)).alias("n"), (F.round(F.sum(F.col("value") * F.col("value")), 3) + F.lit(0.0)).alias("energy")
+    )
+
+
+def collection_validate(spark, d):
+    return metrics.validate_collection(_types(spark, d))
+
+
+def forward_context(spark, d):
+    users = _users(spark, d)
+    checked = decompose.context_errors(users, decompose.emd(users, ONE_STEP, "drop"), decompose.emd_trace(users, ONE_STEP))
+    return checked.select("series_id", "modes", "valid")
+
+
+def ring_buffer(spark, d):
+    return series.last_samples(_users(spark, d), 32).select("series_id", "place", "t", _r("value"))
+
+
+def job_signals(spark, d):
+    spec = jobs.JobSpec(f"{d}/events.parquet", "user_id", ("ts", "event_id"), "value")
+    return jobs.read_job(spark, spec).select("series_id", "t", _r("value"))
+
+
+def synthetic_signals(spark, d):
+    kinds = ["am", "burst", "chirp", "fm", "mix", "tone", "two_tone"]
+    each = [training.synthetic(spark, k).select(F.lit(k).alias("name"), "t", _r("value")) for k in kinds]
+    return functools.reduce(DataFrame.union, each)
+
+
+def _knots(spark, d, x: list[float], y) -> DataFrame:
+    key = F.col("r_regionkey").cast("double")
+    return spark.read.parquet(f"{d}/region.parquet").select(
+        F.col("r_regionkey").cast("long").alias("spline_id"), F.explode(F.array(*[F.struct(F.lit(v).alias("x"), y(key, v).alias("y")) for v in x])).alias("k")
+    ).select("spline_id", "k.x", "k.y")
+
+
+def _spline(knots: DataFrame, kind: str, digits: int) -> DataFrame:
+    return decompose.spline_table(knots, 4, kind).select("spline_id", "x", _r("value", digits), _r("slope", digits), _r("curvature", digits))
+
+
+def spline_cubic(spark, d):
+    """A not-a-knot spline through a cubic's points is the cubic."""
+    return _spline(_knots(spark, d, [float(i) for i in range(8)], lambda r, v: v**3 - r * v**2 + 2), "not_a_knot", 6)
+
+
+def spline_triangle(spark, d):
+    return _spline(_knots(spark, d, [0.0, 1.0, 2.0], lambda r, v: (r + 1) * F.lit(1.0 - abs(v - 1))), "natural", 6)
+
+
+def spline_periodic(spark, d):
+    """Through 0, 1, 0, -1, 0: between its zeros the periodic spline is the natural one of a triangle."""
+    return _spline(_knots(spark, d, [0.0, 1.0, 2.0, 3.0, 4.0], lambda r, v: (r + 1) * F.lit([0.0, 1.0, 0.0, -1.0, 0.0][int(v)])), "periodic", 6)
+
+
+def boundary_artifact_rms(spark, d):
+    return metrics.boundary_artifact_rms(_users(spark, d)).select("series_id", _r("artifact"))
+
+
+def dft_magnitude(spark, d):
+    return spectral.dft_magnitude(_users(spark, d)).select("series_id", "bin", _r("magnitude", 5))
+
+
+def spectral_distortion(spark, d):
+    """What is lost of the spectrum if only the first mode is kept."""
+    users = _users(spark, d)
+    first = decompose.emd(users, EmdConfig(validate=False, fixed_iterations=1, max_imfs=1), "drop").where("kind = 'imf'")
+    return metrics.spectral_distortion(users, first.select("series_id", "t", "value")).select("series_id", _r("distortion", 4))
 
 
 def dir_hammersley(spark, d):
@@ -347,17 +559,28 @@ def extrema_3d(spark, d):
 
 
 def emd_2d_reconstruct(spark, d):
-    return decompose.emd_2d(_image(spark, d), EmdConfig(max_imfs=2, validate=False)).groupBy("row", "col").agg(
+    return decompose.emd_2d(_image(spark, d), EmdConfig(max_imfs=3, validate=False)).groupBy("row", "col").agg(
         F.sum("value").alias("value")
     ).select("row", "col", _r("value"))
 
 
 def emd_3d_reconstruct(spark, d):
-    return decompose.emd_3d(_volume(spark, d), EmdConfig(max_imfs=1, validate=False)).groupBy("z", "y", "x").agg(
+    return decompose.emd_3d(_volume(spark, d), EmdConfig(max_imfs=2, validate=False)).groupBy("z", "y", "x").agg(
         F.sum("value").alias("value")
     ).select("z", "y", "x", _r("value"))
 
 
+ONE_MODE = EmdConfig(validate=False, fixed_iterations=1, max_imfs=1)
+
+
+def emd_2d_modes(spark, d):
+    return decompose.emd_2d(_image(spark, d), ONE_MODE).select("row_component", "col_component", "row", "col", _r("value", 4))
+
+
+def emd_3d_modes(spark, d):
+    return decompose.emd_3d(_volume(spark, d), ONE_MODE).select("row_component", "col_component", "z_component", "z", "y", "x", _r("value", 4))
+
+
 def emd_gradient(spark, d):
     """The gradient of half the squared norm of the signal, seen through its components: the signal itself comes back."""
     rows = frames.packed(_users(spark, d))
@@ -398,9 +621,7 @@ def stream_window_mean(spark, d):
 
 
 def stream_session(spark, d):
-    # the batch twin: a session is complete only when no more events can come
-    events = chunks.as_events(spark.read.parquet(f"{d}/events.parquet"))
-    return chunks.sessions(events).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", _r("total", 4))
+    return _once(chunks.sessions(chunks.as_events(_stream(spark, d))), "complete").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", _r("total", 4))
 
 
 def stream_dedup(spark, d):
@@ -410,7 +631,7 @@ def stream_dedup(spark, d):
 
 def stream_chunks(spark, d):
     events = _stream(spark, d).select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
-    out = _once(chunks.decompose_stream(events))
+    out = chunks.decompose_bounded(events)
     return out.groupBy("series_id", "chunk", "t").agg(F.sum("value").alias("value")).select("series_id", "chunk", "t", _r("value"))
 
 
@@ -425,7 +646,11 @@ QUERIES = [
     marginal_log, marginal_linear, spectral_entropy, sliding_entropy, permutation_entropy, sample_entropy, complexity,
     dir_hammersley, dir_halton, extrema_2d, extrema_3d, emd_2d_reconstruct, emd_3d_reconstruct, emd_gradient,
     boundary_pairs, classification_metrics, regression_metrics, stream_window_mean, stream_session, stream_dedup,
-    stream_chunks,
+    stream_chunks, emd_modes, eemd_noiseless, ceemd_noiseless, ceemdan_noiseless, iceemdan_noiseless, mode_by_sd, mode_by_s_number,
+    mode_by_energy, emd_2d_modes, emd_3d_modes, vmd_centres, memd_alignment, namemd_alignment, ext_last_value, ring_buffer, job_signals,
+    collection_validate, stationarity_degree, overlap_matrix, layer_statistics, volume_slices, volume_columns, equal_mode_counts,
+    forward_context, synthetic_signals, spline_cubic, spline_triangle, spline_periodic, boundary_artifact_rms, dft_magnitude,
+    spectral_distortion, hilbert_imf, entropy_report,
 ]
 
 

@@ -139,6 +139,148 @@ me AS (SELECT series_id, t, sum(e) / 2 AS mean FROM en GROUP BY 1, 2)
 SELECT sig.series_id, sig.t, round(sig.value - me.mean, 4) + 0.0 AS value FROM sig JOIN me USING (series_id, t)"""
 
 
+def _envelopes(src: str, k: str) -> str:
+    """``mean{k}``: the mean of natural splines through maxima and minima of ``src(series_id, t, value)``; ``kn{k}``: its extrema.
+
+    A series with fewer than two knots for either has no mean. The tridiagonal sweep is row by row.
+    """
+    return f"""chg{k} AS (SELECT *, CASE WHEN lag(value) OVER w IS NULL OR lag(value) OVER w <> value THEN 1 ELSE 0 END AS c FROM {src}
+  WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+rid{k} AS (SELECT *, sum(c) OVER (PARTITION BY series_id ORDER BY t) AS run FROM chg{k}),
+run{k} AS (SELECT series_id, run, min(t) AS a, max(t) AS b, min(value) AS value FROM rid{k} GROUP BY 1, 2),
+nb{k} AS (SELECT *, lag(value) OVER w AS l, lead(value) OVER w AS r FROM run{k} WINDOW w AS (PARTITION BY series_id ORDER BY run)),
+kn{k} AS MATERIALIZED (SELECT series_id, CAST((a + b) // 2 AS INTEGER) AS t, CASE WHEN value > l THEN 'max' ELSE 'min' END AS kind, value
+  FROM nb{k} WHERE (value > l AND value > r) OR (value < l AND value < r)),
+both{k} AS (SELECT series_id FROM kn{k} GROUP BY 1 HAVING count(*) FILTER (WHERE kind = 'max') >= 2 AND count(*) FILTER (WHERE kind = 'min') >= 2),
+ka{k} AS (SELECT series_id, kind, t, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY series_id, kind) AS m,
+  lead(t) OVER w - t AS h, (lead(value) OVER w - value) / (lead(t) OVER w - t) AS s FROM kn{k} JOIN both{k} USING (series_id)
+  WINDOW w AS (PARTITION BY series_id, kind ORDER BY t)),
+kb{k} AS MATERIALIZED (SELECT *, lag(h) OVER w AS hp, lag(s) OVER w AS sp FROM ka{k} WINDOW w AS (PARTITION BY series_id, kind ORDER BY t)),
+fw{k} AS (SELECT series_id, kind, i, m, h, CAST(2 * (hp + h) AS DOUBLE) AS d, CAST(6 * (s - sp) AS DOUBLE) AS r FROM kb{k} WHERE i = 2 AND m > 2
+  UNION ALL SELECT k.series_id, k.kind, k.i, k.m, k.h, 2 * (k.hp + k.h) - k.hp / f.d * k.hp, 6 * (k.s - k.sp) - k.hp / f.d * f.r
+  FROM fw{k} f JOIN kb{k} k ON k.series_id = f.series_id AND k.kind = f.kind AND k.i = f.i + 1 WHERE k.i < k.m),
+fm{k} AS MATERIALIZED (SELECT * FROM fw{k}),
+bk{k} AS (SELECT series_id, kind, m AS i, CAST(0 AS DOUBLE) AS c FROM (SELECT DISTINCT series_id, kind, m FROM kb{k})
+  UNION ALL SELECT f.series_id, f.kind, f.i, (f.r - f.h * b.c) / f.d FROM bk{k} b JOIN fm{k} f ON f.series_id = b.series_id AND f.kind = b.kind AND f.i = b.i - 1),
+sg{k} AS MATERIALIZED (SELECT *, lead(c) OVER w AS c2, lead(value) OVER w AS v2, lead(t) OVER w AS t2
+  FROM (SELECT b.*, coalesce(bk{k}.c, 0.0) AS c FROM kb{k} b LEFT JOIN bk{k} USING (series_id, kind, i)) WINDOW w AS (PARTITION BY series_id, kind ORDER BY t)),
+mean{k} AS MATERIALIZED (SELECT s.series_id, s.t, sum((g.c * pow(g.t2 - s.t, 3) + g.c2 * pow(s.t - g.t, 3)) / (6 * g.h)
+  + (g.value / g.h - g.c * g.h / 6) * (g.t2 - s.t) + (g.v2 / g.h - g.c2 * g.h / 6) * (s.t - g.t)) / 2 AS mean
+  FROM {src} s JOIN sg{k} g ON g.series_id = s.series_id AND g.i < g.m AND (s.t >= g.t OR g.i = 1) AND (s.t < g.t2 OR g.i = g.m - 1) GROUP BY 1, 2)"""
+
+
+def _decomposed(src: str, tag: str, depth: int) -> str:
+    """``fin{tag}(series_id, component, kind, t, value)``: modes of one sifting step each, and residue, of ``src``.
+
+    A series goes on while it has two extrema; without two knots for either envelope all that is left is a mode.
+    """
+    out, now, parts = [], src, []
+    for k in range(1, depth + 1):
+        n = f"{tag}{k}"
+        out += [
+            _envelopes(now, n),
+            f"live{n} AS (SELECT series_id FROM kn{n} GROUP BY 1 HAVING count(*) >= 2)",
+            f"lv{n} AS MATERIALIZED (SELECT s.series_id, s.t, s.value, coalesce(s.value - m.mean, s.value) AS mode FROM {now} s"
+            f" JOIN live{n} USING (series_id) LEFT JOIN mean{n} m USING (series_id, t))",
+            f"re{n} AS MATERIALIZED (SELECT series_id, t, value - mode AS value FROM lv{n})",
+        ]
+        parts += [
+            f"SELECT series_id, {k} AS component, 'imf' AS kind, t, mode AS value FROM lv{n}",
+            f"SELECT series_id, {k}, 'residue', t, value FROM {now} WHERE series_id NOT IN (SELECT series_id FROM live{n})",
+        ]
+        now = f"re{n}"
+    parts.append(f"SELECT series_id, {depth + 1}, 'residue', t, value FROM {now}")
+    return ",\n".join([*out, f"fin{tag} AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")"])
+
+
+#: Levels that the short series of the small tables do not use up.
+_DEPTH = 7
+
+
+def _modes(number: str = "component", kind: bool = True) -> str:
+    columns = f"series_id, CAST({number} AS INTEGER) AS component, " + ("kind, " if kind else "") + "t, round(value, 4) + 0.0 AS value"
+    return f"WITH RECURSIVE {SIG}, {_decomposed('sig', 'a', _DEPTH)} SELECT {columns} FROM fina"
+
+
+def _first_mode(rule: str, steps: int) -> str:
+    """The first mode when ``rule`` (over sd, steady and change) stops the sifting, within ``steps`` steps."""
+    out = ["h0 AS MATERIALIZED (SELECT series_id, t, value, false AS done, 0 AS steady FROM sig)"]
+    for i in range(1, steps + 1):
+        p, k = f"h{i - 1}", f"m{i}"
+        out += [
+            _envelopes(p, k),
+            f"st{i} AS MATERIALIZED (SELECT h.series_id, h.t, h.value, h.done, h.steady, m.mean, h.value - m.mean AS new FROM {p} h LEFT JOIN mean{k} m USING (series_id, t))",
+            f"""cr{i} AS (SELECT *, CASE WHEN lag(new) OVER w IS NOT NULL AND (new >= 0) <> (lag(new) OVER w >= 0) THEN 1 ELSE 0 END AS z,
+  CASE WHEN (new > lag(new) OVER w AND new > lead(new) OVER w) OR (new < lag(new) OVER w AND new < lead(new) OVER w) THEN 1 ELSE 0 END AS x
+  FROM st{i} WINDOW w AS (PARTITION BY series_id ORDER BY t))""",
+            f"""ru{i} AS MATERIALIZED (SELECT *, ({rule}) AS stop FROM (SELECT series_id, bool_or(done OR mean IS NULL) AS over, sum(mean * mean) / sum(value * value) AS sd,
+  abs(sum(new * new) - sum(value * value)) / sum(value * value) AS change, CASE WHEN abs(sum(x) - sum(z)) <= 1 THEN max(steady) + 1 ELSE 0 END AS steady FROM cr{i} GROUP BY 1))""",
+            f"h{i} AS MATERIALIZED (SELECT s.series_id, s.t, CASE WHEN r.over THEN s.value ELSE s.new END AS value, r.over OR r.stop AS done, r.steady FROM st{i} s JOIN ru{i} r USING (series_id))",
+        ]
+    return f"WITH RECURSIVE {SIG}, " + ",\n".join(out) + f" SELECT series_id, t, round(value, 4) + 0.0 AS value FROM h{steps} WHERE done"
+
+
+def _grid_modes(cells: str, axes: tuple[str, ...], lines: list[tuple[str, ...]]) -> str:
+    """Parts of one mode and residue (0) along each of ``lines``' axes in turn, of ``cell``; lines that lack a mode have zero there."""
+    out, now, have = [cells], "cell", []
+    for n, (along, name) in enumerate(lines):
+        others = [a for a in axes if a != along]
+        keys = [*others, *have]
+        out += [
+            f"id{n} AS MATERIALIZED (SELECT *, CAST(dense_rank() OVER (ORDER BY {', '.join(keys)}) AS BIGINT) AS series_id, CAST({along} AS INTEGER) AS t FROM {now})",
+            f"sr{n} AS MATERIALIZED (SELECT series_id, t, value FROM id{n})",
+            _decomposed(f"sr{n}", f"g{n}", 1),
+            f"pt{n} AS MATERIALIZED (SELECT {', '.join('i.' + c for c in [*axes, *have])}, CASE WHEN f.kind = 'imf' THEN 1 ELSE 0 END AS {name}, f.value FROM fing{n} f JOIN id{n} i USING (series_id, t))",
+        ]
+        have = [*have, name]
+        now = f"pt{n}"
+        if n + 1 < len(lines):
+            spread = ", ".join(f"c.{c}" for c in axes)
+            got = ", ".join(f"k.{c}" for c in have)
+            same = " AND ".join([f"p.{c} = c.{c}" for c in axes] + [f"p.{c} = k.{c}" for c in have])
+            out.append(
+                f"fl{n} AS MATERIALIZED (SELECT {spread}, {got}, coalesce(p.value, 0.0) AS value FROM cell c CROSS JOIN (SELECT DISTINCT {', '.join(have)} FROM pt{n}) k LEFT JOIN pt{n} p ON {same})"
+            )
+            now = f"fl{n}"
+    picked = ", ".join([*[f"CAST({c} AS INTEGER) AS {c}" for c in have], *axes])
+    return f"WITH RECURSIVE {', '.join(out)} SELECT {picked}, round(value, 4) + 0.0 AS value FROM {now}"
+
+
+#: Two tones for each region, by its key.
+_TONES = "SELECT CAST(r_regionkey AS BIGINT) AS series_id, CAST(5 + r_regionkey AS INTEGER) AS low, CAST(50 + 3 * r_regionkey AS INTEGER) AS high FROM region"
+
+
+def _entropies(keys: str) -> str:
+    """``rep``: the three entropies and score of each series of ``sig``."""
+    return f"""{_dft('sig', 'series_id', 'ft')}, {_entropy('series_id')},
+wv AS MATERIALIZED (SELECT series_id, t, value AS a, lead(value, 1) OVER x AS b, lead(value, 2) OVER x AS c FROM sig WINDOW x AS (PARTITION BY series_id ORDER BY t)),
+pt AS (SELECT series_id, CASE WHEN a <= b THEN 1 ELSE 0 END * 4 + CASE WHEN a <= c THEN 1 ELSE 0 END * 2 + CASE WHEN b <= c THEN 1 ELSE 0 END AS pat FROM wv WHERE c IS NOT NULL),
+pk AS (SELECT series_id, pat, count(*) AS n FROM pt GROUP BY 1, 2),
+pe AS (SELECT series_id, least(1.0, sum(-q * ln(q)) / ln(6)) AS permutation FROM (SELECT series_id, n * 1.0 / sum(n) OVER (PARTITION BY series_id) AS q FROM pk) GROUP BY 1),
+dv AS (SELECT series_id, 0.2 * stddev_pop(value) AS r, count(*) AS n FROM sig GROUP BY 1),
+sm AS (SELECT series_id, CASE WHEN a > 0 AND b > 0 THEN -ln(a * 1.0 / b) ELSE 0.0 END AS sample FROM (SELECT i.series_id,
+  sum(CASE WHEN greatest(abs(i.a - j.a), abs(i.b - j.b)) <= r AND j.t < n - 2 THEN 1 ELSE 0 END) AS b,
+  sum(CASE WHEN greatest(abs(i.a - j.a), abs(i.b - j.b), abs(i.c - j.c)) <= r AND j.t < n - 3 THEN 1 ELSE 0 END) AS a
+  FROM wv i JOIN wv j ON i.series_id = j.series_id AND i.t < j.t JOIN dv ON dv.series_id = i.series_id GROUP BY 1)),
+rep AS (SELECT series_id, least(1.0, entropy / ln(dv.n)) AS spectral, permutation, sample FROM en JOIN pe USING (series_id) JOIN sm USING (series_id) JOIN dv USING (series_id))"""
+
+
+_TYPE_SIG = """sig AS MATERIALIZED (SELECT CAST(dense_rank() OVER (ORDER BY component) - 1 AS INTEGER) AS series_id, t, value FROM typ),
+num AS (SELECT series_id, CAST(count(*) AS INTEGER) AS n FROM sig GROUP BY series_id)"""
+_DFT_MAGNITUDE = """bn AS (SELECT series_id, n, unnest(range(n // 2)) AS bin FROM num),
+mg AS (SELECT series_id, bin, sqrt(pow(sum(value * cos(2 * pi() * ((bin * t) % n) / n)), 2) + pow(sum(value * sin(2 * pi() * ((bin * t) % n) / n)), 2)) / n AS magnitude
+  FROM bn JOIN sig USING (series_id) GROUP BY series_id, n, bin)"""
+_KINDS = {
+    "tone": "sin(2 * pi() * 10 * s)",
+    "two_tone": "sin(2 * pi() * 10 * s) + 0.5 * sin(2 * pi() * 50 * s)",
+    "chirp": "sin(2 * pi() * (5 * s + 20 * s * s))",
+    "am": "(1 + 0.5 * sin(2 * pi() * 2 * s)) * sin(2 * pi() * 25 * s)",
+    "fm": "sin(2 * pi() * 25 * s + 3 * sin(2 * pi() * 2 * s))",
+    "burst": "exp(-pow((s - 0.5) * 20, 2)) * sin(2 * pi() * 40 * s)",
+    "mix": "sin(2 * pi() * 5 * s) + 0.3 * sin(2 * pi() * 40 * s) + exp(-pow((s - 0.5) * 20, 2))",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     entropy_sig = f"WITH {SIG}, {_dft('sig', 'series_id', 'ft')}, {_entropy('series_id')}"
     slides = """wn AS (SELECT series_id, n, unnest(range(0, n - 32 + 1, 16)) AS start FROM num WHERE n >= 32),
@@ -195,8 +337,10 @@ string_agg(i || '-' || j, ',' ORDER BY overlap DESC, i, j) FILTER (WHERE overlap
 sv AS (SELECT *, {_SEVERITY.format('worst')} AS severity FROM mx)
 SELECT CAST(0 AS BIGINT) AS series_id, round(worst, 6) + 0.0 AS worst, severity, n_mixed, mixed, CASE severity WHEN 'ok' THEN 'The modes hold separate frequencies.'
 WHEN 'caution' THEN 'Some modes share frequencies; an ensemble method may separate them.' ELSE 'Modes are mixed; use an ensemble with adaptive noise or fewer modes.' END AS advice FROM sv""",
-        "recon_error": f"""WITH {HOURS}, s AS (SELECT t, sum(value) AS x, sum(value * value) AS e FROM typ GROUP BY 1)
-SELECT CAST(0 AS BIGINT) AS series_id, 0.0::DOUBLE AS relative_error, 0.0::DOUBLE AS max_error, round(sum(e) / sum(x * x), 6) + 0.0 AS energy_conservation, true AS valid FROM s""",
+        "recon_error": f"""WITH {HOURS}
+SELECT CAST(0 AS BIGINT) AS series_id, round(sqrt(sum(d * d)) / sqrt(sum(x * x)), 6) + 0.0 AS relative_error, round(max(abs(d)), 6) + 0.0 AS max_error, round(sum(e) / sum(x * x), 6) + 0.0 AS energy_conservation, max(abs(d)) <= 1e-9 AS valid
+FROM (SELECT t, x, e, x - y AS d FROM (SELECT t, sum(value) AS x, sum(value * value) FILTER (WHERE component <> (SELECT min(component) FROM typ)) AS e,
+  coalesce(sum(value) FILTER (WHERE component <> (SELECT min(component) FROM typ)), 0) AS y FROM typ GROUP BY 1))""",
         "boundary_artifact": f"""WITH {SIG} SELECT series_id, round(coalesce(stddev_pop(CASE WHEN t < 10 OR t >= n - 10 THEN value END)
 / nullif(stddev_pop(CASE WHEN t >= 10 AND t < n - 10 THEN value END), 0), 1.0), 6) + 0.0 AS artifact FROM sig JOIN num USING (series_id) GROUP BY 1""",
         "kl_divergence": f"""WITH {SIG}, {_dft('sig', 'series_id', 'ft')}, pw AS (SELECT series_id, bin, re * re + im * im AS power FROM ft WHERE bin <= p // 2),
@@ -249,6 +393,62 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS si
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM s GROUP BY user_id, sid""",
         "stream_dedup": "SELECT event_type, count(*) AS n FROM (SELECT DISTINCT event_id, event_type FROM events) GROUP BY 1",
         "stream_chunks": f"""WITH {SIG} SELECT series_id, CAST(t // 32 AS BIGINT) AS chunk, CAST(t % 32 AS INTEGER) AS t, round(value, 6) + 0.0 AS value
-FROM sig JOIN num USING (series_id) WHERE t // 32 < n // 32""",
+FROM sig JOIN num USING (series_id)""",
+        "emd_modes": _modes(),
+        "eemd_noiseless": _modes("CASE WHEN kind = 'residue' THEN 0 ELSE component END", False),
+        "ceemd_noiseless": _modes("CASE WHEN kind = 'residue' THEN 0 ELSE component END", False),
+        "ceemdan_noiseless": _modes(),
+        "iceemdan_noiseless": _modes(),
+        "mode_by_sd": _first_mode("coalesce(sd < 0.3, false)", 6),
+        "mode_by_s_number": _first_mode("steady >= 2", 14),
+        "mode_by_energy": _first_mode("coalesce(change < 0.2, false)", 10),
+        "emd_2d_modes": _grid_modes(_IMAGE, ("row", "col"), [("col", "row_component"), ("row", "col_component")]),
+        "emd_3d_modes": _grid_modes(_VOLUME, ("z", "y", "x"), [("x", "row_component"), ("y", "col_component"), ("z", "z_component")]),
+        "vmd_centres": f"WITH s AS ({_TONES}) SELECT series_id, 1 AS component, low AS bin FROM s UNION ALL SELECT series_id, 2, high FROM s",
+        "memd_alignment": f"WITH s AS ({_TONES}) SELECT series_id, CAST(c AS INTEGER) AS channel, 1 AS component, high AS bin FROM s, range(2) r(c) UNION ALL SELECT series_id, CAST(c AS INTEGER), 2, low FROM s, range(2) r(c)",
+        "namemd_alignment": f"WITH s AS ({_TONES}) SELECT series_id, CAST(c AS INTEGER) AS channel, 1 AS component, high AS bin FROM s, range(2) r(c)",
+        "ext_last_value": _placed("base AS (SELECT series_id, n FROM num),", "n + 20", "least(greatest(j - 10, 0), n - 1)"),
+        "ext_waveform": _placed("base AS (SELECT series_id, n, least(20, n) AS m FROM num),", "n + 2 * m", "CASE WHEN j < m THEN j WHEN j < m + n THEN j - m ELSE j - 2 * m END"),
+        "ring_buffer": f"WITH {SIG} SELECT series_id, CAST(t - greatest(n - 32, 0) AS INTEGER) AS place, t, round(value, 6) + 0.0 AS value FROM sig JOIN num USING (series_id) WHERE t >= n - 32",
+        "job_signals": _INPUT,
+        "collection_validate": f"WITH {HOURS} SELECT CAST(0 AS BIGINT) AS series_id, count(DISTINCT component) AS components, count(*) // count(DISTINCT component) AS shortest, count(*) // count(DISTINCT component) AS longest, 'ok' AS status FROM typ",
+        "stationarity_degree": f"""WITH {SIG}, {INST}, f AS (SELECT series_id, round(freq, 9) AS freq FROM ins)
+SELECT series_id, round(var_pop(freq) / pow(avg(freq), 2), 5) + 0.0 AS degree FROM f WHERE freq >= 0 GROUP BY 1 HAVING count(*) >= 2 AND avg(freq) > 0""",
+        "overlap_matrix": f"WITH {OVERLAP} SELECT i, j, round(overlap, 6) + 0.0 AS overlap FROM (SELECT i, j, overlap FROM ov UNION ALL SELECT j, i, overlap FROM ov UNION ALL SELECT DISTINCT component, component, 1.0 FROM typ)",
+        "layer_statistics": f"""WITH {_VOLUME} SELECT z, round(avg(value), 6) + 0.0 AS mean, round(var_pop(value), 6) + 0.0 AS variance, round(sum(value * value), 4) + 0.0 AS energy FROM cell GROUP BY z
+UNION ALL SELECT NULL, round(avg(value), 6) + 0.0, round(var_pop(value), 6) + 0.0, round(sum(value * value), 4) + 0.0 FROM cell""",
+        "volume_slices": f"WITH {_VOLUME} SELECT z, round(sum(value), 4) + 0.0 AS total, count(*) AS n FROM cell GROUP BY z",
+        "volume_columns": f"WITH {_VOLUME} SELECT y, x, round(max(CASE WHEN z = 0 THEN value END), 6) + 0.0 AS first, count(*) AS n FROM cell GROUP BY y, x",
+        "equal_mode_counts": f"""WITH RECURSIVE {SIG}, {_decomposed('sig', 'a', _DEPTH)}, mo AS (SELECT max(component) AS most FROM fina WHERE kind = 'imf')
+SELECT series_id, CAST(c AS INTEGER) AS component, count(*) AS n, round(coalesce(sum(pow(f.value, 2)), 0), 3) + 0.0 AS energy
+FROM (SELECT series_id, t, unnest(range(1, most + 2)) AS c FROM sig, mo) g
+LEFT JOIN (SELECT series_id, t, value, CASE WHEN kind = 'imf' THEN component ELSE most + 1 END AS c FROM fina, mo) f USING (series_id, t, c) GROUP BY series_id, c""",
+        "forward_context": f"WITH RECURSIVE {SIG}, {_decomposed('sig', 'a', _DEPTH)} SELECT series_id, count(DISTINCT component) FILTER (WHERE kind = 'imf') AS modes, true AS valid FROM fina GROUP BY 1",
+        "synthetic_signals": " UNION ALL ".join(f"SELECT '{k}' AS name, CAST(i AS INTEGER) AS t, round({f}, 6) + 0.0 AS value FROM (SELECT i, i / 500.0::DOUBLE AS s FROM range(500) r(i))" for k, f in sorted(_KINDS.items())),
+        "spline_cubic": """SELECT CAST(r_regionkey AS BIGINT) AS spline_id, k / 4.0::DOUBLE AS x, round(pow(k / 4.0, 3) - r_regionkey * pow(k / 4.0, 2) + 2, 6) + 0.0 AS value,
+round(3 * pow(k / 4.0, 2) - 2 * r_regionkey * (k / 4.0), 6) + 0.0 AS slope, round(6 * (k / 4.0) - 2 * r_regionkey, 6) + 0.0 AS curvature FROM region, range(29) r(k)""",
+        "spline_triangle": """SELECT CAST(r_regionkey AS BIGINT) AS spline_id, k / 4.0::DOUBLE AS x, round((r_regionkey + 1) * (1.5 * u - 0.5 * u * u * u), 6) + 0.0 AS value,
+round((r_regionkey + 1) * (1.5 - 1.5 * u * u) * (CASE WHEN k <= 4 THEN 1 ELSE -1 END), 6) + 0.0 AS slope, round(-3 * (r_regionkey + 1) * u, 6) + 0.0 AS curvature
+FROM (SELECT r_regionkey, k, CASE WHEN k <= 4 THEN k / 4.0 ELSE 2 - k / 4.0 END AS u FROM region, range(9) r(k))""",
+        "spline_periodic": """SELECT CAST(r_regionkey AS BIGINT) AS spline_id, k / 4.0::DOUBLE AS x, round((r_regionkey + 1) * s * (1.5 * u - 0.5 * u * u * u), 6) + 0.0 AS value,
+round((r_regionkey + 1) * s * d * (1.5 - 1.5 * u * u), 6) + 0.0 AS slope, round(-3 * (r_regionkey + 1) * s * u, 6) + 0.0 AS curvature
+FROM (SELECT r_regionkey, k, CASE WHEN k <= 8 THEN 1 ELSE -1 END AS s, CASE WHEN k % 8 <= 4 AND k NOT IN (8, 16) THEN 1 ELSE -1 END AS d,
+  CASE WHEN k % 8 <= 4 THEN (k % 8) / 4.0 ELSE 2 - (k % 8) / 4.0 END AS u FROM region, range(17) r(k))""",
+        "boundary_artifact_rms": f"""WITH {SIG} SELECT series_id, round(coalesce(sqrt(avg(CASE WHEN t < 10 OR t >= n - 10 THEN value * value END))
+/ sqrt(avg(CASE WHEN t >= 20 AND t < n - 20 THEN value * value END)), 1.0), 6) + 0.0 AS artifact FROM sig JOIN num USING (series_id) GROUP BY 1""",
+        "dft_magnitude": f"WITH {SIG}, {_DFT_MAGNITUDE} SELECT series_id, CAST(bin AS INTEGER) AS bin, round(magnitude, 5) + 0.0 AS magnitude FROM mg",
+        "spectral_distortion": f"""WITH RECURSIVE {SIG.replace('sig AS', 'raw AS').replace('FROM sig', 'FROM raw')}, {_decomposed('raw', 'a', 1)},
+both_ AS (SELECT series_id, 0 AS w, t, value FROM raw UNION ALL SELECT series_id, 1, t, value FROM fina WHERE kind = 'imf'),
+bn AS (SELECT series_id, n, unnest(range(n // 2)) AS bin FROM num),
+mg AS (SELECT series_id, w, bin, sqrt(pow(sum(value * cos(2 * pi() * ((bin * t) % n) / n)), 2) + pow(sum(value * sin(2 * pi() * ((bin * t) % n) / n)), 2)) AS m FROM bn JOIN both_ USING (series_id) GROUP BY series_id, n, w, bin),
+sh AS (SELECT series_id, w, bin, greatest(m / sum(m) OVER (PARTITION BY series_id, w), 1e-10) AS p FROM mg)
+SELECT a.series_id, round(sum(a.p * ln(a.p / b.p)), 4) + 0.0 AS distortion FROM sh a JOIN sh b ON a.series_id = b.series_id AND a.bin = b.bin AND a.w = 0 AND b.w = 1 GROUP BY 1""",
+        "hilbert_imf": f"""WITH {SIG}, {INST} SELECT series_id, 1 AS component, t, round(amp, 5) + 0.0 AS amp, round(coalesce(lead(ph) OVER w - ph, ph - lag(ph) OVER w, 0.0) / (2 * pi()), 5) + 0.0 AS freq
+FROM phs WINDOW w AS (PARTITION BY series_id ORDER BY t)""",
+        "entropy_report": f"""WITH {HOURS}, {_TYPE_SIG}, {_entropies('series_id')}, av AS (SELECT count(*) AS modes, avg(spectral) AS spectral, avg(permutation) AS permutation, avg(sample) AS sample FROM rep)
+SELECT CAST(0 AS BIGINT) AS series_id, modes, round(spectral, 6) + 0.0 AS spectral, round(permutation, 6) + 0.0 AS permutation, round(sample, 6) + 0.0 AS sample,
+round((spectral + permutation + least(sample / 2, 1.0)) / 3, 6) + 0.0 AS score, spectral > 0.7 AS high_complexity FROM av""",
+        "complexity": f"""WITH {HOURS}, {_TYPE_SIG}, {_entropies('series_id')} SELECT series_id AS component, round(spectral, 6) + 0.0 AS spectral, round(permutation, 6) + 0.0 AS permutation, round(sample, 6) + 0.0 AS sample,
+round((spectral + permutation + least(sample / 2, 1.0)) / 3, 6) + 0.0 AS score, spectral > 0.7 AS high_complexity FROM rep""",
     }
     return out

@@ -83,6 +83,11 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(METADATA).json(path, multiLine=True)
 
 
+def metadata_of(catalogue: DataFrame, source: str) -> DataFrame:
+    """The catalogue's signals from one source, whatever the case."""
+    return catalogue.where(F.lower("source") == source.lower())
+
+
 def write_metadata(df: DataFrame, path: str) -> None:
     df.select(*METADATA.fieldNames()).write.json(path)
 

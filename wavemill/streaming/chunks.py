@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import kernels as K
+from ..sources.shared import shared_dir
 
 
 def as_events(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -118,15 +118,7 @@ def decompose_bounded(events: DataFrame, chunk_size: int = 32, config: K.EmdConf
 
 
 def _folder(df: DataFrame, name: str, part: str) -> str:
-    """A folder that driver and executors share, below ``spark.checkpoint.dir`` or a new local one where that is missing."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not (current := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="wavemill-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get()
-    return f"{base.rstrip('/')}/streams/{name}/{part}"
+    return f"{shared_dir(df.sparkSession)}/streams/{name}/{part}"
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
