@@ -517,7 +517,7 @@ def boundary_artifact_rms(spark, d):
 
 
 def dft_magnitude(spark, d):
-    return spectral.dft_magnitude(_users(spark, d)).select("series_id", "bin", _r("magnitude", 5))
+    return spectral.dft_magnitude(_users(spark, d)).select("series_id", "bin", _r("magnitude", 9))
 
 
 def spectral_distortion(spark, d):

@@ -436,7 +436,7 @@ FROM (SELECT r_regionkey, k, CASE WHEN k <= 8 THEN 1 ELSE -1 END AS s, CASE WHEN
   CASE WHEN k % 8 <= 4 THEN (k % 8) / 4.0 ELSE 2 - (k % 8) / 4.0 END AS u FROM region, range(17) r(k))""",
         "boundary_artifact_rms": f"""WITH {SIG} SELECT series_id, round(coalesce(sqrt(avg(CASE WHEN t < 10 OR t >= n - 10 THEN value * value END))
 / sqrt(avg(CASE WHEN t >= 20 AND t < n - 20 THEN value * value END)), 1.0), 6) + 0.0 AS artifact FROM sig JOIN num USING (series_id) GROUP BY 1""",
-        "dft_magnitude": f"WITH {SIG}, {_DFT_MAGNITUDE} SELECT series_id, CAST(bin AS INTEGER) AS bin, round(magnitude, 5) + 0.0 AS magnitude FROM mg",
+        "dft_magnitude": f"WITH {SIG}, {_DFT_MAGNITUDE} SELECT series_id, CAST(bin AS INTEGER) AS bin, round(magnitude, 9) + 0.0 AS magnitude FROM mg",
         "spectral_distortion": f"""WITH RECURSIVE {SIG.replace('sig AS', 'raw AS').replace('FROM sig', 'FROM raw')}, {_decomposed('raw', 'a', 1)},
 both_ AS (SELECT series_id, 0 AS w, t, value FROM raw UNION ALL SELECT series_id, 1, t, value FROM fina WHERE kind = 'imf'),
 bn AS (SELECT series_id, n, unnest(range(n // 2)) AS bin FROM num),
