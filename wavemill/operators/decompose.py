@@ -17,10 +17,18 @@ from pyspark.sql import functions as F
 
 from ..functions import boundary, series
 from ..sources import shared
-from ..sources.frames import packed
+from ..sources.frames import dealt
+from ..sources.frames import packed as gathered
 from . import kernels as K
 from .directions import direction_vectors
 
+
+
+def packed(df: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """One row per series with ``x``, its values in order, dealt out for long computations."""
+    return gathered(dealt(df, *keys), keys)
+
+
 _PARTS = "status string, parts array<array<double>>"
 
 
@@ -111,12 +119,12 @@ def vmd(df: DataFrame, config: K.VmdConfig = K.VmdConfig(), on_error: str = "sta
 
 def _trials(df: DataFrame, trials: int, signs: tuple[int, ...]) -> DataFrame:
     """A row for each series, trial and sign, dealt out by series and trial."""
-    return (
-        packed(df)
+    rows = (
+        gathered(df)
         .withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
         .withColumn("sign", F.explode(F.array(*[F.lit(s) for s in signs])))
-        .repartition("series_id", "trial")
     )
+    return dealt(rows, "series_id", "trial")
 
 
 def _ensemble(df: DataFrame, trials: int, noise_std: float, seed: int, config: K.EmdConfig, signs, fall_back: bool) -> DataFrame:
@@ -141,6 +149,7 @@ def _ensemble(df: DataFrame, trials: int, noise_std: float, seed: int, config: K
         (F.sum("value") / F.lit(float(trials * len(signs)))).alias("value"),
         F.max(F.when(F.col("status") != "ok", F.col("status"))).alias("failed"),
     )
+    means = shared.materialise(means, "means")  # read twice, and the trials are dear
     failed = means.where("failed is not null").select(F.col("series_id").alias("f_id"), "failed").distinct()
     good = means.where("component is not null").join(failed, F.col("series_id") == F.col("f_id"), "left_anti")
     kind = F.when(F.col("component") == 0, "residue").otherwise("imf")
@@ -175,7 +184,7 @@ def _staged(df: DataFrame, trials: int, noise_std: float, seed: int, config: K.E
     def begin(r) -> list[np.ndarray]:
         return [K.check(r.x)]
 
-    started = shared.materialise(_apply(packed(df), ["series_id"], begin), "stage")
+    started = shared.materialise(_apply(gathered(df), ["series_id"], begin), "stage")
     live = started.where("status = 'ok'").select("series_id", F.element_at("parts", 1).alias("x"))
     done, k = [], 0
     while not live.isEmpty():
@@ -185,14 +194,14 @@ def _staged(df: DataFrame, trials: int, noise_std: float, seed: int, config: K.E
             added = K.trial_noise(len(x), spread(x), k, r.trial, (seed, series_seed(r.series_id)), own_modes, config)
             return [K.first_mode(x + added, config)]
 
-        dealt = live.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).repartition("series_id", "trial")
+        each = dealt(live.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))), "series_id", "trial")
         modes = (
-            _apply(dealt, ["series_id"], first)
+            _apply(each, ["series_id"], first)
             .select("series_id", F.posexplode(F.element_at("parts", 1)).alias("t", "v"))
             .groupBy("series_id", "t")
             .agg((F.sum("v") / F.lit(float(trials))).alias("value"))
         )
-        mean = packed(modes).withColumnsRenamed({"series_id": "m_id", "x": "mode"})
+        mean = gathered(modes).withColumnsRenamed({"series_id": "m_id", "x": "mode"})
 
         def take_off(r, k: int = k) -> list[np.ndarray]:
             x, mode = np.asarray(r.x, float), np.asarray(r.mode, float)

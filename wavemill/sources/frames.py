@@ -65,6 +65,18 @@ def embedding_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("series_id", "t", F.col("x").cast("double").alias("value"))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` for work that costs more than its bytes show.
+
+    Adaptive execution joins partitions by their size, and would give all small series with
+    long computations to one task. A fixed number of partitions is left as it is; what groups
+    by the same keys next needs no other shuffle.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def packed(df: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """One row per series with ``x``, its values in order of ``t``."""
     pairs = F.array_sort(F.collect_list(F.struct("t", "value")))
