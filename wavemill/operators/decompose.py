@@ -23,7 +23,6 @@ from . import kernels as K
 from .directions import direction_vectors
 
 
-
 def packed(df: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """One row per series with ``x``, its values in order, dealt out for long computations."""
     return gathered(dealt(df, *keys), keys)
@@ -207,18 +206,16 @@ def _staged(df: DataFrame, trials: int, noise_std: float, seed: int, config: K.E
             x, mode = np.asarray(r.x, float), np.asarray(r.mode, float)
             if k and float(np.dot(mode, mode)) < 1e-15 * float(np.dot(x, x)):
                 return [x]  # no mode any more: the residue stays
-            return [x - mode, mode]
+            limit = K.stages(len(x)) if own_modes or not config.max_imfs else config.max_imfs
+            return [x - mode, mode, *([x - mode] if K.ends(x - mode, k + 1, limit) else [])]
 
         step = shared.materialise(_apply(live.join(mean, F.col("series_id") == F.col("m_id")), ["series_id"], take_off), "stage")
-        went = step.where(F.size("parts") == 2)
-        done.append(went.select("series_id", F.lit(k + 1).alias("component"), F.lit("imf").alias("kind"), F.element_at("parts", 2).alias("part")))
+        part = lambda where, n, component, i: step.where(where).select(  # noqa: E731, B023
+            "series_id", F.lit(component).alias("component"), F.lit(n).alias("kind"), F.element_at("parts", i).alias("part")
+        )
         k += 1
-        over = lambda r, k=k: [np.asarray(r.x, float)] * (2 if K.ends(np.asarray(r.x, float), k, config) else 1)
-        left = shared.materialise(_apply(went.select("series_id", F.element_at("parts", 1).alias("x")), ["series_id"], over), "stage")
-        last = step.where(F.size("parts") == 1).select("series_id", F.lit(k).alias("component"), F.element_at("parts", 1).alias("part"))
-        ended = left.where(F.size("parts") == 2).select("series_id", F.lit(k + 1).alias("component"), F.element_at("parts", 1).alias("part"))
-        done += [x.select("series_id", "component", F.lit("residue").alias("kind"), "part") for x in (last, ended)]
-        live = left.where(F.size("parts") == 1).select("series_id", F.element_at("parts", 1).alias("x"))
+        done += [part("size(parts) > 1", "imf", k, 2), part("size(parts) = 1", "residue", k, 1), part("size(parts) = 3", "residue", k + 1, 1)]
+        live = step.where("size(parts) = 2").select("series_id", F.element_at("parts", 1).alias("x"))
     columns = ["series_id", "component", "kind", "t", "value"]
     kind = df.schema["series_id"].dataType.simpleString()
     out = spark.createDataFrame([], f"series_id {kind}, component int, kind string, t int, value double")
@@ -236,13 +233,13 @@ def _staged(df: DataFrame, trials: int, noise_std: float, seed: int, config: K.E
 def ceemdan(df: DataFrame, trials: int = 100, noise_std: float = 0.2, seed: int = 0, config: K.EmdConfig = K.EmdConfig(), on_error: str = "status") -> DataFrame:
     """Adaptive noise: each stage takes the mean first mode off, over trials of the residue with noise at its own spread.
 
-    A trial that fails is its own mode.
+    A trial that fails is its own mode. Without ``max_imfs`` there are :func:`kernels.stages` at most.
     """
     return _staged(df, trials, noise_std, seed, config, on_error, False)
 
 
 def iceemdan(df: DataFrame, trials: int = 100, noise_std: float = 0.2, seed: int = 0, config: K.EmdConfig = K.EmdConfig(), on_error: str = "status") -> DataFrame:
-    """As :func:`ceemdan` with the k-th mode of noise at stage k; where noise has none, nothing is added."""
+    """As :func:`ceemdan` with the k-th mode of noise at stage k; where noise has none, nothing is added. ``max_imfs`` is not a limit on stages."""
     return _staged(df, trials, noise_std, seed, config, on_error, True)
 
 
