@@ -34,6 +34,8 @@ LIFT, SIGNIFICANCE = 3.0, 15.14
 STEMS = (4, 5, 6)
 #: A letter besides a to z has a symbol of its own if it is at least this share of all letters.
 LETTER_SHARE = 1e-4
+#: Symbols up to which trigrams are counted in a plain table (16 MB), and over which in a sorted list of those in use.
+_TABLE = 128
 #: Readings that a worker remembers.
 READINGS = 50_000
 
@@ -105,6 +107,7 @@ def character_counts(docs: DataFrame, letters: str = _LATIN) -> DataFrame:
         asked = np.zeros(0x110000, bool)
         asked[:128] = asked[symbol] = True
         found, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        table = np.zeros(size**3 if size <= _TABLE else 0, np.int64)
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for a, b in _slices(texts):
@@ -113,10 +116,15 @@ def character_counts(docs: DataFrame, letters: str = _LATIN) -> DataFrame:
                     known[c] = (size - 1) * chr(c).isalpha()
                     asked[c] = True
                 s = known[codes].astype(np.int64)
-                if len(s) > 2:
+                if len(s) > 2 and len(table):
+                    table += np.bincount((s[:-2] * size + s[1:-1]) * size + s[2:], minlength=len(table))
+                elif len(s) > 2:
                     at, n = np.unique((s[:-2] * size + s[1:-1]) * size + s[2:], return_counts=True)
                     found, where = np.unique(np.concatenate([found, at]), return_inverse=True)
                     sums = np.bincount(where, np.concatenate([sums, n]), len(found)).astype(np.int64)
+        if len(table):
+            found = np.flatnonzero(table)
+            sums = table[found]
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums)], ["code", "n"])
 
     return docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
