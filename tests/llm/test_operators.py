@@ -359,18 +359,19 @@ def test_near_dup_with_longer_keys(spark, monkeypatch):
         assert groups() == want
 
 
-def test_near_dup_of_a_hot_list(spark):
-    """Over 100,000 fingerprints that share five bytes and more."""
+def test_near_dup_of_a_hot_list(spark, monkeypatch):
+    """Thousands of fingerprints that share five bytes and more, far over the length of a list."""
+    monkeypatch.setattr(near_dup, "LIST", 64)
     rng = np.random.default_rng(5)
-    low = np.unique(rng.choice(1 << 20, 101_000, replace=False))
+    low = np.unique(rng.choice(1 << 17, 8_000, replace=False))
     fps = low | (0x1234567 << 24)
     df = spark.createDataFrame([(int(x),) for x in fps], "fp long").repartition(4)
     got = {r.node: r.root for r in near_dup.components(near_dup.links(df)).collect()}
     # brute force: every fingerprint's neighbours by flipping up to three of the 24 bits
-    here = np.zeros(1 << 24, bool)
+    here = np.zeros(1 << 17, bool)
     here[low] = True
-    flips = [sum(1 << b for b in c) for k in (1, 2, 3) for c in combinations(range(20), k)]
-    root = np.full(1 << 24, 1 << 24)
+    flips = [sum(1 << b for b in c) for k in (1, 2, 3) for c in combinations(range(17), k)]
+    root = np.full(1 << 17, 1 << 17)
     root[low] = low
     for _ in range(64):
         before = root[low].copy()
