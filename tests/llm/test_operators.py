@@ -102,6 +102,22 @@ def test_quality(docs, corpus, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_quality_rules_by_rejection_per_cost(spark, docs, empty):
+    """Costly rules that reject little come late, and the order does not hang on timing or partitions."""
+    word = lambda i: f"{'bcdfg'[i % 5]}{'aeiou'[i // 5 % 5]}{'lmnrs'[i // 25 % 5]}"
+    prose = [" ".join(word(i * k % 125) for i in range(100)) for k in (1, 2, 3, 4, 6, 7)]
+    texts = prose + [p + " #$%" * 20 for p in prose[:3]] + [p + " !" * 150 for p in prose[:2]] + [prose[0].upper()]
+    few = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    order = quality.estimate(few)
+    assert [(name, round(12 * share)) for name, _, share in order] == [
+        ("symbols", 3), ("exclamations", 2), ("capitals", 1), ("repeated lines", 0), ("few distinct words", 0),
+    ]
+    gain = [share / cost for _, cost, share in order]
+    assert gain == sorted(gain, reverse=True) and order[0][1] == order[3][1] == 2 < 100 < order[4][1]
+    assert order == quality.estimate(few.repartition(7)) == quality.estimate(few)
+    assert len(quality.estimate(docs, sample_rows=10)) == len(quality.estimate(empty)) == 5
+
+
 def test_toxicity(spark, docs, corpus, empty):
     bad = "worthless idiot clown pathetic moron stupid loser".split()
     rows, labels = [], []

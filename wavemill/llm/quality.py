@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, fresh, materialise, strip_spaces
+from .common import SPACE_RE, fresh, strip_spaces
 
 WINDOW = 5
-#: Rows of the sample that cost and selectivity are estimated on.
+#: Rows, about, of the sample that cost and selectivity are estimated on.
 SAMPLE_ROWS = 1_500
 #: Words of a block that distinct words are counted in; more words repeat in a longer text.
 BLOCK = 1_000
@@ -93,30 +91,37 @@ def rules(at: dict[str, str]) -> dict[str, Column]:
     }
 
 
-def estimate(stats: DataFrame, at: dict[str, str], sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """``rule, seconds, share rejected`` on a sample, by rejection per cost, best first.
+def work(at: dict[str, str]) -> dict[str, Column]:
+    """What each rule costs a row: the characters it reads, and one for each ready figure."""
+    c = {k: F.col(v) for k, v in at.items()}
+    characters = F.char_length(c["text"])
+    return {
+        "symbols": F.lit(2),
+        "repeated lines": F.lit(2),
+        "exclamations": characters + 1,
+        "capitals": characters + 1,
+        "few distinct words": c["word_chars"] + c["n_words"] + 1,
+    }
+
+
+def estimate(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+    """``rule, cost, share rejected`` on a sample, by rejection per cost, best first.
 
+    The sample are the rows whose hash (of all numbers and strings) falls in the share that
+    gives about ``sample_rows``, so it is the same on every run and however rows are dealt.
     The order only decides how soon a row is settled: a row is kept if no rule rejects it.
     """
-    needed = [at[k] for k in ("text", "w", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines")]
-    # one range of the text's hash: an even sample that needs no pass over all rows
-    sample = materialise(
-        stats.where(F.pmod(F.xxhash64(at["text"]), F.lit(16)) == 0).select(*needed).limit(sample_rows), "sample"
-    )
-
-    def timed(*columns: Column) -> tuple[float, tuple]:
-        best = float("inf")
-        for _ in range(2):
-            begun = time.perf_counter()
-            row = sample.agg(F.count(F.lit(1)), *columns).first()
-            best = min(best, time.perf_counter() - begun)
-        return best, tuple(row)
-
-    floor, _ = timed(F.sum(F.octet_length(at["text"])))
-    found = []
-    for name, rule in rules(at).items():
-        seconds, (n, rejected) = timed(F.sum(rule.cast("int")))
-        found.append((name, max(seconds - floor, 1e-4), (rejected or 0) / max(n, 1)))
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    keys = [f.name for f in docs.schema if f.dataType.typeName() in ("string", "long", "integer", "short", "byte")]
+    place = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys or [text_col]]), F.lit(1 << 32)) / float(1 << 32)
+    stats, at = _stats(docs.where(place < share), text_col)
+    names, tests, costs = list(rules(at)), rules(at), work(at)
+    row = stats.agg(
+        F.count(F.lit(1)), *[F.sum(tests[n].cast("long")) for n in names], *[F.sum(costs[n].cast("double")) for n in names]
+    ).first()
+    n = max(row[0], 1)
+    rejected, spent = row[1 : len(names) + 1], row[len(names) + 1 :]
+    found = [(name, max((c or 0) / n, 1.0), (r or 0) / n) for name, r, c in zip(names, rejected, spent)]
     return sorted(found, key=lambda r: (-r[2] / r[1], r[1], r[0]))
 
 
@@ -125,8 +130,8 @@ def judge(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
 
     Words are runs without white space; windows are ``WINDOW`` words and compared by 64-bit
     hashes within a document. ``base_failed`` marks fewer than 10 words, or more than a fifth
-    of the words in repeated windows. The rules run as one CASE, the ones that reject most per
-    second of the sample first, so that a rejected row skips the rest; ``kept`` is false if
+    of the words in repeated windows. The rules run as one CASE, the ones that reject most for
+    their cost on a sample first, so that a rejected row skips the rest; ``kept`` is false if
     the base or any rule rejects.
 
     A null or empty text has no words, so the base rejects it. Nothing is compared between
@@ -135,8 +140,8 @@ def judge(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     keep = [c for c in docs.columns if c.lower() not in names]
+    order = estimate(docs.select(*keep), text_col, sample_rows)
     stats, at = _stats(docs.select(*keep), text_col)
-    order = estimate(stats, at, sample_rows)
     all_rules = rules(at)
     cascade: Column = F.lit(True)
     for name, _, _ in reversed(order):
