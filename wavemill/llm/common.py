@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise, shared_dir
+
+__all__ = ["materialise", "shared_dir", "release", "ascii_lower", "strip_spaces", "word_count", "fresh"]
+
 #: The white space of every contract here: space, and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -19,34 +20,8 @@ NO_ID = -(2**63)
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is missing (tests on one machine) a new folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="wavemill-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back.
-
-    This cuts the lineage: if an executor is lost, later stages read the files again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wavemill/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
-    """Deletes what :func:`materialise` has written; call it when no result is needed any more."""
+    """Deletes what ``materialise`` has written; call it when no result is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/wavemill")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -76,9 +76,9 @@ def mix(
     source's exact budget (the document on the cut gives the words that are left).
 
     Nulls: a null text has size 0; a null source is a source of its own and comes last; null
-    ids share one key. Ties in the key (equal ids) are ordered by size, so repeated rows get
-    the same values whichever comes first. A source without words has target 0. An empty
-    table gives no rows. Other columns of ``docs`` are not read.
+    ids share one key. Ties in the key (equal ids) are ordered by size. Repeated rows stand side
+    by side, and of those on a cut one can get more than the other; the rows of the result are
+    the same on every run. A source without words has target 0. An empty table gives no rows. Other columns of ``docs`` are not read.
     """
     sized = materialise(
         docs.select(

@@ -307,7 +307,12 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    Other columns of ``docs`` than ``doc_id`` and ``text`` are not read.
+    A null or empty text is one piece of the end id alone. A null id stays null, and rows with one
+    are packed like others. Repeated rows are packed each for themselves, in places of their
+    own; which of them gets which is open, as is which of the pieces of one length comes first
+    among equal hashes. A text is tokenised whole by one task, however long, and needs memory in
+    proportion to its length there. An empty table gives no rows. Other columns of ``docs`` than
+    ``doc_id`` and ``text`` are not read.
     """
     return pack(pieces(docs, path, capacity), capacity)
 
