@@ -16,12 +16,20 @@ from wavemill.llm.queries import tokenizer_path
 
 
 def _drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go; labels of the learning folds teach the score."""
+    """Documents scored as toxic go; labels of the learning folds teach the score.
+
+    A null or empty text has no telling word and so the score of such texts. Repeated rows go or
+    stay together, as do rows of a null id with the same text.
+    """
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*docs.columns)
 
 
 def _drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of many documents go, but for the last document that holds them; lengths follow."""
+    """Lines of many documents go, but for the last document that holds them; lengths follow.
+
+    A null text is one empty line; a null id comes before all others. Rows of one id count as
+    one document, and all of them keep the lines if theirs is the largest id.
+    """
     done = line_dedup.drop_common_lines(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -30,17 +38,28 @@ def _drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def _one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
+    """Of each group of near copies the document of the smallest id stays.
+
+    A null id is the smallest; rows of equal id are told apart by their text's hash, and of rows
+    that repeat as a whole one stays. Texts without words, null ones among them, are one group.
+    """
     return near_dup.one_of_each(docs)
 
 
 def _mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources meet their target weights; a document taken twice comes twice."""
+    """Sources meet their target weights; a document taken twice comes twice.
+
+    Documents without words (null texts among them) are not taken. A null source is a source of
+    its own. Rows of equal id, source and size get the same number of copies.
+    """
     return mixing.mixed_documents(docs)
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their place in sequences of at most 4096 ids."""
+    """Pieces of documents with their place in sequences of at most 4096 ids.
+
+    A null text is the end id alone; repeated rows are packed each for themselves.
+    """
     return packing.packed_documents(docs, tokenizer_path())
 
 
