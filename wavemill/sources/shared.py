@@ -27,9 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back, which cuts its lineage."""
+def materialise(df: DataFrame, tag: str, **options) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it back, which cuts its lineage.
+
+    ``options`` are the writer's, with ``_`` for the dots of their names.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wavemill/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**{k.replace("_", "."): v for k, v in options.items()}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
