@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, line_dedup, mixing, near_dup, packing, quality, sharding, suffix_dedup, toxicity
+from . import decontamination, fingerprints, licenses, line_dedup, mixing, near_dup, packing, quality, sharding, suffix_dedup, toxicity
 from .simhash import hex16
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -78,6 +78,19 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    n_hit = decontamination.words_in(F.col("spans"))
+    return decontamination.screen(_documents(spark, sf_dir), items).select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -90,6 +103,7 @@ def queries() -> dict:
         "op5_line_dedup": op5_line_dedup,
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
+        "op13_decontamination": op13_decontamination,
     }
 
 
@@ -160,5 +174,34 @@ FROM b
 """
 
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT item, w, least(len(w), 10) AS k, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i
+            FROM b WHERE len(w) > 0)),
+k AS (SELECT DISTINCT k FROM p),
+g AS (SELECT rid, i, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT rid, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, k WHERE len(w) >= k)),
+h AS (SELECT g.rid, g.i, g.k, p.item FROM g JOIN p ON g.phrase = p.phrase),
+c AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(generate_series(i, i + k - 1)) AS j FROM h) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
+       c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN c ON d.rid = c.rid LEFT JOIN t ON d.rid = t.rid
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.sql(), "op3_quality_rules": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {
+        "op2_license_scan": licenses.sql(),
+        "op3_quality_rules": OP3_SQL,
+        "op5_line_dedup": OP5_SQL,
+        "op6_mixing": OP6_SQL,
+        "op13_decontamination": OP13_SQL,
+    }
