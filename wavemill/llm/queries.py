@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, licenses, line_dedup, mixing, near_dup, packing, quality, sharding, suffix_dedup, toxicity
+from . import collocations, decontamination, divergence, fingerprints, licenses, line_dedup, mixing, near_dup, packing, quality, sharding, suffix_dedup, toxicity
 from .simhash import hex16
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -78,6 +78,14 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     n_hit = decontamination.words_in(F.col("spans"))
@@ -103,6 +111,8 @@ def queries() -> dict:
         "op5_line_dedup": op5_line_dedup,
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
+        "op11_collocations": op11_collocations,
+        "op12_divergence": op12_divergence,
         "op13_decontamination": op13_decontamination,
     }
 
@@ -173,6 +183,63 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP11_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang,
+                        unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+      FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i
+            FROM p, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+k AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS own, unnest(generate_series(1, m - 1)) AS k FROM f WHERE m > 1),
+s AS (SELECT k.lang, k.m, k.phrase, k.a, k.k, x.f AS l, y.f AS r,
+             CAST(CAST(2000000 AS HUGEINT) * k.a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.own[1:k.k], ' ')
+             JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.own[k.k + 1:], ' ')),
+c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, f, size, string_split(phrase, ' ') AS own, unnest(generate_series(1, m - size + 1)) AS pos
+      FROM f, (SELECT unnest([2, 3]) AS size) WHERE size < m),
+h AS (SELECT lang, array_to_string(own[pos:pos + size - 1], ' ') AS phrase, max(f) AS most FROM i GROUP BY 1, 2),
+t AS (SELECT c.lang, c.phrase, c.a, c.l, c.r, c.score FROM c LEFT JOIN h ON c.lang = h.lang AND c.phrase = h.phrase
+      WHERE h.most IS NULL OR CAST(100 AS HUGEINT) * h.most < CAST(80 AS HUGEINT) * c.a)
+SELECT t.lang, row_number() OVER (PARTITION BY t.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM t JOIN n ON t.lang = n.lang
+QUALIFY row_number() OVER (PARTITION BY t.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM e GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT e.lang, e.source, e.term, count(*) AS n FROM e JOIN k ON e.lang = k.lang AND e.term = k.term GROUP BY 1, 2, 3),
+t AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+             CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5) // (coalesce(t.n, 0) + 5 * v.v) AS BIGINT) AS p
+      FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang
+             LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+             LEFT JOIN t ON t.lang = g.lang AND t.source = g.source),
+q AS (SELECT lang, term, CAST(1 + CAST(1000000000 AS HUGEINT) * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS BIGINT) AS q
+      FROM (SELECT c.lang, c.term, sum(c.n) AS n, any_value(v.v) AS v FROM c JOIN v ON c.lang = v.lang GROUP BY c.lang, c.term)),
+a AS (SELECT x.lang, x.source, y.source AS item, CAST(sum(abs(x.p - y.p)) AS BIGINT) AS value
+      FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+b AS (SELECT x.lang, x.source, y.source AS item, coalesce(a.value, 0) AS value
+      FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+               LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source),
+r AS (SELECT lang, source, 'pair' AS part, item, value,
+             row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM b),
+s AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS value,
+             row_number() OVER (PARTITION BY p.lang, p.source ORDER BY p.p - q.q DESC, p.term) AS rank
+      FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM r
+UNION ALL SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM s WHERE rank <= 50
+"""
 
 OP13_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
@@ -203,5 +270,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": OP3_SQL,
         "op5_line_dedup": OP5_SQL,
         "op6_mixing": OP6_SQL,
+        "op11_collocations": OP11_SQL,
+        "op12_divergence": OP12_SQL,
         "op13_decontamination": OP13_SQL,
     }
