@@ -102,7 +102,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", shard_words: int = S
     return materialise(source.mapInArrow(run, schema), "fm-index", parquet_page_size_row_check_min=1, parquet_page_size_row_check_max=1, parquet_block_size=1 << 24)
 
 
-def phrase_blocks(items: DataFrame, id_column: str = "item_id", window: int = WINDOW) -> Iterator[dict]:
+def phrase_blocks(items: DataFrame, id_column: str = "item_id", window: int = WINDOW, block: int = BLOCK_PHRASES) -> Iterator[dict]:
     """The distinct phrases of benchmark items in blocks of a bounded size, with the items that hold each.
 
     A phrase is a run of ``window`` words of an item's ``text``, or a shorter item as a whole.
@@ -131,7 +131,7 @@ def phrase_blocks(items: DataFrame, id_column: str = "item_id", window: int = WI
             own = words[i : i + window]
             size += sum(len(w.encode()) for w in own if w not in known)
             phrases.setdefault(tuple(known.setdefault(w, len(known)) for w in own), set()).add(row.id)
-            if len(phrases) >= BLOCK_PHRASES or size >= BLOCK_BYTES:
+            if len(phrases) >= block or size >= BLOCK_BYTES:
                 yield closed(known, phrases)
                 known, phrases, size = {}, {}, 0
     if phrases:
@@ -213,16 +213,17 @@ def _merged(hits: DataFrame) -> DataFrame:
     return spans.join(items, ["shard", "place"])
 
 
-def screen_index(index: DataFrame, items: DataFrame, id_column: str = "item_id", window: int = WINDOW) -> DataFrame:
+def screen_index(index: DataFrame, items: DataFrame, id_column: str = "item_id", window: int = WINDOW, block: int = BLOCK_PHRASES) -> DataFrame:
     """``id, key, n_words, spans, items`` of every document of an index: the word spans that phrases of items cover.
 
     ``start`` counts words from 0, ``stop`` is the word after the span; ``items`` are sorted as strings.
+    ``block`` is the most phrases that are broadcast together.
     """
     docs = index.select("shard", F.posexplode(F.arrays_zip("ids", "keys", "n_words")).alias("place", "d"))
     docs = docs.select("shard", "place", F.col("d.ids").alias("id"), F.col("d.keys").alias("key"), F.col("d.n_words").alias("n_words"))
     hits = None
-    for block in phrase_blocks(items, id_column, window):
-        more = _search(index, block)
+    for phrases in phrase_blocks(items, id_column, window, block):
+        more = _search(index, phrases)
         hits = more if hits is None else hits.unionByName(more)
     if hits is None:
         none = lambda kind: F.array().cast(kind)

@@ -26,7 +26,7 @@ What holds for all functions here:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +124,7 @@ def kept_postings(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     return materialise(counted.where(F.col("df") >= least).drop("docs", "df"), "divergence-postings")
 
 
-def _groups(docs: DataFrame, kept: DataFrame) -> DataFrame:
+def _groups(docs: DataFrame, kept: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """``lang, source, gid, total, lang_total, terms, heavy, base``: every group with what its shares need.
 
     ``gid`` numbers a language's sources from 0; ``base`` is the share of a term that the group lacks.
@@ -133,7 +133,7 @@ def _groups(docs: DataFrame, kept: DataFrame) -> DataFrame:
     langs = kept.groupBy("lang").agg(
         F.sum("n").alias("lang_total"),
         F.sum(F.col("first").cast("long")).alias("terms"),
-        F.sum((F.col("first") & (F.col("groups") > HEAVY)).cast("long")).alias("heavy"),
+        F.sum((F.col("first") & (F.col("groups") > heavy)).cast("long")).alias("heavy"),
     )
     met = _named(docs).distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     met = met.na.fill(0, ["total", "lang_total", "terms", "heavy"])
@@ -158,28 +158,32 @@ def _one_sided(held: np.ndarray, times: np.ndarray, own: int, others: np.ndarray
     return far - count[-1] * np.abs(own - others)
 
 
-def _tile(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Partial distances of the pairs between two blocks of groups: over a block of heavy terms, or (``part`` -1) of light terms one side at a time."""
-    lang, part, bi, bj = (k.as_py() for k in key)
-    gid, p, times = (table[c].to_numpy() for c in ("gid", "p", "times"))
-    base = times == 0
-    ids, at = np.unique(gid[base], return_index=True)
-    lows = p[base][at]
-    i, j = np.flatnonzero(ids // TILE_GROUPS == bi), np.flatnonzero(ids // TILE_GROUPS == bj)
-    apart = np.abs(lows[i][:, None] - lows[j][None, :])
-    place = np.searchsorted(ids, gid)
-    if part < 0:
-        own = np.split(np.argsort(place[~base], kind="stable"), np.cumsum(np.bincount(place[~base], minlength=len(ids)))[:-1])
-        hist_p, hist_n = p[~base], times[~base]
-        side = lambda rows, others: np.array([_one_sided(hist_p[own[g]], hist_n[own[g]], lows[g], lows[others]) for g in rows], np.int64).reshape(len(rows), len(others))
-        f = apart * int(table["terms"][0].as_py()) + side(i, j) + side(j, i).T
-    else:
-        codes, terms = coded([c for c in table["term"].filter(pa.array(~base)).chunks])
-        dense = np.repeat(lows[:, None], len(terms), axis=1)
-        dense[place[~base], codes] = p[~base]
-        f = np.array([np.abs(dense[g] - dense[j]).sum(1) for g in i], np.int64).reshape(len(i), len(j)) - apart * len(terms)
-    a, b = np.nonzero(ids[i][:, None] < ids[j][None, :])
-    return _pair_rows(lang, ids[i][a], ids[j][b], f[a, b])
+def _tile_of(size: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Partial distances of the pairs between two blocks of ``size`` groups: over a block of heavy terms, or (``part`` -1) of light terms one side at a time."""
+
+    def tile(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        lang, part, bi, bj = (k.as_py() for k in key)
+        gid, p, times = (table[c].to_numpy() for c in ("gid", "p", "times"))
+        base = times == 0
+        ids, at = np.unique(gid[base], return_index=True)
+        lows = p[base][at]
+        i, j = np.flatnonzero(ids // size == bi), np.flatnonzero(ids // size == bj)
+        apart = np.abs(lows[i][:, None] - lows[j][None, :])
+        place = np.searchsorted(ids, gid)
+        if part < 0:
+            own = np.split(np.argsort(place[~base], kind="stable"), np.cumsum(np.bincount(place[~base], minlength=len(ids)))[:-1])
+            hist_p, hist_n = p[~base], times[~base]
+            side = lambda rows, others: np.array([_one_sided(hist_p[own[g]], hist_n[own[g]], lows[g], lows[others]) for g in rows], np.int64).reshape(len(rows), len(others))
+            f = apart * int(table["terms"][0].as_py()) + side(i, j) + side(j, i).T
+        else:
+            codes, terms = coded([c for c in table["term"].filter(pa.array(~base)).chunks])
+            dense = np.repeat(lows[:, None], len(terms), axis=1)
+            dense[place[~base], codes] = p[~base]
+            f = np.array([np.abs(dense[g] - dense[j]).sum(1) for g in i], np.int64).reshape(len(i), len(j)) - apart * len(terms)
+        a, b = np.nonzero(ids[i][:, None] < ids[j][None, :])
+        return _pair_rows(lang, ids[i][a], ids[j][b], f[a, b])
+
+    return tile
 
 
 def _posting_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,13 +214,14 @@ def _posting_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total)], ["lang", "i", "j", "f"])
 
 
-def pair_distances(groups: DataFrame, kept: DataFrame) -> DataFrame:
+def pair_distances(groups: DataFrame, kept: DataFrame, heavy: int = HEAVY, tile: tuple[int, int] = (TILE_TERMS, TILE_GROUPS)) -> DataFrame:
     """``lang, i, j, f`` (i < j) of all pairs of a language's groups: the sum over its kept terms of the distance of their shares."""
+    size = tile[1]
     facts = groups.select("lang", "source", "gid", "total", "terms", "heavy", "base")
     shared = kept.join(facts, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
-    light = F.col("groups") <= HEAVY
-    blocks = groups.groupBy("lang").agg(F.floor((F.max("gid") + TILE_GROUPS) / TILE_GROUPS).cast("int").alias("blocks"))
-    parts = F.ceil(F.col("heavy") / TILE_TERMS).cast("int")
+    light = F.col("groups") <= heavy
+    blocks = groups.groupBy("lang").agg(F.floor((F.max("gid") + size) / size).cast("int").alias("blocks"))
+    parts = F.ceil(F.col("heavy") / tile[0]).cast("int")
     none = F.lit(None).cast("string")
     zero = F.lit(0).cast("long")
     # each row goes to the tiles of its block with every block
@@ -229,11 +234,11 @@ def pair_distances(groups: DataFrame, kept: DataFrame) -> DataFrame:
         "lang", F.pmod(F.xxhash64("term"), parts).cast("int").alias("part"), "gid", "term", "p", F.lit(1).cast("long").alias("times"), "terms"
     )
     rows = base.unionByName(once).unionByName(dense).join(blocks, "lang")
-    block = F.floor(F.col("gid") / TILE_GROUPS).cast("int")
+    block = F.floor(F.col("gid") / size).cast("int")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
         {"bi": F.least(block, "other"), "bj": F.greatest(block, "other")}
     )
-    tiles = rows.groupBy("lang", "part", "bi", "bj").applyInArrow(_tile, _PAIRS)
+    tiles = rows.groupBy("lang", "part", "bi", "bj").applyInArrow(_tile_of(size), _PAIRS)
     lists = shared.where(light & (F.col("groups") > 1)).groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("gid", "p", "base"))).alias("list"))
     corrections = lists.select("lang", "list").mapInArrow(_posting_pairs, _PAIRS)
     return tiles.unionByName(corrections).groupBy("lang", "i", "j").agg(F.sum("f").alias("f"))
@@ -248,12 +253,14 @@ def telling_terms(groups: DataFrame, kept: DataFrame, top: int = TOP_TERMS) -> D
     return more.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
+def audit(
+    docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS, heavy: int = HEAVY, tile: tuple[int, int] = (TILE_TERMS, TILE_GROUPS)
+) -> DataFrame:
     """``lang, source, part, item, value, rank`` of ``docs`` (``lang, source, text``): every source's distance from every
     other of its language (``pair``) and its ``top`` terms (``term``)."""
     kept = kept_postings(docs, least)
-    groups = _groups(docs, kept)
-    pairs = pair_distances(groups, kept)
+    groups = _groups(docs, kept, heavy)
+    pairs = pair_distances(groups, kept, heavy, tile)
     names = groups.select("lang", F.col("gid").alias("i"), "source")
     both = pairs.select("lang", F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("d"), F.col("f").alias("value"))
     both = both.select("lang", "d.i", "d.j", "value").join(names, ["lang", "i"]).join(names.withColumnsRenamed({"i": "j", "source": "item"}), ["lang", "j"])
