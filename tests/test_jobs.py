@@ -2,11 +2,13 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wavemill.functions import boundary, entropy, metrics
 from wavemill.operators import decompose, training
+from wavemill.operators import kernels as K
 from wavemill.operators.kernels import EmdConfig
 from wavemill.sources import frames, jobs
 from wavemill.streaming import chunks
@@ -68,7 +70,7 @@ def test_a_series_that_does_not_converge_stays_whole(spark):
 def test_every_strategy_by_name(spark):
     df = training.synthetic(spark, "two_tone", 60)
     x = [r.value for r in df.orderBy("t").collect()]
-    for name in [*boundary.STRATEGIES, "ar_model", "characteristic_wave"]:
+    for name in [*boundary.STRATEGIES, "characteristic_wave"]:
         r = decompose.extend(df, name).first()
         assert r.x[r.start : r.end] == x and len(r.x) > 60, name
     with pytest.raises(ValueError):
@@ -122,6 +124,51 @@ def test_strategies(spark):
     assert back == [1.0, 2.0, 4.0, 8.0, 16.0, 3.0]
 
 
+def best_window(x, template, starts):
+    """The earliest window of the largest correlation, by a plain walk."""
+    m, c = len(template), template - template.mean()
+    best, at = None, None
+    for s in starts:
+        w = x[s : s + m] - x[s : s + m].mean()
+        flat = (w @ w) ** 0.5 < 1e-15 or (c @ c) ** 0.5 < 1e-15
+        r = 0.0 if flat else round(float(w @ c / ((w @ w) * (c @ c)) ** 0.5), 12)
+        if best is None or r > best:
+            best, at = r, s
+    return at
+
+
+def test_waveforms_are_searched(spark):
+    rng = np.random.default_rng(3)
+    wave = rng.standard_normal(8)
+    signals = [
+        rng.standard_normal(90).cumsum(),
+        np.concatenate([rng.standard_normal(8), np.tile(wave, 6), rng.standard_normal(8)]),
+        np.concatenate([wave, rng.standard_normal(20), 3 * wave + 5, rng.standard_normal(9), 2 * wave, rng.standard_normal(9), wave]),
+        np.ones(40), np.arange(23.0), np.arange(24.0), np.arange(16.0), np.arange(15.0), np.arange(3.0),
+        np.concatenate([np.zeros(8), rng.standard_normal(30), np.zeros(8)]),
+    ]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(signals)], "series_id long, x array<double>")
+    got = {r.series_id: r for r in boundary.extend(df, "waveform", match=8).collect()}
+    for i, x in enumerate(signals):
+        n, m = len(x), min(8, len(x))
+        left = best_window(x, x[:8], range(8, n - 15)) if n >= 24 else 0
+        right = best_window(x, x[-8:], range(n - 7)) if n >= 16 else n - m
+        assert got[i].x == [*x[left : left + m], *x, *x[right : right + m]], i
+        assert (got[i].start, got[i].end) == (m, m + n)
+    # a scaled repeat is as like as the template, and the first of them counts
+    assert got[2].x[:8] == (3 * wave + 5).tolist() and got[2].x[-8:] == wave.tolist()
+
+
+def test_ar_model_in_columns_equals_the_kernel(spark):
+    rng = np.random.default_rng(5)
+    signals = [rng.standard_normal(50).cumsum(), rng.standard_normal(7), np.ones(20), np.arange(30.0), np.array([2.0]), np.array([1.0, 3.0]), np.sin(np.arange(200) / 3)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(signals)], "series_id long, x array<double>")
+    for r in boundary.extend(df, "ar_model", order=4, length=6).collect():
+        x = signals[r.series_id]
+        want = np.concatenate([K.forecast(x[::-1], 6, 4)[::-1], x, K.forecast(x, 6, 4)])
+        assert np.allclose(r.x, want, atol=1e-7), r.series_id
+
+
 def test_csv_and_metadata(spark, tmp_path):
     csv = tmp_path / "s.csv"
     csv.write_text("# a comment\ntime_s,signal\n0.0,1.5\n0.1,2.5\n")

@@ -20,7 +20,7 @@ from ..sources import shared
 from ..sources.frames import dealt
 from ..sources.frames import packed as gathered
 from . import kernels as K
-from .directions import direction_vectors
+from . import multivariate
 
 
 def packed(df: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
@@ -243,71 +243,23 @@ def iceemdan(df: DataFrame, trials: int = 100, noise_std: float = 0.2, seed: int
     return _staged(df, trials, noise_std, seed, config, on_error, True)
 
 
-def _channels(df: DataFrame) -> DataFrame:
-    """``series_id, x``: channels x samples, channels in order."""
-    return (
-        packed(df, ("series_id", "channel"))
-        .groupBy("series_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "x"))), lambda c: c["x"]).alias("x"))
-    )
-
-
-def _stack(x) -> np.ndarray:
-    if len({len(c) for c in x}) > 1:
-        raise K.SignalError("dimension_mismatch")
-    return np.array([np.asarray(c, float) for c in x])
-
-
-def _multivariate(df: DataFrame, f: Callable, on_error: str) -> DataFrame:
-    rows = _channels(df)
-    done = _apply(rows, ["series_id"], lambda r: f(r).reshape(-1, len(r.x[0])))
-    # parts run over components, and over channels within each
-    per = rows.select(F.col("series_id").alias("c_id"), F.size("x").alias("channels"))
-    out = _long(done, ["series_id"], on_error).join(per, F.col("series_id") == F.col("c_id")).drop("c_id")
-    place = F.col("component") - 1
-    last = F.max("component").over(_by_series())
-    out = out.withColumns(
-        {
-            "channel": (place % F.col("channels")).cast("int"),
-            "kind": F.when(F.col("component") > last - F.col("channels"), "residue").when(place.isNotNull(), "imf"),
-            "component": (F.floor(place / F.col("channels")) + 1).cast("int"),
-        }
-    )
-    columns = ["series_id", "channel", "component", "kind", "t", "value"]
-    return out.select(*columns, "status") if on_error == "status" else out.select(*columns)
-
-
-def _by_series():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("series_id")
-
-
 def memd(df: DataFrame, directions: int = 64, sampling: str = "hammersley", seed: int = 0, config: K.EmdConfig = K.EmdConfig(), on_error: str = "status") -> DataFrame:
     """Multivariate decomposition of ``series_id, channel, t, value`` with envelopes along ``directions``.
 
-    Each sifting step needs all channels and directions of a series, so a series with its
-    channels is the unit of work: it has to fit a task (some ten times 8 bytes a sample and
-    channel). Series are dealt out; a longer signal is cut into series first.
+    Sifting stops by the extrema of all projections (``s_number``), by the relative change of the
+    channels (``sd_threshold``) or after ``max_siftings``. Each step deals out series and directions.
     """
-
-    def one(r) -> np.ndarray:
-        x = _stack(r.x)
-        return K.memd(x, direction_vectors(directions, len(x), sampling, seed), config)
-
-    return _multivariate(df, one, on_error)
+    return multivariate.decomposed(df, directions, sampling, seed, config, on_error)
 
 
 def namemd(df: DataFrame, noise_channels: int = 2, noise_std: float = 0.1, directions: int = 64, sampling: str = "hammersley", seed: int = 0, config: K.EmdConfig = K.EmdConfig(), on_error: str = "status") -> DataFrame:
     """As :func:`memd` with channels of noise beside the signal's, which are dropped from the result."""
 
-    def one(r) -> np.ndarray:
-        x = _stack(r.x)
+    def extend(r, x: np.ndarray) -> np.ndarray:
         added = K.noise((seed, series_seed(r.series_id)), (noise_channels, x.shape[1])) * noise_std * float(x.std())
-        all_ = np.concatenate([x, added])
-        return K.memd(all_, direction_vectors(directions, len(all_), sampling, seed), config)[:, : len(x)]
+        return np.concatenate([x, added])
 
-    return _multivariate(df, one, on_error)
+    return multivariate.decomposed(df, directions, sampling, seed, config, on_error, extend, noise_channels)
 
 
 def emd_2d(df: DataFrame, config: K.EmdConfig = K.EmdConfig(max_imfs=3)) -> DataFrame:
@@ -432,10 +384,8 @@ def spline_table(knots: DataFrame, per_knot: int = 4, kind: str = "natural") ->
 def extend(df: DataFrame, strategy: str, **options) -> DataFrame:
     """``series_id, x, start, end``: packed signals extended by any strategy's name, and where the original lies.
 
-    Beside those of :data:`boundary.STRATEGIES` there is ``ar_model``; ``characteristic_wave`` finds the extrema itself.
+    Beside those of :data:`boundary.STRATEGIES` there is ``characteristic_wave``, which finds the extrema itself.
     """
-    if strategy == "ar_model":
-        return ar_extend(df, **options)
     rows = packed(df)
     if strategy == "characteristic_wave":
         places = series.local_extrema(df).groupBy(F.col("series_id").alias("e_id")).agg(F.array_sort(F.collect_list("t")).alias("e"))
@@ -445,15 +395,3 @@ def extend(df: DataFrame, strategy: str, **options) -> DataFrame:
         longer = boundary.characteristic_wave(F.col("x"), F.col("e"), **options)
         return rows.select("series_id", longer.alias("x"), first.cast("int").alias("start"), (first + n).cast("int").alias("end"))
     return boundary.extend(rows, strategy, **options)
-
-
-def ar_extend(df: DataFrame, order: int = 5, length: int = 10) -> DataFrame:
-    """``series_id, x, start, end``: packed signals with autoregressive forecasts at both ends."""
-
-    def one(r):
-        x = K.check(r.x)
-        return [np.concatenate([K.forecast(x[::-1], length, order)[::-1], x, K.forecast(x, length, order)])]
-
-    done = _apply(packed(df), ["series_id"], one).where("status = 'ok'")
-    x = F.element_at("parts", 1)
-    return done.select("series_id", x.alias("x"), F.lit(length).alias("start"), (F.size(x) - length).alias("end"))

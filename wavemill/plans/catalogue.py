@@ -13,7 +13,7 @@ from ..functions import boundary, entropy, grids, metrics, series, spectral
 from ..operators import decompose, directions, sql, training
 from ..operators.kernels import EmdConfig, VmdConfig
 from ..sources import frames, jobs
-from ..streaming import chunks
+from ..streaming import chunks, live
 
 #: Modes are checked by their sum, so rows need no check of their own.
 PLAIN = EmdConfig(validate=False)
@@ -37,10 +37,8 @@ def _types(spark, d) -> DataFrame:
     )
 
 
-def _channels(spark, d) -> DataFrame:
-    return frames.hourly_dense(spark, d).select(
-        F.lit(0).cast("long").alias("series_id"), F.col("series_id").alias("channel"), "t", "value"
-    )
+#: Multivariate runs over all suppliers: two modes of five sifting steps at most.
+MULTI = EmdConfig(max_imfs=2, max_siftings=5)
 
 
 def signal_frame(spark, d):
@@ -162,11 +160,20 @@ def vmd_reconstruct(spark, d):
 
 
 def memd_reconstruct(spark, d):
-    return _summed(decompose.memd(_channels(spark, d), on_error="drop"), ("channel",))
+    parts = decompose.memd(frames.supplier_channels(spark, d), 16, config=MULTI).where("status = 'ok'")
+    return _summed(parts, ("series_id", "channel"))
 
 
 def namemd_reconstruct(spark, d):
-    return _summed(decompose.namemd(_channels(spark, d), on_error="drop"), ("channel",))
+    parts = decompose.namemd(frames.supplier_channels(spark, d), directions=16, config=MULTI).where("status = 'ok'")
+    return _summed(parts, ("series_id", "channel"))
+
+
+def memd_sift_once(spark, d):
+    """The first mode after one sifting step along four directions."""
+    once = EmdConfig(max_imfs=1, max_siftings=1)
+    parts = decompose.memd(frames.supplier_channels(spark, d), 4, config=once).where("kind = 'imf'")
+    return parts.select("series_id", "channel", "t", _r("value", 4))
 
 
 def emd_status(spark, d):
@@ -257,12 +264,12 @@ def _two_channels(spark, d) -> DataFrame:
 
 def memd_alignment(spark, d):
     """Modes of one number hold the same tone in every channel."""
-    modes = decompose.memd(_two_channels(spark, d), on_error="drop").where("kind = 'imf' and component <= 2")
+    modes = decompose.memd(_two_channels(spark, d), config=EmdConfig(max_imfs=2), on_error="drop").where("kind = 'imf'")
     return _strongest(modes, ("series_id", "channel", "component"))
 
 
 def namemd_alignment(spark, d):
-    modes = decompose.namemd(_two_channels(spark, d), noise_std=0.01, on_error="drop").where("kind = 'imf'")
+    modes = decompose.namemd(_two_channels(spark, d), noise_std=0.01, config=EmdConfig(max_imfs=3), on_error="drop").where("kind = 'imf'")
     strong = _strongest(modes, ("series_id", "channel", "component"))
     power = modes.groupBy("series_id", "channel", "component").agg(F.sum(F.col("value") * F.col("value")).alias("e"))
     first = power.where("e > 5").groupBy("series_id", "channel").agg(F.min("component").alias("component"))
@@ -596,6 +603,29 @@ def boundary_pairs(spark, d):
     )
 
 
+def _learned(spark, d):
+    """All window pairs of the users' signals, and the model of those of four users in five."""
+    pairs = training.boundary_pairs(_users(spark, d))
+    held_out = F.pmod("series_id", F.lit(5)) == 0
+    return pairs, held_out, training.fit_boundary(pairs.where(~held_out))
+
+
+def boundary_coefficients(spark, d):
+    return _learned(spark, d)[2].rows(spark).select("target", "feature", _r("weight"))
+
+
+def boundary_fit_error(spark, d):
+    pairs, held_out, model = _learned(spark, d)
+    part = F.when(held_out, "held_out").otherwise("fitted")
+    return training.prediction_errors(pairs, model, part).select("part", "pairs", _r("mse_model", 5), _r("mse_last", 5))
+
+
+def ext_learned(spark, d):
+    users = _users(spark, d)
+    model = _learned(spark, d)[2]
+    return decompose.extend(users, "learned", model=model).select("series_id", F.posexplode("x").alias("t", "value")).select("series_id", "t", _r("value", 5))
+
+
 def classification_metrics(spark, d):
     labels = spark.read.parquet(f"{d}/labels.parquet").withColumn("low", 1 - F.col("quality"))
     return metrics.classification(labels, "toxic", "low").select("n", *[_r(c) for c in ("accuracy", "precision", "recall", "f1")])
@@ -635,6 +665,35 @@ def stream_chunks(spark, d):
     return out.groupBy("series_id", "chunk", "t").agg(F.sum("value").alias("value")).select("series_id", "chunk", "t", _r("value"))
 
 
+def stream_window_append(spark, d):
+    """Means of the windows that the watermark has closed when the input ends."""
+    rows, _ = live.run_live(chunks.window_means(chunks.as_events(_stream(spark, d))), f"live_{uuid.uuid4().hex}")
+    return rows.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", _r("mean"))
+
+
+def stream_session_append(spark, d):
+    rows, _ = live.run_live(chunks.sessions(chunks.as_events(_stream(spark, d))), f"live_{uuid.uuid4().hex}")
+    return rows.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", _r("total", 4))
+
+
+def _marked(spark, d) -> DataFrame:
+    """The users' events as a stream in which each user's last one is marked as final."""
+    last = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("l_id")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last"))
+    events = chunks.as_events(_stream(spark, d)).join(last, F.col("user_id") == F.col("l_id"))
+    return events.select(F.col("user_id").alias("series_id"), "ts", "event_id", "value", (F.col("event_id") == F.col("last")).alias("final"))
+
+
+def stream_live_chunks(spark, d):
+    rows, _ = live.run_live(live.decompose_live(_marked(spark, d)), f"live_{uuid.uuid4().hex}")
+    sums = rows.groupBy("series_id", "run", "chunk", "t").agg(F.sum("value").alias("value"))
+    return sums.select("series_id", "run", "chunk", "t", _r("value"))
+
+
+def stream_intermittency(spark, d):
+    rows, _ = live.run_live(live.intermittency_live(_marked(spark, d)), f"live_{uuid.uuid4().hex}")
+    return rows.where("final").select("series_id", "seen", "n_extrema", _r("cv"), "intermittent")
+
+
 QUERIES = [
     signal_frame, hourly_dense, daily_totals, signal_validate, local_extrema, signal_shape, intermittency,
     stationarity_score, algorithm_advice, ext_mirror_even, ext_mirror_odd, ext_periodic, ext_slope, ext_palindrome,
@@ -650,7 +709,8 @@ QUERIES = [
     mode_by_energy, emd_2d_modes, emd_3d_modes, vmd_centres, memd_alignment, namemd_alignment, ext_last_value, ring_buffer, job_signals,
     collection_validate, stationarity_degree, overlap_matrix, layer_statistics, volume_slices, volume_columns, equal_mode_counts,
     forward_context, synthetic_signals, spline_cubic, spline_triangle, spline_periodic, boundary_artifact_rms, dft_magnitude,
-    spectral_distortion, hilbert_imf, entropy_report,
+    spectral_distortion, hilbert_imf, entropy_report, memd_sift_once, boundary_coefficients,
+    boundary_fit_error, ext_learned, stream_window_append, stream_session_append, stream_live_chunks, stream_intermittency,
 ]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.directions import direction_vectors
+
 SIG = """sig AS (SELECT user_id AS series_id,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS t, value FROM events),
 num AS (SELECT series_id, CAST(count(*) AS INTEGER) AS n FROM sig GROUP BY series_id)"""
@@ -59,7 +61,43 @@ PAD = """pd AS (SELECT series_id, n, CASE WHEN n < 10 THEN greatest(n, 5) // 2
   ELSE least(greatest(5, least(CAST(floor(n * 0.12) AS INTEGER), CAST(floor(n * 0.3) AS INTEGER))), n // 3) END AS p FROM num)"""
 
 _INPUT = f"WITH {SIG} SELECT series_id, t, round(value, 6) + 0.0 AS value FROM sig"
-_CHANNEL_INPUT = f"WITH {HOURS} SELECT CAST(dense_rank() OVER (ORDER BY component) - 1 AS INTEGER) AS channel, t, round(value, 6) + 0.0 AS value FROM typ"
+_SUPPLIERS = """sup AS MATERIALIZED (SELECT l_suppkey AS series_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey,
+  l_quantity, l_extendedprice, l_discount) - 1 AS INTEGER) AS t, l_quantity AS c0, l_extendedprice / 1000 AS c1, l_discount * 100 AS c2 FROM lineitem),
+sch AS MATERIALIZED (SELECT series_id, channel, t, CASE channel WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END AS value FROM sup, (SELECT unnest([0, 1, 2]) AS channel))"""
+_CHANNEL_INPUT = f"WITH {_SUPPLIERS} SELECT series_id, channel, t, round(value, 6) + 0.0 AS value FROM sch"
+
+
+def _memd_once(directions: int) -> str:
+    """A signal less the mean, over directions, of splines through its channels at the extrema of its projections."""
+    rows = ", ".join(f"({i}, " + ", ".join(repr(float(v)) for v in d) + ")" for i, d in enumerate(direction_vectors(directions, 3)))
+    key = "PARTITION BY series_id, d"
+    line = "PARTITION BY series_id, d, kind, channel"
+    same = "k.series_id = f.series_id AND k.d = f.d AND k.kind = f.kind AND k.channel = f.channel"
+    return f"""WITH RECURSIVE {_SUPPLIERS},
+dir AS (SELECT * FROM (VALUES {rows}) v(d, w0, w1, w2)),
+pj AS MATERIALIZED (SELECT series_id, d, t, c0 * CAST(w0 AS DOUBLE) + c1 * CAST(w1 AS DOUBLE) + c2 * CAST(w2 AS DOUBLE) AS value FROM sup, dir),
+chg AS (SELECT *, CASE WHEN lag(value) OVER w IS NULL OR lag(value) OVER w <> value THEN 1 ELSE 0 END AS c FROM pj WINDOW w AS ({key} ORDER BY t)),
+rid AS (SELECT *, sum(c) OVER ({key} ORDER BY t) AS run FROM chg),
+run AS (SELECT series_id, d, run, min(t) AS a, max(t) AS b, min(value) AS value FROM rid GROUP BY 1, 2, 3),
+nb AS (SELECT *, lag(value) OVER w AS l, lead(value) OVER w AS r FROM run WINDOW w AS ({key} ORDER BY run)),
+kn AS (SELECT series_id, d, CAST((a + b) // 2 AS INTEGER) AS t, CASE WHEN value > l THEN 'max' ELSE 'min' END AS kind FROM nb
+  WHERE (value > l AND value > r) OR (value < l AND value < r)),
+ka AS (SELECT series_id, d, kind, channel, t, sch.value, row_number() OVER w AS i, count(*) OVER ({line}) AS m,
+  lead(t) OVER w - t AS h, (lead(sch.value) OVER w - sch.value) / (lead(t) OVER w - t) AS s FROM kn JOIN sch USING (series_id, t) WINDOW w AS ({line} ORDER BY t)),
+kb AS MATERIALIZED (SELECT *, lag(h) OVER w AS hp, lag(s) OVER w AS sp FROM ka WHERE m >= 2 WINDOW w AS ({line} ORDER BY t)),
+fw AS (SELECT series_id, d, kind, channel, i, m, h, CAST(2 * (hp + h) AS DOUBLE) AS e, CAST(6 * (s - sp) AS DOUBLE) AS r FROM kb WHERE i = 2 AND m > 2
+  UNION ALL SELECT k.series_id, k.d, k.kind, k.channel, k.i, k.m, k.h, 2 * (k.hp + k.h) - k.hp / f.e * k.hp, 6 * (k.s - k.sp) - k.hp / f.e * f.r
+  FROM fw f JOIN kb k ON {same} AND k.i = f.i + 1 WHERE k.i < k.m),
+fm AS MATERIALIZED (SELECT * FROM fw),
+bk AS (SELECT series_id, d, kind, channel, m AS i, CAST(0 AS DOUBLE) AS c FROM (SELECT DISTINCT series_id, d, kind, channel, m FROM kb)
+  UNION ALL SELECT k.series_id, k.d, k.kind, k.channel, k.i, (k.r - k.h * f.c) / k.e FROM bk f JOIN fm k ON {same} AND k.i = f.i - 1),
+sg AS MATERIALIZED (SELECT *, CASE WHEN i = 1 THEN -1 ELSE t END AS low FROM (SELECT *, lead(c) OVER w AS c2, lead(value) OVER w AS v2, lead(t) OVER w AS t2
+  FROM (SELECT b.*, coalesce(bk.c, 0.0) AS c FROM kb b LEFT JOIN bk USING (series_id, d, kind, channel, i)) WINDOW w AS ({line} ORDER BY t)) WHERE i < m),
+ev AS (SELECT s.series_id, s.channel, s.t, s.value, k.d, k.kind FROM sch s JOIN (SELECT DISTINCT series_id, d, kind FROM sg) k USING (series_id)),
+me AS (SELECT a.series_id, a.channel, a.t, sum((g.c * pow(g.t2 - a.t, 3) + g.c2 * pow(a.t - g.t, 3)) / (6 * g.h)
+  + (g.value / g.h - g.c * g.h / 6) * (g.t2 - a.t) + (g.v2 / g.h - g.c2 * g.h / 6) * (a.t - g.t)) / {2 * directions} AS mean
+  FROM ev a ASOF JOIN sg g ON g.series_id = a.series_id AND g.channel = a.channel AND g.d = a.d AND g.kind = a.kind AND a.t >= g.low GROUP BY 1, 2, 3)
+SELECT sch.series_id, sch.channel, sch.t, round(sch.value - coalesce(me.mean, 0), 4) + 0.0 AS value FROM sch LEFT JOIN me USING (series_id, channel, t)"""
 
 
 def _placed(ctes: str, total: str, index: str, sign: str = "1") -> str:
@@ -281,6 +319,46 @@ _KINDS = {
 }
 
 
+#: Correlations of both ends' templates with every window, by joining samples at each offset.
+_WAVEFORM = """wf AS (SELECT s.series_id, s.t AS start, x.side, corr(w.value, p.value) AS r,
+  stddev_pop(w.value) * sqrt(20) AS wn, stddev_pop(p.value) * sqrt(20) AS pn
+  FROM sig s JOIN num ON num.series_id = s.series_id CROSS JOIN (SELECT unnest(['a', 'b']) AS side) x CROSS JOIN (SELECT unnest(range(20)) AS k) o
+  JOIN sig w ON w.series_id = s.series_id AND w.t = s.t + o.k
+  JOIN sig p ON p.series_id = s.series_id AND p.t = o.k + CASE WHEN x.side = 'a' THEN 0 ELSE num.n - 20 END
+  WHERE CASE WHEN x.side = 'a' THEN num.n >= 60 AND s.t BETWEEN 20 AND num.n - 40 ELSE num.n >= 40 AND s.t <= num.n - 20 END GROUP BY 1, 2, 3),
+wb AS (SELECT series_id, side, start FROM wf QUALIFY row_number() OVER (PARTITION BY series_id, side
+  ORDER BY CASE WHEN wn < 1e-15 OR pn < 1e-15 THEN 0 ELSE round(r, 12) END DESC, start) = 1),
+base AS (SELECT num.series_id, n, least(20, n) AS m, coalesce(l.start, 0) AS a, coalesce(r.start, n - least(20, n)) AS b FROM num
+  LEFT JOIN wb l ON l.series_id = num.series_id AND l.side = 'a' LEFT JOIN wb r ON r.series_id = num.series_id AND r.side = 'b'),"""
+
+
+#: Levinson-Durbin by order, then ten forecasts at each end, by recursion over lists.
+_AR = f"""WITH RECURSIVE {SIG}, xs AS (SELECT series_id, list(value ORDER BY t) AS x, avg(value) AS mean, CAST(count(*) AS BIGINT) AS n FROM sig GROUP BY 1),
+cs AS MATERIALIZED (SELECT series_id, x, mean, n, list_transform(x, lambda v: v - mean) AS c, least(5, n - 1) AS p FROM xs),
+ac AS MATERIALIZED (SELECT series_id, p, list_transform(range(0, p + 1), lambda k: list_inner_product(c[1:n - k], c[k + 1:n])) AS r FROM cs),
+lev AS (SELECT series_id, p, r, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS a, r[1] AS e, r[1] < 1e-12 OR p < 1 AS done FROM ac
+  UNION ALL SELECT series_id, p, r, k, list_append(list_transform(range(1, k), lambda j: a[j] - g * a[k - j]), g), e * (1 - g * g), e * (1 - g * g) <= 1e-12 * r[1]
+  FROM (SELECT series_id, p, r, k + 1 AS k, a, e, (r[k + 2] - CASE WHEN k = 0 THEN 0 ELSE list_inner_product(a, list_reverse(r[2:k + 1])) END) / e AS g
+        FROM lev WHERE NOT done AND k < p)),
+co AS MATERIALIZED (SELECT series_id, CASE WHEN len(a) = 0 THEN [1.0::DOUBLE] ELSE a END AS a FROM lev QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY k DESC) = 1),
+fc AS (SELECT series_id, side, a, 0 AS i, past[len(past) - len(a) + 1:len(past)] AS past FROM (SELECT series_id, a, 'b' AS side, c AS past FROM co JOIN cs USING (series_id)
+    UNION ALL SELECT series_id, a, 'a', list_reverse(c) FROM co JOIN cs USING (series_id))
+  UNION ALL SELECT series_id, side, a, i + 1, list_append(past[2:], list_inner_product(a, list_reverse(past))) FROM fc WHERE i < 10)
+SELECT series_id, CAST(CASE WHEN side = 'a' THEN 10 - i ELSE 9 + n + i END AS INTEGER) AS t, round(past[len(past)] + mean, 6) + 0.0 AS value
+FROM fc JOIN cs USING (series_id) WHERE i > 0 UNION ALL SELECT series_id, t + 10, round(value, 6) + 0.0 FROM sig"""
+
+
+#: Normal equations of the window pairs of four users in five, solved by Gauss-Jordan over rows of lists.
+_FIT = f"""{SIG}, pr AS MATERIALIZED (SELECT series_id, t, list(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS v FROM sig
+  QUALIFY len(v) = 25),
+ft AS MATERIALIZED (SELECT series_id, t, v[10] AS last, list_append(list_transform(v[1:9], lambda x: x - v[10]), 1.0) AS f, list_transform(v[11:25], lambda x: x - v[10]) AS y FROM pr),
+ne AS (SELECT i, j, sum(f[i] * g[j]) AS s FROM (SELECT f, list_concat(f, y) AS g FROM ft WHERE series_id % 5 <> 0), range(1, 11) a(i), range(1, 26) b(j) GROUP BY 1, 2),
+gj AS (SELECT 1 AS k, i, list(s ORDER BY j) AS row FROM ne GROUP BY i
+  UNION ALL SELECT k + 1, i, CASE WHEN i = k THEN list_transform(p, lambda x: x / p[k]) ELSE list_transform(range(1, 26), lambda c: row[c] - row[k] / p[k] * p[c]) END
+  FROM (SELECT *, max(CASE WHEN i = k THEN row END) OVER () AS p FROM gj WHERE k <= 10)),
+wt AS MATERIALIZED (SELECT j, list(row[10 + j] ORDER BY i) AS w FROM gj, range(1, 16) r(j) WHERE k = 11 GROUP BY j)"""
+
+
 def oracle_sql() -> dict[str, str]:
     entropy_sig = f"WITH {SIG}, {_dft('sig', 'series_id', 'ft')}, {_entropy('series_id')}"
     slides = """wn AS (SELECT series_id, n, unnest(range(0, n - 32 + 1, 16)) AS start FROM num WHERE n >= 32),
@@ -291,6 +369,7 @@ sl AS (SELECT wn.series_id, wn.start, sig.t - wn.start AS t, sig.value FROM wn J
     )
     out |= dict.fromkeys(["memd_reconstruct", "namemd_reconstruct"], _CHANNEL_INPUT)
     out |= {
+        "memd_sift_once": _memd_once(4),
         "emd_gradient": f"WITH {SIG} SELECT series_id, t, round(value, 4) + 0.0 AS value FROM sig",
         "hourly_dense": f"WITH {HOURS} SELECT component AS series_id, t, round(value, 6) + 0.0 AS value FROM typ",
         "daily_totals": """SELECT CAST(0 AS BIGINT) AS series_id, CAST(row_number() OVER (ORDER BY day) - 1 AS INTEGER) AS t, round(v, 2) + 0.0 AS value
@@ -391,6 +470,19 @@ SELECT round(avg(d * d), 1) + 0.0 AS mse, round(avg(abs(d)), 3) + 0.0 AS mae, ro
         "stream_session": """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new, event_id FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM s GROUP BY user_id, sid""",
+        "stream_window_append": """WITH w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS mark FROM events)
+SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM events, w
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2""",
+        "stream_session_append": """WITH w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS mark FROM events),
+g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new, event_id FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM s, w
+GROUP BY user_id, sid, mark HAVING max(ts) + INTERVAL 12 HOUR <= mark""",
+        "stream_live_chunks": f"""WITH {SIG} SELECT series_id, CAST(0 AS BIGINT) AS run, CAST(t // 32 AS BIGINT) AS chunk, CAST(t % 32 AS INTEGER) AS t, round(value, 6) + 0.0 AS value FROM sig""",
+        "stream_intermittency": f"""WITH {SIG}, {RUNS}, g AS (SELECT series_id, t - lag(t) OVER (PARTITION BY series_id ORDER BY t) AS d FROM ext),
+s AS (SELECT series_id, count(*) AS n_extrema, stddev_pop(d) / nullif(avg(d), 0) AS cv FROM g GROUP BY 1)
+SELECT num.series_id, CAST(num.n AS BIGINT) AS seen, coalesce(s.n_extrema, 0) AS n_extrema, round(s.cv, 6) + 0.0 AS cv, coalesce(s.n_extrema >= 6 AND s.cv > 0.4, false) AS intermittent
+FROM num LEFT JOIN s USING (series_id)""",
         "stream_dedup": "SELECT event_type, count(*) AS n FROM (SELECT DISTINCT event_id, event_type FROM events) GROUP BY 1",
         "stream_chunks": f"""WITH {SIG} SELECT series_id, CAST(t // 32 AS BIGINT) AS chunk, CAST(t % 32 AS INTEGER) AS t, round(value, 6) + 0.0 AS value
 FROM sig JOIN num USING (series_id)""",
@@ -408,7 +500,16 @@ FROM sig JOIN num USING (series_id)""",
         "memd_alignment": f"WITH s AS ({_TONES}) SELECT series_id, CAST(c AS INTEGER) AS channel, 1 AS component, high AS bin FROM s, range(2) r(c) UNION ALL SELECT series_id, CAST(c AS INTEGER), 2, low FROM s, range(2) r(c)",
         "namemd_alignment": f"WITH s AS ({_TONES}) SELECT series_id, CAST(c AS INTEGER) AS channel, 1 AS component, high AS bin FROM s, range(2) r(c)",
         "ext_last_value": _placed("base AS (SELECT series_id, n FROM num),", "n + 20", "least(greatest(j - 10, 0), n - 1)"),
-        "ext_waveform": _placed("base AS (SELECT series_id, n, least(20, n) AS m FROM num),", "n + 2 * m", "CASE WHEN j < m THEN j WHEN j < m + n THEN j - m ELSE j - 2 * m END"),
+        "ext_waveform": _placed(_WAVEFORM, "n + 2 * m", "CASE WHEN j < m THEN a + j WHEN j < m + n THEN j - m ELSE b + j - m - n END"),
+        "ext_ar": _AR,
+        "boundary_coefficients": f"WITH RECURSIVE {_FIT} SELECT CAST(j - 1 AS INTEGER) AS target, CAST(i - 1 AS INTEGER) AS feature, round(w[i], 6) + 0.0 AS weight FROM wt, range(1, 11) r(i)",
+        "boundary_fit_error": f"""WITH RECURSIVE {_FIT} SELECT CASE WHEN series_id % 5 = 0 THEN 'held_out' ELSE 'fitted' END AS part, count(*) // 15 AS pairs,
+round(avg(pow(y[j] - list_inner_product(w, f), 2)), 5) + 0.0 AS mse_model, round(avg(y[j] * y[j]), 5) + 0.0 AS mse_last FROM ft, wt GROUP BY 1""",
+        "ext_learned": f"""WITH RECURSIVE {_FIT}, ls AS (SELECT series_id, CAST(count(*) AS BIGINT) AS n, list(value ORDER BY t) AS x FROM sig GROUP BY 1),
+sd AS (SELECT series_id, n, 'a' AS side, list_reverse(x[1:10]) AS v FROM ls UNION ALL SELECT series_id, n, 'b', x[n - 9:n] FROM ls)
+SELECT series_id, CAST(CASE WHEN side = 'a' THEN 15 - j ELSE 14 + n + j END AS INTEGER) AS t,
+  round(CASE WHEN n < 10 THEN v[len(v)] ELSE v[10] + list_inner_product(w, list_append(list_transform(v[1:9], lambda y: y - v[10]), 1.0)) END, 5) + 0.0 AS value FROM sd, wt
+UNION ALL SELECT series_id, t + 15, round(value, 5) + 0.0 FROM sig""",
         "ring_buffer": f"WITH {SIG} SELECT series_id, CAST(t - greatest(n - 32, 0) AS INTEGER) AS place, t, round(value, 6) + 0.0 AS value FROM sig JOIN num USING (series_id) WHERE t >= n - 32",
         "job_signals": _INPUT,
         "collection_validate": f"WITH {HOURS} SELECT CAST(0 AS BIGINT) AS series_id, count(DISTINCT component) AS components, count(*) // count(DISTINCT component) AS shortest, count(*) // count(DISTINCT component) AS longest, 'ok' AS status FROM typ",

@@ -27,12 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str, **options) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back, which cuts its lineage.
-
-    ``options`` are the writer's, with ``_`` for the dots of their names.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wavemill/{tag}-{uuid.uuid4().hex}"
+def write_table(df: DataFrame, tag: str, **options) -> str:
+    """Writes ``df`` as Parquet to the shared folder and returns its path. ``options`` are the writer's, with ``_`` for dots."""
+    path = f"{shared_dir(df.sparkSession)}/wavemill/{tag}-{uuid.uuid4().hex}"
     df.write.options(**{k.replace("_", "."): v for k, v in options.items()}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, tag: str, **options) -> DataFrame:
+    """As :func:`write_table`, read back, which cuts the lineage of ``df``."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, tag, **options))

@@ -64,7 +64,8 @@ def decompose_chunk(x: np.ndarray, config: K.EmdConfig) -> list[np.ndarray]:
         return [x]
 
 
-def _rows(series_id: int, chunk: int, own: np.ndarray, config: K.EmdConfig) -> Iterator[pd.DataFrame]:
+def rows_of_chunk(series_id: int, chunk: int, own: np.ndarray, config: K.EmdConfig) -> Iterator[pd.DataFrame]:
+    """The rows of one chunk; a rest of under ``LEAST`` samples is its own residue."""
     parts, said = (decompose_chunk(own, config), advice(own)) if len(own) >= LEAST else ([own], "residue")
     for c, part in enumerate(parts, 1):
         yield pd.DataFrame({"series_id": series_id, "chunk": chunk, "component": c, "t": np.arange(len(own)), "value": part, "algorithm": said})
@@ -89,7 +90,7 @@ def decompose_stream(events: DataFrame, chunk_size: int = 32, config: K.EmdConfi
         rows.sort()
         out = []
         while len(rows) >= chunk_size:
-            out += _rows(key[0], chunk, np.array([r[2] for r in rows[:chunk_size]], float), config)
+            out += rows_of_chunk(key[0], chunk, np.array([r[2] for r in rows[:chunk_size]], float), config)
             rows = rows[chunk_size:]
             chunk += 1
         state.update((chunk, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
@@ -106,18 +107,18 @@ def decompose_bounded(events: DataFrame, chunk_size: int = 32, config: K.EmdConf
     """
     name = f"bounded_{uuid.uuid4().hex}"
     full = run_once(decompose_stream(events, chunk_size, config), name)
-    state = events.sparkSession.read.format("statestore").load(_folder(events, name, "progress"))
+    state = events.sparkSession.read.format("statestore").load(folder_of(events, name, "progress"))
     rests = state.select("key.series_id", "value.groupState.*").where(F.size("x") > 0).select("series_id", "chunk", "x")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for key, chunk, x in zip(b["series_id"], b["chunk"], b["x"]):
-                yield from _rows(key, chunk, np.asarray(x, float), config)
+                yield from rows_of_chunk(key, chunk, np.asarray(x, float), config)
 
     return full.unionByName(rests.mapInPandas(finish, CHUNK_SCHEMA))
 
 
-def _folder(df: DataFrame, name: str, part: str) -> str:
+def folder_of(df: DataFrame, name: str, part: str) -> str:
     return f"{shared_dir(df.sparkSession)}/streams/{name}/{part}"
 
 
@@ -127,8 +128,8 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     Rows, progress and state go to the folder that ``spark.checkpoint.dir`` names; no row
     passes through the driver. A complete result replaces the one before.
     """
-    rows = _folder(stream, name, "rows")
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", _folder(stream, name, "progress"))
+    rows = folder_of(stream, name, "rows")
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", folder_of(stream, name, "progress"))
     if mode == "append":
         writer = writer.format("parquet").option("path", rows)
     else:
