@@ -196,3 +196,32 @@ def test_sliding_stream_windows(spark):
 def test_small_chunks_are_refused(spark):
     with pytest.raises(ValueError):
         chunks.decompose_stream(spark.createDataFrame([], "series_id long, ts timestamp, event_id long, value double"), 5)
+
+
+@pytest.mark.parametrize("m,r", [(1, 0.3), (2, 0.2), (3, 0.5)])
+def test_sample_entropy_by_strips_equals_the_kernel(spark, m, r):
+    rng = np.random.default_rng(9)
+    signals = {
+        0: rng.standard_normal(300), 1: rng.integers(0, 3, 200).astype(float), 2: np.ones(50), 3: np.sin(np.arange(150) / 5), 4: np.array([1.0, 2.0]),
+        5: np.concatenate([rng.standard_normal(80), 1000 + rng.standard_normal(5)]), 6: np.array([1.0, float("nan"), 2.0, 3.0, 1.0]),
+    }
+    df = spark.createDataFrame([(s, t, float(v)) for s, x in signals.items() for t, v in enumerate(x)], "series_id long, t int, value double")
+    got = {x.series_id: x.entropy for x in entropy.sample_entropy(df.repartition(3), m, r).collect()}
+    assert got.keys() == signals.keys()
+    for s, x in signals.items():
+        assert got[s] == pytest.approx(0.0 if np.isnan(x).any() else K.sample_entropy(x, m, r), abs=1e-9), s
+
+
+def test_sample_entropy_of_a_long_series(spark):
+    df = spark.range(60_000).select(F.lit(0).cast("long").alias("series_id"), F.col("id").cast("int").alias("t"), F.sin(F.col("id") / 3).alias("s"))
+    noisy = df.select("series_id", "t", (F.col("s") + F.pmod(F.xxhash64("t"), F.lit(1000)) / 500).alias("value"))
+    assert 0.5 < entropy.sample_entropy(noisy).first().entropy < 3
+
+
+def test_csv_files_with_comments(spark, tmp_path):
+    df = training.synthetic(spark, "two_tone", 40).unionByName(training.synthetic(spark, "chirp", 30).withColumn("series_id", F.lit(7).cast("long")))
+    frames.write_csv(df, str(tmp_path / "csv"))
+    files = list((tmp_path / "csv" / "series_id=7").glob("part-*"))
+    assert len(files) == 1 and files[0].read_text().splitlines()[:2] == ["# series 7", "t,value"]
+    assert [x.split(",")[0] for x in files[0].read_text().splitlines()[2:]] == [str(t) for t in range(30)]
+    assert sorted(frames.read_csvs(spark, str(tmp_path / "csv")).collect()) == sorted(df.select("series_id", "t", "value").collect())

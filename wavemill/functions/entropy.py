@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import kernels as K
-from ..sources.frames import packed
 from .spectral import power_spectrum, spectral_entropy
 
 
@@ -38,18 +37,78 @@ def permutation_entropy(df: DataFrame, m: int = 3, keys: tuple[str, ...] = ("ser
     )
 
 
-def sample_entropy(df: DataFrame, m: int = 2, r: float = 0.2, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """``keys, entropy``: pairs of templates are counted inside one series' array, not joined."""
-    rows = packed(df, keys)
-    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", entropy double"
+#: Candidate pairs that are compared at once.
+_PAIRS = 1 << 20
+#: Templates that a strip of a long series is meant to hold.
+_STRIP = 4096
+
+
+def _near(x: dict[str, np.ndarray], y: dict[str, np.ndarray] | None, limit: float, m: int) -> tuple[int, int]:
+    """Pairs of templates within ``limits`` in ``m`` samples, and in one more: of ``x`` with ``y``, or of ``x`` among themselves.
+
+    Both are sorted by their last sample of the ``m``; only those near in it are compared.
+    """
+    other = x if y is None else y
+    key, wide = f"v{m - 1}", limit * (1 + 1e-9)
+    lo = np.searchsorted(other[key], x[key] - wide) if y is not None else np.arange(len(x[key])) + 1
+    hi = np.searchsorted(other[key], x[key] + wide, side="right")
+    upto = np.cumsum(np.maximum(hi - lo, 0))
+    b = a = 0
+    for s in range(0, int(upto[-1]) if len(upto) else 0, _PAIRS):
+        at = np.arange(s, min(s + _PAIRS, int(upto[-1])))
+        i = np.searchsorted(upto, at, side="right")
+        j = hi[i] - (upto[i] - at)
+        close = np.ones(len(at), bool)
+        for k in range(m):
+            close &= np.abs(x[f"v{k}"][i] - other[f"v{k}"][j]) <= limit
+        i, j = i[close], j[close]
+        weight = x["c"][i] * other["c"][j]
+        b += int(weight.sum())
+        a += int(weight[np.abs(x["next"][i] - other["next"][j]) <= limit].sum())  # a missing one is NaN
+    return b, a
 
-    def run(batches):
-        for batch in batches:
-            out: pd.DataFrame = batch[list(keys)].copy()
-            out["entropy"] = [K.sample_entropy(np.asarray(x, float), m, r) for x in batch["x"]]
-            yield out
 
-    return rows.mapInPandas(run, schema)
+def sample_entropy(df: DataFrame, m: int = 2, r: float = 0.2, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """``keys, entropy``: of pairs of templates within ``r`` deviations for m samples, the share that stays so for one more.
+
+    Equal templates become one with a count. Templates are dealt out by series and strip of their
+    first sample, and meet those of their own strip and of the next one. A strip is as wide as the
+    limit, or so wide that it has some :data:`_STRIP` of evenly spread templates; so a long series is
+    many tasks, and only templates that are near in the last sample as well are compared.
+    """
+    own = W.partitionBy(*keys)
+    along = own.orderBy("t")
+    ahead = {f"v{k}": F.lead("value", k).over(along) for k in range(m)}
+    spread = {"limit": F.lit(r) * F.stddev_pop("value").over(own), "low": F.min("value").over(own)}
+    spread["width"] = F.greatest(spread["limit"] * (1 + 1e-9), (F.max("value").over(own) - spread["low"]) * _STRIP / F.count(F.lit(1)).over(own))
+    rows = df.withColumns(ahead | spread | {"next": F.lead("value", m).over(along), "more": F.lead("value", m + 1).over(along)})
+    rows = rows.where(F.col("next").isNotNull() & ~F.isnan("limit"))
+    names = [f"v{k}" for k in range(m)]
+    rows = rows.withColumn("next", F.when(F.col("more").isNotNull(), F.col("next")))
+    counted = rows.groupBy(*keys, "limit", "low", "width", *names, "next").agg(F.count(F.lit(1)).alias("c"))
+    strip = F.when(F.col("width") > 0, F.floor((F.col("v0") - F.col("low")) / F.col("width"))).otherwise(F.lit(0)).cast("long")
+    # role 1: what the strip before compares with
+    roles = F.when(F.col("strip") > 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    dealt_ = counted.withColumn("strip", strip).withColumn("role", F.explode(roles))
+    dealt_ = dealt_.withColumn("strip", F.col("strip") - F.col("role"))
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", b long, a long"
+
+    def pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by(names[-1])
+        role = table["role"].to_numpy()
+        columns = {n: table[n].to_numpy() for n in [*names, "c"]} | {"next": pc.fill_null(table["next"], float("nan")).to_numpy()}
+        limit = table["limit"][0].as_py()
+        here, there = ({n: v[role == k] for n, v in columns.items()} for k in (0, 1))
+        same = here["c"] * (here["c"] - 1) // 2
+        b, a = _near(here, None, limit, m)
+        b2, a2 = _near(here, there, limit, m)
+        known = ~np.isnan(here["next"])
+        out = {k: pa.array([v.as_py()], table.schema.field(k).type) for k, v in zip(keys, key)}
+        return pa.table(out | {"b": [b + b2 + int(same.sum())], "a": [a + a2 + int(same[known].sum())]})
+
+    sums = dealt_.groupBy(*keys, "strip").applyInArrow(pairs, schema).groupBy(*keys).agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    value = F.when((F.col("a") > 0) & (F.col("b") > 0), -F.ln(F.col("a") / F.col("b"))).otherwise(F.lit(0.0))
+    return df.select(*keys).distinct().join(sums, list(keys), "left").select(*keys, value.alias("entropy"))
 
 
 #: Entropies by name, each from a frame and its keys to ``keys, entropy``. More may be added.

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boundary, entropy, grids, metrics, series, spectral
-from ..operators import decompose, directions, sql, training
+from ..operators import aggregates, decompose, directions, segments, sql, training
 from ..operators.kernels import EmdConfig, VmdConfig
-from ..sources import frames, jobs
+from ..sources import frames, jobs, shared
 from ..streaming import chunks, live
 
 #: Modes are checked by their sum, so rows need no check of their own.
@@ -694,6 +694,36 @@ def stream_intermittency(spark, d):
     return rows.where("final").select("series_id", "seen", "n_extrema", _r("cv"), "intermittent")
 
 
+def entropy_aggregates(spark, d):
+    """The entropies as SQL aggregates over a view."""
+    aggregates.register(spark)
+    name = f"signals_{uuid.uuid4().hex}"
+    _users(spark, d).createOrReplaceTempView(name)
+    found = spark.sql(
+        f"SELECT series_id, sample_entropy(t, value) AS sample, permutation_entropy(t, value) AS permutation, signal_entropy(t, value) AS spectral FROM {name} GROUP BY series_id"
+    )
+    return found.select("series_id", *[_r(c) for c in ("sample", "permutation", "spectral")])
+
+
+def csv_round_trip(spark, d):
+    """The users' signals by way of commented CSV files in the shared folder."""
+    path = f"{shared.shared_dir(spark)}/wavemill/csv-{uuid.uuid4().hex}"
+    frames.write_csv(_users(spark, d), path)
+    return frames.read_csvs(spark, path).select("series_id", "t", _r("value"))
+
+
+def metadata_round_trip(spark, d):
+    path = f"{shared.shared_dir(spark)}/wavemill/metadata-{uuid.uuid4().hex}"
+    frames.write_metadata(frames.catalogue_of(_users(spark, d), "Events", 0.5), path)
+    return frames.metadata_of(frames.read_metadata(spark, path, lines=True), "events").drop("description", "license")
+
+
+def emd_segmented(spark, d):
+    """Two modes of one sifting step, of signals that are cut into segments of 32 samples."""
+    parts = segments.emd_segmented(_users(spark, d), EmdConfig(validate=False, fixed_iterations=1, max_imfs=2), 32)
+    return _shown(parts.where("status = 'ok'"), "series_id")
+
+
 QUERIES = [
     signal_frame, hourly_dense, daily_totals, signal_validate, local_extrema, signal_shape, intermittency,
     stationarity_score, algorithm_advice, ext_mirror_even, ext_mirror_odd, ext_periodic, ext_slope, ext_palindrome,
@@ -711,6 +741,7 @@ QUERIES = [
     forward_context, synthetic_signals, spline_cubic, spline_triangle, spline_periodic, boundary_artifact_rms, dft_magnitude,
     spectral_distortion, hilbert_imf, entropy_report, memd_sift_once, boundary_coefficients,
     boundary_fit_error, ext_learned, stream_window_append, stream_session_append, stream_live_chunks, stream_intermittency,
+    entropy_aggregates, csv_round_trip, metadata_round_trip, emd_segmented,
 ]
 
 

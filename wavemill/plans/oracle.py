@@ -502,6 +502,20 @@ FROM sig JOIN num USING (series_id)""",
         "ext_last_value": _placed("base AS (SELECT series_id, n FROM num),", "n + 20", "least(greatest(j - 10, 0), n - 1)"),
         "ext_waveform": _placed(_WAVEFORM, "n + 2 * m", "CASE WHEN j < m THEN a + j WHEN j < m + n THEN j - m ELSE b + j - m - n END"),
         "ext_ar": _AR,
+        "emd_segmented": f"WITH RECURSIVE {SIG}, {_decomposed('sig', 'a', 2)} SELECT series_id, CAST(component AS INTEGER) AS component, kind, t, round(value, 4) + 0.0 AS value FROM fina",
+        "csv_round_trip": _INPUT,
+        "metadata_round_trip": f"WITH {SIG} SELECT CAST(series_id AS VARCHAR) AS id, 'series ' || series_id AS name, CAST(n AS BIGINT) AS sample_count, 0.5::DOUBLE AS sample_rate_hz, 'Events' AS source FROM num",
+        "entropy_aggregates": f"""WITH {SIG}, {_dft('sig', 'series_id', 'ft')}, {_entropy('series_id')},
+wv AS MATERIALIZED (SELECT series_id, t, value AS a, lead(value, 1) OVER x AS b, lead(value, 2) OVER x AS c FROM sig WINDOW x AS (PARTITION BY series_id ORDER BY t)),
+pt AS (SELECT series_id, CASE WHEN a <= b THEN 1 ELSE 0 END * 4 + CASE WHEN a <= c THEN 1 ELSE 0 END * 2 + CASE WHEN b <= c THEN 1 ELSE 0 END AS pat FROM wv WHERE c IS NOT NULL),
+pk AS (SELECT series_id, pat, count(*) AS n FROM pt GROUP BY 1, 2),
+pe AS (SELECT series_id, sum(-q * ln(q)) AS permutation FROM (SELECT series_id, n * 1.0 / sum(n) OVER (PARTITION BY series_id) AS q FROM pk) GROUP BY 1),
+dv AS (SELECT series_id, 0.2 * stddev_pop(value) AS r, count(*) AS n FROM sig GROUP BY 1),
+sm AS (SELECT series_id, CASE WHEN a > 0 AND b > 0 THEN -ln(a * 1.0 / b) ELSE 0.0 END AS sample FROM (SELECT i.series_id,
+  sum(CASE WHEN greatest(abs(i.a - j.a), abs(i.b - j.b)) <= r AND j.t < n - 2 THEN 1 ELSE 0 END) AS b,
+  sum(CASE WHEN greatest(abs(i.a - j.a), abs(i.b - j.b), abs(i.c - j.c)) <= r AND j.t < n - 3 THEN 1 ELSE 0 END) AS a
+  FROM wv i JOIN wv j ON i.series_id = j.series_id AND i.t < j.t JOIN dv ON dv.series_id = i.series_id GROUP BY 1))
+SELECT series_id, round(sample, 6) + 0.0 AS sample, round(permutation, 6) + 0.0 AS permutation, round(entropy, 6) + 0.0 AS spectral FROM en JOIN pe USING (series_id) JOIN sm USING (series_id)""",
         "boundary_coefficients": f"WITH RECURSIVE {_FIT} SELECT CAST(j - 1 AS INTEGER) AS target, CAST(i - 1 AS INTEGER) AS feature, round(w[i], 6) + 0.0 AS weight FROM wt, range(1, 11) r(i)",
         "boundary_fit_error": f"""WITH RECURSIVE {_FIT} SELECT CASE WHEN series_id % 5 = 0 THEN 'held_out' ELSE 'fitted' END AS part, count(*) // 15 AS pairs,
 round(avg(pow(y[j] - list_inner_product(w, f), 2)), 5) + 0.0 AS mse_model, round(avg(y[j] * y[j]), 5) + 0.0 AS mse_last FROM ft, wt GROUP BY 1""",

@@ -101,9 +101,31 @@ def read_csv(spark: SparkSession, path: str, time_col: str, value_col: str, seri
     return from_table(rows.withColumn("series", F.lit(series_id).cast("long")), "series", [time_col], value_col)
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """A catalogue of signals from a JSON array."""
-    return spark.read.schema(METADATA).json(path, multiLine=True)
+def write_csv(df: DataFrame, path: str) -> None:
+    """A folder for each series of ``series_id, t, value``, with a file that has a ``#`` comment, a header and the samples in order."""
+    head = F.array(F.struct(F.lit(-2).alias("place"), F.concat(F.lit("# series "), F.col("series_id")).alias("line")), F.struct(F.lit(-1).alias("place"), F.lit("t,value").alias("line")))
+    heads = df.select("series_id").distinct().select("series_id", F.explode(head).alias("r")).select("series_id", "r.*")
+    lines = df.select("series_id", F.col("t").alias("place"), F.concat_ws(",", "t", "value").alias("line")).unionByName(heads)
+    # a writer for folders needs its rows sorted by folder, and keeps a finer order that is there
+    lines.repartition("series_id").sortWithinPartitions("series_id", "place").select("series_id", "line").write.partitionBy("series_id").text(path)
+
+
+def read_csvs(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_csv` has written: ``series_id, t, value``."""
+    return spark.read.csv(path, schema="t int, value double, series_id long", header=True, comment="#").select("series_id", "t", "value")
+
+
+def catalogue_of(df: DataFrame, source: str, rate: float = 1.0) -> DataFrame:
+    """The metadata of each series of a long frame."""
+    return df.groupBy("series_id").agg(F.count(F.lit(1)).alias("sample_count")).select(
+        F.col("series_id").cast("string").alias("id"), F.concat(F.lit("series "), F.col("series_id")).alias("name"), F.lit("").alias("description"),
+        "sample_count", F.lit(rate).alias("sample_rate_hz"), F.lit(source).alias("source"), F.lit("").alias("license"),
+    )
+
+
+def read_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A catalogue of signals from a JSON array, or from ``lines`` as :func:`write_metadata` writes them."""
+    return spark.read.schema(METADATA).json(path, multiLine=not lines)
 
 
 def metadata_of(catalogue: DataFrame, source: str) -> DataFrame:
