@@ -82,7 +82,37 @@ def commented(text, prefix):
     return "\n".join((prefix + line).rstrip() for line in text.split("\n"))
 
 
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+
 TEXTS = [
+    (LGPL, "LGPL-2.1-or-later"),
+    (commented(LGPL, " * "), "LGPL-2.1-or-later"),
+    (commented(AGPL, "# "), "AGPL-3.0-or-later"),
+    (ZLIB, "Zlib"),
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;", "Apache-2.0,MIT"),
+    ("# SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+    ("/* SPDX-License-Identifier: (GPL-2.0-or-later AND LGPL-2.1-only) */", "GPL-2.0-or-later,LGPL-2.1-only"),
+    ("SPDX-License-Identifier: WTFPL", ""),
+    ("This work is licensed under the Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("This project is available under the MIT license.", "MIT"),
+    ("Licensed under the GPLv3", "GPL-3.0-only"),
+    ("Released under the ISC license; enjoy.", "ISC"),
     (MIT, "MIT"),
     (commented(MIT, " * "), "MIT"),
     (commented(MIT, "# "), "MIT"),

@@ -179,7 +179,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR 10 * n_symbols > n_words OR 5 * n_dup_lines > 2 * len(lines)
             OR 2 * len(regexp_extract_all(text, '!')) > n_words
             OR 2 * len(regexp_extract_all(text, '\p{Lu}')) > word_chars
-            OR 4 * len(list_distinct(words)) < n_words) AS kept
+            OR 4 * coalesce(list_sum(list_transform(range(0, len(words), 1000), lambda i: len(list_distinct(words[i + 1:i + 1000])))), 0) < n_words) AS kept
 FROM b
 """
 
