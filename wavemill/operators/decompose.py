@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,10 +127,12 @@ def _trials(df: DataFrame, trials: int, signs: tuple[int, ...]) -> DataFrame:
     return dealt(rows, "series_id", "trial")
 
 
-def _ensemble(df: DataFrame, trials: int, noise_std: float, seed: int, config: K.EmdConfig, signs, fall_back: bool) -> DataFrame:
+def _ensemble(df: DataFrame, trials: int, noise_std: float, seed: int, config: K.EmdConfig, signs, fall_back: bool, noise: str) -> DataFrame:
+    draw = K.NOISES[noise]
+
     def one(r) -> list[np.ndarray]:
         x = K.check(r.x)
-        noisy = x + r.sign * noise_std * float(np.std(x)) * K.noise((seed, series_seed(r.series_id), r.trial), len(x))
+        noisy = x + r.sign * noise_std * float(np.std(x)) * draw((seed, series_seed(r.series_id), r.trial), len(x))
         try:
             return K.emd(noisy, config)
         except K.SignalError:
@@ -157,20 +160,23 @@ def _ensemble(df: DataFrame, trials: int, noise_std: float, seed: int, config: K
     )
 
 
-def eemd(df: DataFrame, trials: int = 100, noise_std: float = 0.2, seed: int = 0, config: K.EmdConfig = K.EmdConfig()) -> DataFrame:
+def eemd(df: DataFrame, trials: int = 100, noise_std: float = 0.2, seed: int = 0, config: K.EmdConfig = K.EmdConfig(), noise: str = "philox") -> DataFrame:
     """Means over trials of the modes of the signal with noise added; component 0 is the residue.
 
     A mode that a trial lacks counts as zero. A series of which any trial fails has that status.
+    ``noise`` is one of :data:`kernels.NOISES`.
     """
-    return _ensemble(df, trials, noise_std, seed, config, (1,), False)
+    return _ensemble(df, trials, noise_std, seed, config, (1,), False, noise)
 
 
-def ceemd(df: DataFrame, trials: int = 100, noise_std: float = 0.2, seed: int = 0, config: K.EmdConfig = K.EmdConfig()) -> DataFrame:
+def ceemd(df: DataFrame, trials: int = 100, noise_std: float = 0.2, seed: int = 0, config: K.EmdConfig = K.EmdConfig(), noise: str = "philox") -> DataFrame:
     """As :func:`eemd` over pairs of opposite noise, which cancels in the sum. A trial that fails is its own mode."""
-    return _ensemble(df, trials, noise_std, seed, config, (1, -1), True)
+    return _ensemble(df, trials, noise_std, seed, config, (1, -1), True, noise)
 
 
-def _staged(df: DataFrame, trials: int, noise_std: float, seed: int, config: K.EmdConfig, on_error: str, own_modes: bool) -> DataFrame:
+def _staged(
+    df: DataFrame, trials: int, noise_std: float, seed: int, config: K.EmdConfig, on_error: str, own_modes: bool, max_stages: int | None = None, noise: str = "philox"
+) -> DataFrame:
     """Adaptive ensembles stage by stage.
 
     A stage deals out its first modes by series and trial, averages them with partial sums and
@@ -190,7 +196,7 @@ def _staged(df: DataFrame, trials: int, noise_std: float, seed: int, config: K.E
 
         def first(r, k: int = k) -> list[np.ndarray]:
             x = np.asarray(r.x, float)
-            added = K.trial_noise(len(x), spread(x), k, r.trial, (seed, series_seed(r.series_id)), own_modes, config)
+            added = K.trial_noise(len(x), spread(x), k, r.trial, (seed, series_seed(r.series_id)), own_modes, config, noise)
             return [K.first_mode(x + added, config)]
 
         each = dealt(live.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))), "series_id", "trial")
@@ -207,6 +213,7 @@ def _staged(df: DataFrame, trials: int, noise_std: float, seed: int, config: K.E
             if k and float(np.dot(mode, mode)) < 1e-15 * float(np.dot(x, x)):
                 return [x]  # no mode any more: the residue stays
             limit = K.stages(len(x)) if own_modes or not config.max_imfs else config.max_imfs
+            limit = limit if max_stages is None else max_stages or k + 2
             return [x - mode, mode, *([x - mode] if K.ends(x - mode, k + 1, limit) else [])]
 
         step = shared.materialise(_apply(live.join(mean, F.col("series_id") == F.col("m_id")), ["series_id"], take_off), "stage")
@@ -230,17 +237,19 @@ def _staged(df: DataFrame, trials: int, noise_std: float, seed: int, config: K.E
     return out.select(*columns, F.lit("ok").alias("status")).unionByName(failed.select("series_id", "status"), allowMissingColumns=True)
 
 
-def ceemdan(df: DataFrame, trials: int = 100, noise_std: float = 0.2, seed: int = 0, config: K.EmdConfig = K.EmdConfig(), on_error: str = "status") -> DataFrame:
+def ceemdan(df: DataFrame, trials: int = 100, noise_std: float = 0.2, seed: int = 0, config: K.EmdConfig = K.EmdConfig(), on_error: str = "status", max_stages: int | None = None, noise: str = "philox") -> DataFrame:
     """Adaptive noise: each stage takes the mean first mode off, over trials of the residue with noise at its own spread.
 
-    A trial that fails is its own mode. Without ``max_imfs`` there are :func:`kernels.stages` at most.
+    A trial that fails is its own mode. Without ``max_imfs`` and ``max_stages`` there are
+    :func:`kernels.stages` at most; with ``max_stages=0`` only a residue without extrema, or a
+    mode without energy, ends the stages, which noise may keep off for long.
     """
-    return _staged(df, trials, noise_std, seed, config, on_error, False)
+    return _staged(df, trials, noise_std, seed, config, on_error, False, max_stages, noise)
 
 
-def iceemdan(df: DataFrame, trials: int = 100, noise_std: float = 0.2, seed: int = 0, config: K.EmdConfig = K.EmdConfig(), on_error: str = "status") -> DataFrame:
+def iceemdan(df: DataFrame, trials: int = 100, noise_std: float = 0.2, seed: int = 0, config: K.EmdConfig = K.EmdConfig(), on_error: str = "status", noise: str = "philox") -> DataFrame:
     """As :func:`ceemdan` with the k-th mode of noise at stage k; where noise has none, nothing is added. ``max_imfs`` is not a limit on stages."""
-    return _staged(df, trials, noise_std, seed, config, on_error, True)
+    return _staged(df, trials, noise_std, seed, config, on_error, True, noise=noise)
 
 
 def memd(df: DataFrame, directions: int = 64, sampling: str = "hammersley", seed: int = 0, config: K.EmdConfig = K.EmdConfig(), on_error: str = "status") -> DataFrame:
@@ -262,40 +271,76 @@ def namemd(df: DataFrame, noise_channels: int = 2, noise_std: float = 0.1, direc
     return multivariate.decomposed(df, directions, sampling, seed, config, on_error, extend, noise_channels)
 
 
-def emd_2d(df: DataFrame, config: K.EmdConfig = K.EmdConfig(max_imfs=3)) -> DataFrame:
-    """Separable decomposition of ``image_id, row, col, value``: rows first, then the columns of each row mode.
+#: Neighbouring lines that change their axis together.
+_LINES = 16
 
-    Returns ``image_id, row_component, col_component, row, col, value``. Rows and columns are
-    packed in two shuffles and never a whole image. Lines that lack a component that others
-    have simply have no rows for it, which a sum reads as zero; a line that cannot be
-    decomposed is its own residue. All parts are kept, so they sum to the image.
+
+def _parts_of(x, config: K.EmdConfig) -> list[np.ndarray]:
+    try:
+        return K.emd(x, config)
+    except K.SignalError:
+        return [np.asarray(x, float)]
+
+
+def _numbered(done: DataFrame, keep: list[str], name: str) -> DataFrame:
+    """A row for each part of a line, as ``part``, numbered from 1; the residue, which lines have at different numbers, is 0."""
+    number = F.when(F.col("i") == F.size("parts") - 1, 0).otherwise(F.col("i") + 1)
+    return done.select(*keep, "parts", F.posexplode("parts").alias("i", "part")).select(*keep, number.alias(name), "part")
+
+
+def _turned(lines: DataFrame, keys: list[str], across: str, along: str, sizes: DataFrame, name: str, config: K.EmdConfig) -> DataFrame:
+    """Decomposes lines of the other axis: ``keys, along, name, part`` (along ``across``) of ``keys, across, part`` (along ``along``).
+
+    Parts are cut into blocks of ``_LINES`` places; a task gets the same block of all lines of its
+    keys and fills in zeros for lines that lack the component. ``sizes`` has the number of lines
+    (``size``) by the first key, so that nothing is exploded to samples on the way.
     """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("part") - 1) / _LINES).cast("int")), lambda b: F.slice("part", b * _LINES + 1, _LINES))
+    cut = lines.select(*keys, across, F.posexplode(blocks).alias("block", "values"))
+    met = dealt(cut, *keys, "block").groupBy(*keys, "block").agg(F.collect_list(F.struct(F.col(across).alias("at"), "values")).alias("have"))
+    met = met.join(sizes, F.col(keys[0]) == F.col("of")).drop("of")
+    schema = ", ".join(f"`{k}` {lines.schema[k].dataType.simpleString()}" for k in keys) + f", `{along}` int, parts array<array<double>>"
 
-    def lines(frame: DataFrame, keys: list[str], along: str, name: str) -> DataFrame:
-        rows = packed(frame.select(*keys, F.col(along).alias("t"), "value"), tuple(keys))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                have = own["have"][i].values
+                values = have.field("values")
+                width = len(values[0])
+                dense = np.zeros((own["size"][i].as_py(), width))
+                dense[have.field("at").to_numpy()] = values.flatten().to_numpy().reshape(-1, width)
+                parts = [_parts_of(line, config) for line in dense.T.copy()]
+                flat = [p for line in parts for p in line]
+                inner = pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * len(dense), pa.array(np.concatenate(flat)))
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), inner)
+                at = pa.array(own["block"][i].as_py() * _LINES + np.arange(width), pa.int32())
+                same = [own[k].take(pa.array(np.full(width, i))) for k in keys]
+                yield pa.RecordBatch.from_arrays([*same, at, lists], [*keys, along, "parts"])
 
-        def one(r):
-            try:
-                return K.emd(r.x, config)
-            except K.SignalError:
-                return [r.x]
+    return _numbered(met.mapInArrow(run, schema), [*keys, along], name)
 
-        done = _apply(rows, keys, one)
-        residue_last = F.when(F.col("i") == F.size("parts") - 1, 0).otherwise(F.col("i") + 1)
-        return done.select(*keys, "parts", F.posexplode("parts").alias("i", "part")).select(
-            *keys, residue_last.alias(name), F.posexplode("part").alias(along, "value")
-        )
 
-    by_row = lines(df, ["image_id", "row"], "col", "row_component")
-    # a missing row mode is zero in that row, so that columns stay dense
-    wide = by_row.groupBy("image_id", "col", "row_component").agg(F.collect_list(F.struct("row", "value")).alias("have"))
-    heights = df.groupBy(F.col("image_id").alias("h_id")).agg((F.max("row") + 1).alias("height"))
-    dense = (
-        wide.join(heights, F.col("image_id") == F.col("h_id"))
-        .select("image_id", "col", "row_component", F.map_from_entries("have").alias("have"), F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"))
-        .select("image_id", "col", "row_component", "row", F.coalesce(F.element_at("have", F.col("row")), F.lit(0.0)).alias("value"))
-    )
-    return lines(dense, ["image_id", "row_component", "col"], "row", "col_component").select(
+def _sizes(df: DataFrame, key: str, axis: str) -> DataFrame:
+    return df.groupBy(F.col(key).alias("of")).agg((F.max(axis) + 1).cast("int").alias("size"))
+
+
+def _row_parts(df: DataFrame, keys: list[str], along: str, name: str, config: K.EmdConfig) -> DataFrame:
+    rows = packed(df.select(*keys, F.col(along).alias("t"), "value"), tuple(keys))
+    return _numbered(_apply(rows, keys, lambda r: _parts_of(r.x, config)), keys, name)
+
+
+def emd_2d(df: DataFrame, config: K.EmdConfig = K.EmdConfig(max_imfs=3)) -> DataFrame:
+    """Separable decomposition of ``image_id, row, col, value``: rows first, then the columns of each row mode.
+
+    Returns ``image_id, row_component, col_component, row, col, value``. Two shuffles carry rows
+    and blocks of columns, and never a whole image. Lines that lack a component that others
+    have simply have no rows for it, which a sum reads as zero; a line that cannot be
+    decomposed is its own residue. All parts are kept, so they sum to the image.
+    """
+    by_row = _row_parts(df, ["image_id", "row"], "col", "row_component", config)
+    by_col = _turned(by_row, ["image_id", "row_component"], "row", "col", _sizes(df, "image_id", "row"), "col_component", config)
+    return by_col.select("image_id", "row_component", "col_component", F.posexplode("part").alias("row", "value"), "col").select(
         "image_id", "row_component", "col_component", "row", "col", "value"
     )
 
@@ -305,29 +350,14 @@ def emd_3d(df: DataFrame, config: K.EmdConfig = K.EmdConfig(max_imfs=2)) -> Data
 
     Returns ``volume_id, row_component, col_component, z_component, z, y, x, value``.
     """
-    slices = df.select(F.struct("volume_id", "z").alias("image_id"), F.col("y").alias("row"), F.col("x").alias("col"), "value")
-    flat = emd_2d(slices, config).select("image_id.volume_id", "image_id.z", "row_component", "col_component", F.col("row").alias("y"), F.col("col").alias("x"), "value")
-    depths = df.groupBy(F.col("volume_id").alias("d_id")).agg((F.max("z") + 1).alias("depth"))
-    keys = ["volume_id", "row_component", "col_component", "y", "x"]
-    columns = (
-        flat.groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("z", "value"))).alias("have"))
-        .join(depths, F.col("volume_id") == F.col("d_id"))
-        .select(*keys, F.transform(F.sequence(F.lit(0), F.col("depth") - 1), lambda z: F.coalesce(F.element_at("have", z), F.lit(0.0))).alias("x_"))
+    by_row = _row_parts(df, ["volume_id", "z", "y"], "x", "row_component", config)
+    by_col = _turned(by_row, ["volume_id", "z", "row_component"], "y", "x", _sizes(df, "volume_id", "y"), "col_component", config)
+    keys = ["volume_id", "row_component", "col_component", "x"]
+    by_z = _turned(by_col, keys, "z", "y", _sizes(df, "volume_id", "z"), "z_component", config)
+    return by_z.select("volume_id", "row_component", "col_component", "z_component", F.posexplode("part").alias("z", "value"), "y", "x").select(
+        "volume_id", "row_component", "col_component", "z_component", "z", "y", "x", "value"
     )
 
-    def one(r):
-        try:
-            return K.emd(r.x_, config)
-        except K.SignalError:
-            return [r.x_]
-
-    done = _apply(columns, keys, one)
-    number = F.when(F.col("i") == F.size("parts") - 1, 0).otherwise(F.col("i") + 1)
-    return done.select(*keys, "parts", F.posexplode("parts").alias("i", "part")).select(
-        "volume_id", "row_component", "col_component", number.alias("z_component"), F.posexplode("part").alias("z", "value"), "y", "x"
-    ).select("volume_id", "row_component", "col_component", "z_component", "z", "y", "x", "value")
-
 
 def emd_gradient(df: DataFrame, config: K.EmdConfig = K.EmdConfig()) -> DataFrame:
     """``series_id, t, value``: the gradient by the signal of a loss with given gradients by components.

@@ -724,6 +724,39 @@ def emd_segmented(spark, d):
     return _shown(parts.where("status = 'ok'"), "series_id")
 
 
+#: One mode by one sifting step, over two trials of noise that SQL draws too.
+ONE_OF_TWO = {"trials": 2, "noise_std": 0.2, "noise": "hashed"}
+
+
+def eemd_noisy(spark, d):
+    return _shown(decompose.eemd(_users(spark, d), config=ONE_MODE, **ONE_OF_TWO).where("status = 'ok'").drop("kind"), "series_id")
+
+
+def ceemd_noisy(spark, d):
+    return _shown(decompose.ceemd(_users(spark, d), config=ONE_MODE, **ONE_OF_TWO).where("status = 'ok'").drop("kind"), "series_id")
+
+
+def ceemdan_noisy(spark, d):
+    """Two stages: the second adds the noise anew, at the spread of what is left."""
+    two = EmdConfig(validate=False, fixed_iterations=1, max_imfs=2)
+    return _shown(decompose.ceemdan(_users(spark, d), config=two, on_error="drop", **ONE_OF_TWO), "series_id")
+
+
+def iceemdan_noisy(spark, d):
+    """The first stage, which adds the first mode of noise."""
+    parts = decompose.iceemdan(_users(spark, d), config=ONE_STEP, on_error="drop", **ONE_OF_TWO)
+    return _shown(parts.where("component = 1 and kind = 'imf'"), "series_id")
+
+
+def forward_context_broken(spark, d):
+    """Contexts that lack a mode (odd series) or a step (every fifth) are not valid."""
+    users = _users(spark, d)
+    parts = decompose.emd(users, ONE_STEP, "drop").where("series_id % 2 = 0 or kind = 'residue' or component > 1")
+    trace = decompose.emd_trace(users, ONE_STEP)
+    trace = trace.withColumn("step", F.when(F.pmod("series_id", F.lit(5)) == 0, F.col("step") + 1).otherwise(F.col("step")))
+    return decompose.context_errors(users, parts, trace).select("series_id", "valid")
+
+
 QUERIES = [
     signal_frame, hourly_dense, daily_totals, signal_validate, local_extrema, signal_shape, intermittency,
     stationarity_score, algorithm_advice, ext_mirror_even, ext_mirror_odd, ext_periodic, ext_slope, ext_palindrome,
@@ -742,6 +775,7 @@ QUERIES = [
     spectral_distortion, hilbert_imf, entropy_report, memd_sift_once, boundary_coefficients,
     boundary_fit_error, ext_learned, stream_window_append, stream_session_append, stream_live_chunks, stream_intermittency,
     entropy_aggregates, csv_round_trip, metadata_round_trip, emd_segmented,
+    eemd_noisy, ceemd_noisy, ceemdan_noisy, iceemdan_noisy, forward_context_broken,
 ]
 
 

@@ -240,6 +240,30 @@ def _modes(number: str = "component", kind: bool = True) -> str:
     return f"WITH RECURSIVE {SIG}, {_decomposed('sig', 'a', _DEPTH)} SELECT {columns} FROM fina"
 
 
+def _hashed(key: str, name: str = "nz") -> str:
+    """``name(series_id, trial, t, z)``: two trials of normal deviates by hashes of ``key``."""
+    u = lambda k: f"(CAST('0x' || substr(md5({key} || ':{k}:' || t), 1, 8) AS BIGINT) + 1) / 4294967297.0::DOUBLE"
+    return f"""{name} AS MATERIALIZED (SELECT series_id, trial, t, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z
+  FROM (SELECT series_id, trial, t, {u(0)} AS u, {u(1)} AS v FROM sig, range(2) r(trial)))"""
+
+
+_TRIAL = "'0:' || series_id || ':' || trial"
+
+
+def _added(name: str, source: str, signs: tuple[int, ...] = (1,), noise: str = "nz") -> str:
+    """``name``: a series for each trial and sign of ``source`` with noise at a fifth of its spread; the first id is a multiple of their number."""
+    return f"""{name} AS MATERIALIZED (SELECT s.series_id * {2 * len(signs)} + z.trial * {len(signs)} + g.i AS series_id, t, s.value + g.sign * 0.2 * p.sd * z.z AS value FROM {source} s
+  JOIN {noise} z USING (series_id, t) JOIN (SELECT series_id, stddev_pop(value) AS sd FROM {source} GROUP BY 1) p USING (series_id),
+  (SELECT unnest([{', '.join(map(str, signs))}]) AS sign, unnest(range({len(signs)})) AS i) g)"""
+
+
+def _ensemble_once(signs: tuple[int, ...]) -> str:
+    many = 2 * len(signs)
+    return f"""WITH RECURSIVE {SIG}, {_hashed(_TRIAL)}, {_added('ns', 'sig', signs)}, {_decomposed('ns', 'a', 1)}
+SELECT series_id // {many} AS series_id, CAST(CASE WHEN kind = 'residue' THEN 0 ELSE component END AS INTEGER) AS component, t, round(sum(value) / {many}, 4) + 0.0 AS value
+FROM fina GROUP BY 1, 2, 3"""
+
+
 def _first_mode(rule: str, steps: int) -> str:
     """The first mode when ``rule`` (over sd, steady and change) stops the sifting, within ``steps`` steps."""
     out = ["h0 AS MATERIALIZED (SELECT series_id, t, value, false AS done, 0 AS steady FROM sig)"]
@@ -516,6 +540,20 @@ sm AS (SELECT series_id, CASE WHEN a > 0 AND b > 0 THEN -ln(a * 1.0 / b) ELSE 0.
   sum(CASE WHEN greatest(abs(i.a - j.a), abs(i.b - j.b), abs(i.c - j.c)) <= r AND j.t < n - 3 THEN 1 ELSE 0 END) AS a
   FROM wv i JOIN wv j ON i.series_id = j.series_id AND i.t < j.t JOIN dv ON dv.series_id = i.series_id GROUP BY 1))
 SELECT series_id, round(sample, 6) + 0.0 AS sample, round(permutation, 6) + 0.0 AS permutation, round(entropy, 6) + 0.0 AS spectral FROM en JOIN pe USING (series_id) JOIN sm USING (series_id)""",
+        "eemd_noisy": _ensemble_once((1,)),
+        "ceemd_noisy": _ensemble_once((1, -1)),
+        "ceemdan_noisy": f"""WITH RECURSIVE {SIG}, {_hashed(_TRIAL)}, {_added('n1', 'sig')}, {_decomposed('n1', 'a', 1)},
+m1 AS MATERIALIZED (SELECT series_id // 2 AS series_id, t, sum(value) / 2 AS value FROM fina WHERE kind = 'imf' GROUP BY 1, 2),
+r1 AS MATERIALIZED (SELECT series_id, t, sig.value - m1.value AS value FROM sig JOIN m1 USING (series_id, t)),
+{_added('n2', 'r1')}, {_decomposed('n2', 'b', 1)},
+m2 AS MATERIALIZED (SELECT series_id // 2 AS series_id, t, sum(value) / 2 AS value FROM finb WHERE kind = 'imf' GROUP BY 1, 2)
+SELECT series_id, component, kind, t, round(value, 4) + 0.0 AS value FROM (SELECT series_id, 1 AS component, 'imf' AS kind, t, value FROM m1
+  UNION ALL SELECT series_id, 2, 'imf', t, value FROM m2 UNION ALL SELECT series_id, 3, 'residue', t, r1.value - m2.value FROM r1 JOIN m2 USING (series_id, t))""",
+        "iceemdan_noisy": f"""WITH RECURSIVE {SIG}, {_hashed("'0:' || series_id || ':0:' || trial", 'ny')}, nr AS MATERIALIZED (SELECT series_id * 2 + trial AS series_id, t, z AS value FROM ny),
+{_decomposed('nr', 'b', 1)}, nz AS MATERIALIZED (SELECT series_id // 2 AS series_id, series_id % 2 AS trial, t, value AS z FROM finb WHERE kind = 'imf'),
+{_added('ns', 'sig')}, {_decomposed('ns', 'a', 1)}
+SELECT series_id // 2 AS series_id, 1 AS component, kind, t, round(sum(value) / 2, 4) + 0.0 AS value FROM fina WHERE kind = 'imf' GROUP BY 1, 3, 4""",
+        "forward_context_broken": f"WITH RECURSIVE {SIG}, {_decomposed('sig', 'a', _DEPTH)} SELECT series_id, NOT (count(*) FILTER (WHERE kind = 'imf') > 0 AND (series_id % 2 = 1 OR series_id % 5 = 0)) AS valid FROM fina GROUP BY 1",
         "boundary_coefficients": f"WITH RECURSIVE {_FIT} SELECT CAST(j - 1 AS INTEGER) AS target, CAST(i - 1 AS INTEGER) AS feature, round(w[i], 6) + 0.0 AS weight FROM wt, range(1, 11) r(i)",
         "boundary_fit_error": f"""WITH RECURSIVE {_FIT} SELECT CASE WHEN series_id % 5 = 0 THEN 'held_out' ELSE 'fitted' END AS part, count(*) // 15 AS pairs,
 round(avg(pow(y[j] - list_inner_product(w, f), 2)), 5) + 0.0 AS mse_model, round(avg(y[j] * y[j]), 5) + 0.0 AS mse_last FROM ft, wt GROUP BY 1""",
