@@ -119,7 +119,8 @@ def edited_fingerprints(
     smallest id of all and returned as null. Rows of one id share their next document, the
     next larger id (of whose rows the one with the smallest text hash is taken); a table of
     one id follows itself. Repeated rows get equal values. An empty table gives no rows.
-    Other columns of ``docs`` are not read.
+    Other columns of ``docs`` are not read. A very long text is split into words by one task,
+    which holds the array of its words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     # lengths are taken after the shuffle, so that both uses of the shuffled texts are one

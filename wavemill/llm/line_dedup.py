@@ -47,7 +47,9 @@ def drop_common_lines(
 
     A null or empty text is one empty line and comes back as it was (null stays null). A null
     id counts as one document with the smallest id. Rows of equal id are one document; rows
-    that repeat as a whole are treated alike. Columns named n_lines or n_dropped are replaced.
+    that repeat as a whole are treated alike. An empty table gives no rows. Columns named n_lines or
+    n_dropped are replaced. A very long text is split into lines by one task; its lines travel
+    as hashes, and a document's places of dropped lines meet in one row.
     """
     d, th, pos, line, k1, k2, gone, g_d, g_th = fresh(docs, "d", "th", "pos", "line", "k1", "k2", "gone", "g_d", "g_th")
     text = F.coalesce(F.col(text_col), F.lit(""))

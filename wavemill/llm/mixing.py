@@ -78,7 +78,8 @@ def mix(
     Nulls: a null text has size 0; a null source is a source of its own and comes last; null
     ids share one key. Ties in the key (equal ids) are ordered by size. Repeated rows stand side
     by side, and of those on a cut one can get more than the other; the rows of the result are
-    the same on every run. A source without words has target 0. An empty table gives no rows. Other columns of ``docs`` are not read.
+    the same on every run. A source without words has target 0. An empty table gives no rows. Other
+    columns of ``docs`` are not read. Of a very long text only the number of words travels.
     """
     sized = materialise(
         docs.select(
@@ -132,8 +133,9 @@ def mixed_documents(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: str
 
     Documents stay whole: the one on a source's cut comes once more if any of its words are
     taken, so a source exceeds its budget by less than one document. Documents without
-    words are not taken. Rows of equal id and size are interchangeable and get the same
-    number of copies.
+    words are not taken, null texts among them; a null source is one of its own. Rows of equal
+    id, source and size are interchangeable and get the same number of copies. An empty table
+    gives no rows. A very long text is a row that is copied whole.
     """
     size, times, d_id, d_source, d_size = fresh(docs, "size", "times", "d_id", "d_source", "d_size")
     taken = (

@@ -219,7 +219,8 @@ def near_duplicates(
     A null text is empty; texts without words have fingerprint 0 and link like any other. A
     null id is the smallest of all: a component that holds one has component_id null. Rows
     of one id and different texts are separate nodes. Repeated rows get equal values. An
-    empty table gives no rows. Other columns of ``docs`` are not read.
+    empty table gives no rows. Other columns of ``docs`` are not read. A very long text is split
+    by one task, which holds its words; only its fingerprint travels.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, size), "fps")
     distinct = materialise(fps.groupBy("fp").agg(F.min("d").alias("low")), "distinct")
@@ -243,7 +244,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (then text hash).
 
     The row to keep is a partial minimum, no component is gathered. Rows that repeat as a
-    whole count once.
+    whole count once. A null id is the smallest; texts without words, null ones among them, are one
+    component. Of rows that tie in id and text hash one stays. An empty table gives no rows.
     """
     d, th, k_d, k_th = fresh(docs, "d", "th", "k_d", "k_th")
     keep = (

@@ -136,7 +136,8 @@ def judge(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
 
     A null or empty text has no words, so the base rejects it. Nothing is compared between
     rows: repeated rows get equal values, an empty table gives no rows. Columns of ``docs``
-    with the result's names are replaced.
+    with the result's names are replaced. A very long text is judged whole by one task, which
+    holds its words and the hashes of its windows.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     keep = [c for c in docs.columns if c.lower() not in names]

@@ -74,7 +74,8 @@ def write_shards(df: DataFrame, path: str, shards: list[str], key_col: str = "do
     """Writes one Parquet folder per shard, each in up to ``files`` files.
 
     The salt, a hash of the whole row, splits a shard over several tasks, so that a hot key's
-    neighbours do not wait for it.
+    neighbours do not wait for it. A null key is placed like any other; repeated rows go to the same
+    file. An empty table writes no folder. Rows are written whole, however long.
     """
     (salt,) = fresh(df, "salt")
     (

@@ -364,7 +364,8 @@ def remove_repeats(
 
     A null text is empty. A null id comes before all others. Rows of one id are ordered by
     their text's hash; rows that repeat as a whole are treated as one. An empty table gives no
-    rows. Other columns of ``docs`` are not read.
+    rows. Other columns of ``docs`` are not read. A very long text is read whole by one task, which
+    needs some twenty bytes for each of its bytes.
     """
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     repeated_ids = base.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0

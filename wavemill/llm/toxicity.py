@@ -531,7 +531,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     gets the score of a text without any weighed word. Labels that are null or lack an id are
     ignored; repeated labels of an id count as toxic if any is. Without labels of both
     classes every score is the one class's (0 without labels). A null id is not held out.
-    Repeated rows get equal scores; an empty table gives no rows.
+    Repeated rows get equal scores; an empty table gives no rows. A very long text is scored whole by
+    one task, which holds its words.
     """
     out = score(docs, fit(docs, labels, train_rows))
     return out.select(
@@ -543,7 +544,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` without the rows that score 0.5 or more."""
+    """``docs`` without the rows that score 0.5 or more.
+
+    Nulls, labels and long texts are read as by :func:`score_documents`. Rows of one id and text go or
+    stay together, those of a null id among them. An empty table gives no rows.
+    """
     b_id, b_th = fresh(docs, "b_id", "b_th")
     bad = (
         score(docs, fit(docs, labels, train_rows))
