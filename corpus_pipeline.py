@@ -3,6 +3,10 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; :func:`run` writes it as
 Parquet to the shared folder and reads it back for the next one. All stages but the last
 return the columns of documents.
+
+An empty table passes through all stages as an empty one. A text is handled whole by one task in
+each stage, however long: a task of toxicity, near dedup and packing holds its words, of line
+dedup its lines; extra columns of any name go through all stages but the last.
 """
 
 from __future__ import annotations
