@@ -29,7 +29,7 @@ END_ID = 1
 #: Pieces of one length are ranked in buckets of about so many rows.
 ROWS_PER_BUCKET = 20_000
 #: Bytes of text that are split into words at once, and words remembered by a task.
-SLICE_BYTES, MEMORY_WORDS = 2 << 20, 60_000
+SLICE_BYTES, MEMORY_WORDS = 2 << 20, 300_000
 #: Words that the tokeniser gets as one string, and strings in one call. Its results are large
 #: objects until they are read. The words are set apart by a string with an id of its own.
 STRING_WORDS, CALL_STRINGS = 50, 200
