@@ -1,6 +1,9 @@
 """Jobs over frames: statuses, ensembles, reports, sources and streams."""
 
+import functools
+import http.server
 import json
+import threading
 
 import numpy as np
 import pytest
@@ -85,7 +88,38 @@ def test_jobs(spark, tmp_path):
     jobs.write_job(jobs.read_job(spark, spec), spec)
     assert spark.read.parquet(spec.sink).count() == 3
     with pytest.raises(ValueError):
-        jobs.JobSpec("x", "a", ("b",), "c", "http")
+        jobs.JobSpec("x", "a", ("b",), "c", "ftp")
+    with pytest.raises(ValueError):
+        jobs.JobSpec("x", "a", ("b",), "c", "csv", "y", "http")
+
+
+def test_signals_from_a_server(spark, tmp_path):
+    (tmp_path / "first one.csv").write_text("# a comment\ns,v\n0.2,3.5\n0.1,2.5\n\n# more\n0.3,\n")
+    (tmp_path / "b.csv").write_text("s,v\n")
+
+    class Quiet(http.server.SimpleHTTPRequestHandler):
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(Quiet, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}"
+        spec = jobs.JobSpec(f"{url}/first%20one.csv {url}/b.csv", "", ("s",), "v", "http", str(tmp_path / "out"))
+        got = jobs.read_job(spark, spec)
+        assert [tuple(r) for r in got.orderBy("t").collect()] == [("first one", 0, 2.5), ("first one", 1, 3.5), ("first one", 2, None)]
+        assert {r.status for r in frames.validate(got).collect()} == {"invalid_value"}
+        jobs.write_job(got, spec)
+        assert spark.read.parquet(spec.sink).count() == 3
+        one = spark.read.format("signal").options(time="s", value="v").load(f"{url}/b.csv")
+        assert one.count() == 0
+        with pytest.raises(Exception, match="404"):
+            spark.read.format("signal").load(f"{url}/none.csv").collect()
+    finally:
+        server.shutdown()
+    for urls in ("file:///etc/hosts", "http://a/x.csv http://b/x.csv"):
+        with pytest.raises(Exception, match="URL"):
+            spark.read.format("signal").option("urls", urls).load().collect()
 
 
 def test_collections(spark):

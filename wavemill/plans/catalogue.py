@@ -37,8 +37,8 @@ def _types(spark, d) -> DataFrame:
     )
 
 
-#: Multivariate runs over all suppliers: two modes of five sifting steps at most.
-MULTI = EmdConfig(max_imfs=2, max_siftings=5)
+#: Multivariate runs over all suppliers: two modes of three sifting steps at most.
+MULTI = EmdConfig(max_imfs=2, max_siftings=3)
 
 
 def signal_frame(spark, d):

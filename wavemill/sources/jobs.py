@@ -6,9 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import frames
+from . import frames, remote
 
 FORMATS = ("parquet", "csv", "json", "orc")
+#: A source may also be URLs of a server (apart by spaces), each with one signal as a commented CSV.
+SOURCES = (*FORMATS, "http")
 
 
 @dataclass(frozen=True)
@@ -24,13 +26,19 @@ class JobSpec:
     sink_format: str = "parquet"
 
     def __post_init__(self):
-        for f in (self.format, self.sink_format):
-            if f not in FORMATS:
-                raise ValueError(f"unknown format {f!r}; known: {FORMATS}")
+        for f, known in ((self.format, SOURCES), (self.sink_format, FORMATS)):
+            if f not in known:
+                raise ValueError(f"unknown format {f!r}; known: {known}")
 
 
 def read_job(spark: SparkSession, spec: JobSpec) -> DataFrame:
-    """The long frame of the job's table. A CSV has a header and may have ``#`` comments."""
+    """The long frame of the job's table. A CSV has a header and may have ``#`` comments.
+
+    Over ``http`` the series are the files' names, and the first of ``order`` is the time column.
+    """
+    if spec.format == "http":
+        remote.register(spark)
+        return spark.read.format("signal").options(urls=spec.source, time=spec.order[0], value=spec.value).load()
     reader = spark.read.format(spec.format)
     if spec.format == "csv":
         reader = reader.options(header=True, comment="#", inferSchema=True)
