@@ -36,8 +36,8 @@ STEMS = (4, 5, 6)
 LETTER_SHARE = 1e-4
 #: Symbols up to which trigrams are counted in a plain table (16 MB), and over which in a sorted list of those in use.
 _TABLE = 128
-#: Readings that a worker remembers.
-READINGS = 50_000
+#: Readings that a worker remembers, and words with what they tell the classifier.
+READINGS, TOLD = 50_000, 200_000
 
 # Which letters a mark may stand for.
 STANDS_FOR = {
@@ -207,6 +207,7 @@ class Restorer:
                     if i or j < len(w):
                         self.inner.setdefault(w[i:j], []).append((w[:i], w[j:], w))
         self.seen: dict[str, tuple[str, ...]] = {}
+        self.held: dict[str, tuple[int, tuple[int, ...]]] = {}
 
     def read(self, word: str) -> tuple[str, ...]:
         got = self.seen.get(word)
@@ -216,6 +217,16 @@ class Restorer:
             got = self.seen[word] = self._read(word)
         return got
 
+    def told(self, word: str, places: dict[str, int]) -> tuple[int, tuple[int, ...]]:
+        """The word's kind (see :func:`_kind`) and the places of its features. One restorer is asked with the same places only."""
+        got = self.held.get(word)
+        if got is None:
+            if len(self.held) >= TOLD:
+                self.held.clear()
+            found = tuple(places[f] for x in self._read(word) for f in features_of(x) if f in places)
+            got = self.held[word] = (_kind(word), found)
+        return got
+
     def _read(self, word: str) -> tuple[str, ...]:
         core = word.rstrip(_STRIP_END).lstrip(_STRIP_START)
         if not core:
@@ -276,13 +287,44 @@ def features_of(word: str) -> tuple[str, ...]:
     return (word, *[word[:n] + "*" for n in STEMS if len(word) > n])
 
 
-def _words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of the texts, the words of all texts as places in that list, and each text's end."""
     spaced = pc.replace_substring_regex(pc.utf8_lower(texts), r"[\t\n\v\f\r]", " ")
     lists = pc.split_pattern(spaced, " ")
     coded = lists.flatten().dictionary_encode()
     bounds = np.asarray(lists.offsets)
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), bounds[1:] - bounds[0]
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), bounds[1:] - bounds[0]
+
+
+#: Letters, at least two, between punctuation that stands for no letter.
+_PLAIN = "^[{}]*(\\p{{L}}{{2,}})[{}]*$".format(*(re.escape("".join(c for c in marks if c not in STANDS_FOR)) for marks in (_STRIP_START, _STRIP_END)))
+
+
+def _plain_features(words: pa.Array, places: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words are plain letters without a doubled one, and pairs ``word, feature`` of these by whole columns.
+
+    Such a word reads as itself, so that :meth:`Restorer.told` would say the same of it.
+    """
+    cores = pc.struct_field(pc.extract_regex(words, _PLAIN.replace("(", "(?P<core>", 1)), [0])
+    plain = pc.is_valid(cores).to_numpy(zero_copy_only=False).copy()
+    at = np.flatnonzero(plain)
+    cores = cores.drop_null()
+    if len(at):
+        letters = np.frombuffer("\n".join(cores.to_pylist()).encode("utf-32-le"), np.uint32)
+        doubled = np.flatnonzero(letters[1:] == letters[:-1])
+        plain[at[np.searchsorted(np.flatnonzero(letters == 10), doubled)]] = False
+    keep = plain[at]
+    at, cores = at[keep], cores.filter(pa.array(keep))
+    names, numbers = pa.array(list(places), pa.string()), np.fromiter(places.values(), np.int64, len(places))
+    size = pc.utf8_length(cores)
+    ws, fs = [], []
+    for n in (None, *STEMS):
+        asked = cores if n is None else pc.if_else(pc.greater(size, n), pc.binary_join_element_wise(pc.utf8_slice_codeunits(cores, 0, n), "*", ""), None)
+        found = pc.index_in(asked, value_set=names, skip_nulls=True)
+        hit = np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False))
+        ws.append(at[hit])
+        fs.append(numbers[found.drop_null().to_numpy().astype(np.int64)])
+    return plain, np.concatenate(ws), np.concatenate(fs)
 
 
 def _letter(word: str) -> str | None:
@@ -293,15 +335,21 @@ def _letter(word: str) -> str | None:
     return bare if not bare or len(bare) == 1 and (bare.isalpha() or bare in STANDS_FOR) else None
 
 
-def _spaced(words: list[str], codes: np.ndarray, ends: np.ndarray) -> list[tuple[int, str]]:
+def _kind(word: str) -> int:
+    """The code point of the letter or mark that a word is, 0 for punctuation alone, -1 for other words."""
+    letter = _letter(word)
+    return -1 if letter is None else ord(letter) if letter else 0
+
+
+def _spaced(words: list[str], codes: np.ndarray, ends: np.ndarray, kind: np.ndarray | None = None) -> list[tuple[int, str]]:
     """``(text, letters)`` of runs of single letters or marks standing alone, whatever spaces and punctuation are between.
 
     Runs are three and more with a letter among them, or four and more.
     """
     if not len(codes):
         return []
-    letters = [_letter(w) for w in words]
-    kind = np.fromiter((-1 if x is None else ord(x) if x else 0 for x in letters), np.int64, len(words))
+    if kind is None:
+        kind = np.fromiter(map(_kind, words), np.int64, len(words))
     places = np.flatnonzero(kind[codes])  # without empty words and punctuation
     at = np.flatnonzero(kind[codes[places]] > 0)
     if not len(at):
@@ -321,7 +369,8 @@ def _spaced(words: list[str], codes: np.ndarray, ends: np.ndarray) -> list[tuple
 
 def restored_words(texts: pa.Array, restorer: Restorer) -> list[set[str]]:
     """The distinct plain words of each text."""
-    words, codes, ends = _words_of(texts)
+    dictionary, codes, ends = _words_of(texts)
+    words = dictionary.to_pylist()
     plain = [restorer.read(w) for w in words]
     out, s = [], 0
     for e in ends:
@@ -335,23 +384,30 @@ def restored_words(texts: pa.Array, restorer: Restorer) -> list[set[str]]:
 def feature_hits(texts: pa.Array, restorer: Restorer, places: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs ``text, feature`` of what the texts hold."""
     words, codes, ends = _words_of(texts)
-    hits = [[places[f] for x in restorer.read(w) for f in features_of(x) if f in places] for w in words]
-    rows, found = [], []
-    having = np.fromiter(map(bool, hits), bool, len(hits)) if hits else np.zeros(0, bool)
-    if len(codes) and having.any():
-        at = np.flatnonzero(having[codes])
-        for t, c in zip(np.searchsorted(ends, at, side="right"), codes[at]):
-            for f in hits[c]:
-                rows.append(int(t))
-                found.append(f)
-    for t, letters in _spaced(words, codes, ends):
+    plain, ws, fs = _plain_features(words, places)
+    odd = np.flatnonzero(~plain)
+    told = [restorer.told(w, places) for w in words.take(pa.array(odd)).to_pylist()]
+    kind = np.full(len(words), -1)
+    kind[odd] = [k for k, _ in told]
+    ws = np.concatenate([ws, np.repeat(odd, [len(f) for _, f in told])]).astype(np.int64)
+    fs = np.concatenate([fs, np.array([f for _, found in told for f in found], np.int64)])
+    # each place of a word that tells something, with all that it tells
+    many = np.bincount(ws, minlength=len(words))
+    own = fs[np.argsort(ws, kind="stable")]
+    at = np.flatnonzero(many[codes] > 0)
+    times = many[codes[at]]
+    first = (np.cumsum(many) - many)[codes[at]]
+    rows = np.repeat(np.searchsorted(ends, at, side="right"), times).tolist()
+    found = own[np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())].tolist()
+    for t, letters in _spaced(words, codes, ends, kind):
         for x in restorer.read(letters):
             for f in features_of(x):
                 if f in places:
                     rows.append(t)
                     found.append(places[f])
-    pairs = np.unique(np.array([rows, found], np.int64), axis=1) if rows else np.zeros((2, 0), np.int64)
-    return pairs[0], pairs[1]
+    size = max(places.values(), default=0) + 1
+    pairs = np.unique(np.array(rows, np.int64) * size + np.array(found, np.int64))
+    return pairs // size, pairs % size
 
 
 def fit_logistic(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, size: int, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
