@@ -463,7 +463,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     )
     rows = materialise(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(chosen, F.col("doc_id") == F.col("y_id"))
+        .join(F.broadcast(chosen), F.col("doc_id") == F.col("y_id"))  # about twice train_rows ids at most
         .select("doc_id", "text", "toxic"),
         "labelled",
     )
