@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,17 @@ def test_intermittency_without_samples_in_state(spark, tmp_path, triggers):
         assert g.cv == pytest.approx(r.cv) if r.cv is not None else g.cv is None
 
 
+def test_variation_at_the_threshold_is_that_of_sql():
+    spacings = [int(c) for c in "121222321111312211221312111322122122"]  # deviation 2/3, mean 5/3
+    places = np.cumsum([0, 1, *spacings, 1])
+    x = np.interp(np.arange(places[-1] + 1), places, np.arange(len(places)) % 2)
+    cv = duckdb.sql(f"SELECT stddev_pop(d) / avg(d) FROM (SELECT unnest({spacings}) AS d)").fetchall()[0][0]
+    core = live.Spacing(0.4, 5, None)
+    told = core.push((1,), core.begin(0), x)[1][0].iloc[0]
+    assert (told.n_extrema, told.cv, told.intermittent) == (len(spacings) + 1, cv, cv > 0.4)
+    assert not told.intermittent
+
+
 def test_closed_windows_leave_the_state_and_late_rows_are_counted(spark, tmp_path):
     hour = lambda h, n: [(h, 3600 * (1000 + h) + 60 * i, 100 * h + i, 1.0 * h, False) for i in range(n)]
     files = [hour(0, 5), hour(1, 5), hour(2, 5), [*hour(3, 5), (0, 3600 * 1000, 99, 7.0, False)], hour(4, 1)]
