@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavemill.operators import kernels as K
+from wavemill.operators import segments
 from wavemill.operators.segments import emd_segmented
 
 RNG = np.random.default_rng(11)
@@ -47,6 +48,14 @@ def test_modes_do_not_depend_on_the_cuts(frame, segment, config):
             assert got[s][k, 0][1] == ("residue" if k == len(want) else "imf")
 
 
+def test_small_rows_of_many_series_are_many_tasks(spark):
+    rows = spark.range(400).select(F.floor(F.col("id") / 4).alias("series_id"), (3 - F.col("id") % 4).alias("seg"))
+    told = segments._along(rows, lambda own: [{"seen": [(r.seg, 0.5)] * k, "n": len(own)} for k, r in enumerate(own)], "seen array<struct<t: bigint, y: double>>, n int")
+    got = told.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in got}) > 1
+    assert {(r.series_id, r.seg, r.n, tuple(map(tuple, r.seen))) for r in got} == {(i, g, 4, ((g, 0.5),) * g) for i in range(100) for g in range(4)}
+
+
 def test_what_does_not_converge_is_told(frame):
     c = K.EmdConfig(validate=False, max_siftings=1, sd_threshold=1e-12, s_number=None, energy_threshold=None)
     some = frame.where("series_id in (1, 5)")

@@ -16,43 +16,86 @@ task holds one segment, and the small rows of a series (one a segment) meet in o
 
 from __future__ import annotations
 
+import itertools
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import shared
-from ..sources.frames import dealt
 from . import kernels as K
 
 SEGMENT = 1 << 16
 
 _KNOTS = "array<struct<t: bigint, y: double>>"
 _SOLVED = "array<struct<t: bigint, y: double, u: double, v: double, w: double>>"
-_STATE = "h array<double>, rest array<double>, modes int, step int, steady int, changed double, base double"
+_STATE = "h array<double>, step int, changed double, base double"
 _ENDS = (
     "t0 bigint, n bigint, first double, first_run bigint, first_turn int, last double, last_run bigint, last_turn int, one boolean, "
     f"tops bigint, lows bigint, top_edges {_KNOTS}, low_edges {_KNOTS}, crossings bigint, opens boolean, closes boolean, energy double, "
-    "whole double, bad boolean, modes int, step int, steady int, changed double, base double"
+    "whole double, bad boolean"
 )
 _TOLD = f"action string, modes int, step int, steady int, joins array<struct<t: bigint, top: boolean>>, before {_KNOTS}, after {_KNOTS}"
 _CURVED = "array<struct<t: bigint, y: double, m: double>>"
 
 
-def _mapped(rows: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """``series_id, seg`` and the dictionary that ``f(row)`` gives for each row."""
-    kind = rows.schema["series_id"].dataType.simpleString()
-    full = f"series_id {kind}, seg bigint, {schema}"
-    names = [x.split(" ")[0] for x in _split(schema)]
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` to a few tasks a core, as a step is several small jobs and rows pass through a task one by one."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(max(cores, min(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))), *keys)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _mapped(rows: DataFrame, f: Callable, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``series_id, seg, keep`` and the dictionary that ``f(row)`` gives for each row. What is kept is passed on as it is."""
+    keys = ["series_id", "seg", *keep]
+    full = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + f", {schema}"
+    kinds = dict(x.split(" ", 1) for x in _split(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(row.series_id, row.seg, *(made[n] for n in names)) for row in batch.itertuples(index=False) for made in [f(row)]]
-            yield pd.DataFrame(out, columns=["series_id", "seg", *names])
+            made = [f(r) for r in _rows(batch)]
+            out = {k: batch.column(k) for k in keys} | {n: _array([m[n] for m in made], kind) for n, kind in kinds.items()}
+            yield pa.RecordBatch.from_pydict(out)
+
+    return rows.mapInArrow(run, full)
+
+
+_PLAIN = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def _values(column: pa.Array) -> list:
+    """A column's values: lists of structs as lists of tuples, other lists as arrays."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, cuts = column.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+    if pa.types.is_struct(flat.type):
+        flat = list(zip(*(x.to_pylist() for x in flat.flatten())))
+    else:
+        flat = flat.to_numpy(zero_copy_only=False)
+    return [flat[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist())]
+
 
-    return rows.mapInPandas(run, full)
+def _array(values: list, kind: str) -> pa.Array:
+    """The column of type ``kind`` that :func:`_values` takes apart."""
+    if kind in _PLAIN:
+        return pa.array(values, _PLAIN[kind])
+    cuts = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]), pa.int32())
+    inner = kind[len("array<") : -1]
+    if inner in _PLAIN:
+        return pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0), *values]), _PLAIN[inner]))
+    fields = [[x.strip() for x in part.split(":")] for part in inner[len("struct<") : -1].split(",")]
+    columns = list(zip(*itertools.chain.from_iterable(values))) or [()] * len(fields)
+    flat = pa.StructArray.from_arrays([pa.array(c, _PLAIN[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+    return pa.ListArray.from_arrays(cuts, flat)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return map(namedtuple("Row", batch.schema.names)._make, zip(*map(_values, batch.columns)))
 
 
 def _split(schema: str) -> list[str]:
@@ -68,17 +111,36 @@ def _split(schema: str) -> list[str]:
 
 
 def _along(rows: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """What ``f(rows of a series in order of seg)`` gives for each of them, as a list of dictionaries."""
+    """What ``f(rows of a series in order of seg)`` gives for each of them, as a list of dictionaries.
+
+    Series are dealt out and sorted, so that a task goes through its series one after the other.
+    """
     kind = rows.schema["series_id"].dataType.simpleString()
-    names = [x.split(" ")[0] for x in _split(schema)]
+    kinds = dict(x.split(" ", 1) for x in _split(schema))
+
+    def told(held: list, of: pa.DataType) -> pa.RecordBatch:
+        made = [m for own in held for m in f(own)]
+        flat = [r for own in held for r in own]
+        out = {"series_id": pa.array([r.series_id for r in flat], of), "seg": pa.array([r.seg for r in flat], pa.int64())}
+        return pa.RecordBatch.from_pydict(out | {n: _array([m[n] for m in made], k) for n, k in kinds.items()})
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("seg")
-        made = f(list(own.itertuples(index=False)))
-        out = [(s, g, *(m[n] for n in names)) for s, g, m in zip(own["series_id"], own["seg"], made)]
-        return pd.DataFrame(out, columns=["series_id", "seg", *names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list = []  # the series that the next batch may go on with
+        of = None
+        for batch in batches:
+            of = batch.schema.field("series_id").type
+            held = []
+            for r in _rows(batch):
+                if last and last[0].series_id != r.series_id:
+                    held.append(last)
+                    last = []
+                last.append(r)
+            if held:
+                yield told(held, of)
+        if last:
+            yield told([last], of)
 
-    return rows.groupBy("series_id").applyInPandas(run, f"series_id {kind}, seg bigint, {schema}")
+    return dealt(rows, "series_id").sortWithinPartitions("series_id", "seg").mapInArrow(run, f"series_id {kind}, seg bigint, {schema}")
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +169,6 @@ def _ends(segment: int) -> Callable:
             "tops": len(tops), "lows": len(lows), "top_edges": _edges(x, tops, t0), "low_edges": _edges(x, lows, t0),
             "crossings": K.zero_crossings(x), "opens": bool(x[0] >= 0), "closes": bool(x[-1] >= 0), "energy": float(np.dot(x, x)),
             "whole": float(np.dot(rest, rest)), "bad": not np.isfinite(x).all(),
-            **{k: getattr(r, k) for k in ("modes", "step", "steady", "changed", "base")},
         }
 
     return ends
@@ -184,8 +245,7 @@ def _decided(c: K.EmdConfig, segment: int) -> Callable:
         for top in (True, False):
             firsts, lasts = [], []
             for r in rows:
-                inner = [tuple(e.values()) if isinstance(e, dict) else tuple(e) for e in (r.top_edges if top else r.low_edges)]
-                all_ = sorted([*inner, *((t, y) for t, y, k in own.get(r.seg, []) if k == top)])
+                all_ = sorted([*(r.top_edges if top else r.low_edges), *((t, y) for t, y, k in own.get(r.seg, []) if k == top)])
                 firsts.append(all_[0] if all_ else None)
                 lasts.append(all_[-1] if all_ else None)
             # the knot before and the knot after each segment; a missing one is at place -1
@@ -202,10 +262,6 @@ def _decided(c: K.EmdConfig, segment: int) -> Callable:
     return decided
 
 
-def _pair(e) -> tuple:
-    return tuple(e.values()) if isinstance(e, dict) else tuple(e)
-
-
 def _solved(segment: int) -> Callable:
     """A segment's knots, and their curvatures as ``u - v * (curvature before) - w * (curvature after)``."""
 
@@ -214,9 +270,9 @@ def _solved(segment: int) -> Callable:
         inner = dict(zip((True, False), K.extrema(x)))
         out = {}
         for k, top in enumerate((True, False)):
-            joins = [t for t, is_top in map(_pair, r.joins) if is_top == top]
+            joins = [t for t, is_top in r.joins if is_top == top]
             t = np.sort(np.concatenate([inner[top] + t0, np.array(joins, np.int64)])).astype(np.int64)
-            before, after = _pair(r.before[k]), _pair(r.after[k])
+            before, after = r.before[k], r.after[k]
             ts, ys = t.astype(float), x[t - t0]
             if before[0] >= 0:
                 ts, ys = np.append(before[0], ts), np.append(before[1], ys)
@@ -273,8 +329,8 @@ def _interfaces(segment: int) -> Callable:
         return out
 
     def interfaces(rows: list) -> list[dict]:
-        tops = one(rows, [[_pair(e) for e in r.top_edges] for r in rows])
-        lows = one(rows, [[_pair(e) for e in r.low_edges] for r in rows])
+        tops = one(rows, [r.top_edges for r in rows])
+        lows = one(rows, [r.low_edges for r in rows])
         return [{**{f"top_{k}": v for k, v in x.items()}, **{f"low_{k}": v for k, v in y.items()}} for x, y in zip(tops, lows)]
 
     return interfaces
@@ -284,9 +340,9 @@ def _sifted(segment: int) -> Callable:
     """A segment less its mean envelope."""
 
     def envelope(known, before, after, preceding: float, following: float, at: np.ndarray) -> np.ndarray:
-        own = np.array([_pair(e) for e in known], float).reshape(-1, 5)
+        own = np.array(known, float).reshape(-1, 5)
         m = own[:, 2] - own[:, 3] * preceding - own[:, 4] * following
-        knots = np.concatenate([np.array([_pair(e) for e in part], float).reshape(-1, 3) for part in (before, np.column_stack([own[:, :2], m]), after)])
+        knots = np.concatenate([np.array(part, float).reshape(-1, 3) for part in (before, np.column_stack([own[:, :2], m]), after)])
         return K.spline_between(knots[:, 0], knots[:, 1], knots[:, 2], at)
 
     def sifted(r) -> dict:
@@ -295,11 +351,16 @@ def _sifted(segment: int) -> Callable:
         upper = envelope(r.tops, r.top_before, r.top_after, r.top_preceding, r.top_following, at)
         lower = envelope(r.lows, r.low_before, r.low_after, r.low_preceding, r.low_following, at)
         mean = (upper + lower) / 2
-        return {"h": x - mean, "rest": r.rest, "modes": r.modes, "step": r.step + 1, "steady": r.steady, "changed": float(np.dot(mean, mean)), "base": float(np.dot(x, x))}
+        return {"h": x - mean, "step": r.step + 1, "changed": float(np.dot(mean, mean)), "base": float(np.dot(x, x))}
 
     return sifted
 
 
+def _met(segments: DataFrame, told: DataFrame) -> DataFrame:
+    """Segments with what they are told, dealt out for the work that follows."""
+    return dealt(segments, "series_id", "seg").join(dealt(told, "series_id", "seg"), ["series_id", "seg"])
+
+
 def cut(df: DataFrame, segment: int) -> DataFrame:
     """``series_id, seg, h``: the samples of ``series_id, t, value`` by segments, each in order."""
     seg = F.floor(F.col("t") / segment)
@@ -324,9 +385,9 @@ def emd_segmented(df: DataFrame, config: K.EmdConfig = K.EmdConfig(), segment: i
     done: list[DataFrame] = []
     failed: list[DataFrame] = []
     while not live.isEmpty():
-        told = _along(_mapped(live, _ends(segment), _ENDS), _decided(config, segment), _TOLD)
-        known = live.select("series_id", "seg", "h", "rest").join(told, ["series_id", "seg"])
-        step = shared.materialise(known, "segments")
+        ends = _mapped(live, _ends(segment), _ENDS, ("modes", "step", "steady", "changed", "base"))
+        told = _along(ends, _decided(config, segment), _TOLD)
+        step = shared.materialise(_met(live.select("series_id", "seg", "h", "rest"), told), "segments")
         actions = {r.action for r in step.select("action").distinct().collect()}  # a handful of words
         nexts = []
         if "mode" in actions:
@@ -342,14 +403,15 @@ def emd_segmented(df: DataFrame, config: K.EmdConfig = K.EmdConfig(), segment: i
             failed.append(step.where("action not in ('go', 'mode', 'end')").select("series_id", F.col("action").alias("status")).distinct())
         if "go" in actions:
             going = step.where("action = 'go'")
-            solved = shared.materialise(_mapped(going, _solved(segment), f"tops {_SOLVED}, lows {_SOLVED}"), "segments")
+            kept = ("h", "rest", "modes", "step", "steady")
+            solved = shared.materialise(_mapped(going, _solved(segment), f"tops {_SOLVED}, lows {_SOLVED}", kept), "segments")
             few = lambda c: F.when(F.size(c) > 4, F.concat(F.slice(c, 1, 2), F.slice(c, -2, 2))).otherwise(F.col(c))
             ends = _along(
                 solved.select("series_id", "seg", few("tops").alias("top_edges"), few("lows").alias("low_edges")), _interfaces(segment),
                 ", ".join(f"{k}_preceding double, {k}_following double, {k}_before {_CURVED}, {k}_after {_CURVED}" for k in ("top", "low")),
             )
-            met = going.select("series_id", "seg", "h", "rest", "modes", "step", "steady").join(solved, ["series_id", "seg"]).join(ends, ["series_id", "seg"])
-            nexts.append(_mapped(met, _sifted(segment), _STATE))
+            sifted = _mapped(_met(solved, ends), _sifted(segment), _STATE, ("rest", "modes", "steady"))
+            nexts.append(sifted.select(live.columns))
         if not nexts:
             break
         live = nexts[0] if len(nexts) == 1 else nexts[0].unionByName(nexts[1])
