@@ -58,3 +58,15 @@ def test_matrices_are_no_python_numbers():
     assert back[1] is None and all((a == b).all() for a, b in zip(back, held) if b is not None)
     with pytest.raises(K.SignalError):
         multivariate._matrix(pa.array([[[1.0], [1.0, 2.0]]])[0])
+
+
+def test_without_a_spread_no_noise_is_drawn(spark):
+    from wavemill.operators import decompose
+
+    x = {1: np.sin(np.arange(40.0)), 2: np.cos(np.arange(40.0) * 2), 3: np.sin(np.arange(55.0) / 2)}
+    df = spark.createDataFrame([(s, t, float(v)) for s, own in x.items() for t, v in enumerate(own)], "series_id long, t int, value double")
+    rows = decompose.iceemdan(df, 2, 0.0, config=K.EmdConfig(validate=False, fixed_iterations=1), on_error="drop", noise="none that is known").collect()
+    for s, own in x.items():
+        want = K.emd(own, K.EmdConfig(validate=False, fixed_iterations=1))[0]
+        got = [r.value for r in sorted((r for r in rows if r.series_id == s and r.component == 1), key=lambda r: r.t)]
+        assert np.abs(np.array(got) - want).max() < 1e-9
