@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wavemill.operators import kernels as K
 from wavemill.streaming import chunks
 
 SIZES = {1: 70, 2: 32, 3: 31, 4: 9, 5: 1, 6: 42}
@@ -45,3 +46,15 @@ def test_rows_of_a_stream_are_in_files(spark, events):
         assert got.inputFiles()
         assert not spark.catalog.tableExists(name)
         assert got.count() == (sum(SIZES.values()) if mode == "append" else len(SIZES))
+
+
+def test_chunks_of_one_length_are_sifted_side_by_side(monkeypatch):
+    config, seen = K.EmdConfig(validate=False), []
+    emd = chunks.batched.emd
+    monkeypatch.setattr(chunks.batched, "emd", lambda x, c: seen.append(len(x)) or emd(x, c))
+    xs = [np.random.default_rng(i).normal(size=n) for i, n in enumerate([32, 32, 9, 17, 32])]
+    made = chunks.decompose_chunks(xs, config)
+    assert sorted(seen) == [1, 3]
+    for x, parts in zip(xs, made):
+        want = [x] if len(x) < chunks.LEAST else [p[10 : 10 + len(x)] for p in K.emd(chunks.padded(x), config)]
+        assert len(parts) == len(want) and all(np.abs(a - b).max() < 1e-9 for a, b in zip(parts, want))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import batched
 from ..operators import kernels as K
 from ..sources.shared import shared_dir
 
@@ -40,7 +41,7 @@ def without_repeats(events: DataFrame) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(["event_id"])
 
 
-CHUNK_SCHEMA = "series_id long, chunk long, component int, t int, value double, algorithm string"
+_CHUNK = "series_id long, chunk long, x array<double>"
 #: A rest of a series with fewer samples is not decomposed; it is a residue as it is.
 LEAST = 10
 _STATE = "chunk long, ts array<long>, ids array<long>, x array<double>"
@@ -54,21 +55,48 @@ def advice(x: np.ndarray) -> str:
     return "emd" if score > 0.8 else "eemd" if score >= 0.5 else "ceemdan"
 
 
-def decompose_chunk(x: np.ndarray, config: K.EmdConfig) -> list[np.ndarray]:
-    """Modes and residue of a chunk, sifted with forecasts joined on at both ends."""
+def padded(x: np.ndarray) -> np.ndarray:
+    """A chunk with forecasts joined on at both ends."""
     pad = min(max(len(x) // 4, 10), 64)
-    ahead, behind = K.forecast(x, pad), K.forecast(x[::-1], pad)[::-1]
-    try:
-        return [p[pad : pad + len(x)] for p in K.emd(np.concatenate([behind, x, ahead]), config)]
-    except K.SignalError:
-        return [x]
+    return np.concatenate([K.forecast(x[::-1], pad)[::-1], x, K.forecast(x, pad)])
+
+
+def decompose_chunks(xs: list[np.ndarray], config: K.EmdConfig) -> list[list[np.ndarray]]:
+    """Modes and residue of each chunk, sifted with forecasts at both ends; chunks of one length side by side. One that fails is its own residue."""
+    out: list = [[x] for x in xs]
+    for n in {len(x) for x in xs if len(x) >= LEAST}:
+        own = [i for i, x in enumerate(xs) if len(x) == n]
+        for some in batched.turns(n, len(own)):
+            long = np.array([padded(xs[i]) for i in own[some]])
+            pad = (long.shape[1] - n) // 2
+            modes, rest, codes = batched.emd(long, config)
+            parts: list = [[] for _ in codes]
+            for at, mode in modes:
+                for j, m in zip(at, mode):
+                    parts[j].append(m[pad : pad + n])
+            for i, p, r, code in zip(own[some], parts, rest, codes):
+                if code == "ok":
+                    out[i] = [*p, r[pad : pad + n]]
+    return out
+
+
+def decomposed(waiting: DataFrame, config: K.EmdConfig) -> DataFrame:
+    """The samples' rows of chunks ``x``, after the columns beside it: ``component, t, value, algorithm``.
+
+    A rest of under ``LEAST`` samples is its own residue.
+    """
+    keep = [c for c in waiting.columns if c != "x"]
+    schema = ", ".join(f"{c} {waiting.schema[c].dataType.simpleString()}" for c in keep) + ", parts array<array<double>>, algorithm string"
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            xs = [np.asarray(x, float) for x in b["x"]]
+            said = [advice(x) if len(x) >= LEAST else "residue" for x in xs]
+            yield b[keep].assign(parts=decompose_chunks(xs, config), algorithm=said)
 
-def rows_of_chunk(series_id: int, chunk: int, own: np.ndarray, config: K.EmdConfig) -> Iterator[pd.DataFrame]:
-    """The rows of one chunk; a rest of under ``LEAST`` samples is its own residue."""
-    parts, said = (decompose_chunk(own, config), advice(own)) if len(own) >= LEAST else ([own], "residue")
-    for c, part in enumerate(parts, 1):
-        yield pd.DataFrame({"series_id": series_id, "chunk": chunk, "component": c, "t": np.arange(len(own)), "value": part, "algorithm": said})
+    parts = waiting.mapInPandas(run, schema).select(*keep, "algorithm", F.posexplode("parts").alias("component", "part"))
+    samples = parts.select(*keep, (F.col("component") + 1).alias("component"), F.posexplode("part").alias("t", "value"), "algorithm")
+    return samples
 
 
 def decompose_stream(events: DataFrame, chunk_size: int = 32, config: K.EmdConfig = K.EmdConfig(validate=False)) -> DataFrame:
@@ -88,15 +116,15 @@ def decompose_stream(events: DataFrame, chunk_size: int = 32, config: K.EmdConfi
         for b in batches:
             rows += list(zip(b["ts"].astype("int64").tolist(), b["event_id"].tolist(), b["value"].tolist()))
         rows.sort()
-        out = []
-        while len(rows) >= chunk_size:
-            out += rows_of_chunk(key[0], chunk, np.array([r[2] for r in rows[:chunk_size]], float), config)
-            rows = rows[chunk_size:]
-            chunk += 1
-        state.update((chunk, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
-        yield from out
+        full = len(rows) // chunk_size
+        values = np.array([r[2] for r in rows[: full * chunk_size]], float).reshape(full, chunk_size)
+        rows = rows[full * chunk_size :]
+        state.update((chunk + full, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
+        if full:
+            yield pd.DataFrame({"series_id": key[0], "chunk": np.arange(chunk, chunk + full), "x": list(values)})
 
-    return events.groupBy("series_id").applyInPandasWithState(step, CHUNK_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
+    made = events.groupBy("series_id").applyInPandasWithState(step, _CHUNK, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return decomposed(made, config)
 
 
 def decompose_bounded(events: DataFrame, chunk_size: int = 32, config: K.EmdConfig = K.EmdConfig(validate=False)) -> DataFrame:
@@ -110,12 +138,7 @@ def decompose_bounded(events: DataFrame, chunk_size: int = 32, config: K.EmdConf
     state = events.sparkSession.read.format("statestore").load(folder_of(events, name, "progress"))
     rests = state.select("key.series_id", "value.groupState.*").where(F.size("x") > 0).select("series_id", "chunk", "x")
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for key, chunk, x in zip(b["series_id"], b["chunk"], b["x"]):
-                yield from rows_of_chunk(key, chunk, np.asarray(x, float), config)
-
-    return full.unionByName(rests.mapInPandas(finish, CHUNK_SCHEMA))
+    return full.unionByName(decomposed(rests, config))
 
 
 def folder_of(df: DataFrame, name: str, part: str) -> str:
