@@ -70,3 +70,17 @@ def test_without_a_spread_no_noise_is_drawn(spark):
         want = K.emd(own, K.EmdConfig(validate=False, fixed_iterations=1))[0]
         got = [r.value for r in sorted((r for r in rows if r.series_id == s and r.component == 1), key=lambda r: r.t)]
         assert np.abs(np.array(got) - want).max() < 1e-9
+
+
+def test_shorter_signals_beside_longer_ones():
+    """Signals filled up with NaN, plateaus and many rows among them, against each alone."""
+    v = direction_vectors(8, 3, "uniform", 3)  # no two parts are alike, so that sums do not tie by rounding alone
+    v[0] = [1, 0, 0]
+    own = [RNG.integers(0, 4, (3, n)).astype(float) for n in (40, 64, 65, 90, 7)] + [RNG.standard_normal((3, 61)) for _ in range(40)]
+    h = np.full((len(own), 3, 90), np.nan)
+    for row, x in zip(h, own):
+        row[:, : x.shape[1]] = x
+    total, count = batched.envelope_sums(h, v)
+    for got, turns, x in zip(total, count, own):
+        want, n = K.envelope_sum(x, v)
+        assert turns == n and np.abs(got[:, : x.shape[1]] - want).max() < 1e-10 * max(1, np.abs(want).max())
