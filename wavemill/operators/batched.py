@@ -103,22 +103,28 @@ def _curvatures(row: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndar
     inner = np.flatnonzero(inner)
     own = row[inner]
     level = inner - first[own] - 1
-    at = level * rows + own
-    d, up, r = np.ones((depth, rows)), np.zeros((depth, rows)), np.zeros((depth, len(rhs), rows))
-    d.ravel()[at] = 2 * (h[inner - 1] + h[inner])
-    up.ravel()[at] = np.where(inner + 1 == last[own], 0.0, h[inner])
-    for c in range(len(rhs)):
-        r[level, c, own] = rhs[c, inner]
-    share, taken, wide = np.empty((depth, rows)), np.empty(rows), np.empty((len(rhs), rows))
+    at, channels = level * rows + own, len(rhs)
+    d, up, r = np.ones(depth * rows), np.zeros(depth * rows), np.zeros(depth * channels * rows)
+    ahead = h[inner]
+    d[at] = 2 * (h[inner - 1] + ahead)
+    up[at] = ahead
+    ends = last - 2 - first
+    some = np.flatnonzero(ends >= 0)
+    up[ends[some] * rows + some] = 0.0  # the last equation couples with no other
+    places = [at if channels == 1 else (level * channels + c) * rows + own for c in range(channels)]
+    for c, place in enumerate(places):
+        r[place] = rhs[c, inner]
+    d, up, wide = d.reshape(depth, rows), up.reshape(depth, rows), r.reshape(depth, channels, rows)
+    share, taken, off = np.empty((depth, rows)), np.empty(rows), np.empty((channels, rows))
     for i in range(1, depth):
         np.divide(up[i - 1], d[i - 1], out=share[i])
         d[i] -= np.multiply(share[i], up[i - 1], out=taken)
-        r[i] -= np.multiply(share[i], r[i - 1], out=wide)
-    r /= d[:, None, :]
+        wide[i] -= np.multiply(share[i], wide[i - 1], out=off)
+    wide /= d[:, None, :]
     for i in range(depth - 2, -1, -1):
-        r[i] -= np.multiply(share[i + 1], r[i + 1], out=wide)
-    for c in range(len(rhs)):
-        m[c, inner] = r[level, c, own]
+        wide[i] -= np.multiply(share[i + 1], wide[i + 1], out=off)
+    for c, place in enumerate(places):
+        m[c, inner] = r[place]
     return m
 
 
